@@ -11,6 +11,7 @@ from . import sql
 from .exact_dedup import find_copies
 from .line_rules import apply_line_rules
 from .mixing import plan_mix
+from .ngram_join import similarity_join
 from .word_bpe import encode_decode
 
 
@@ -36,6 +37,10 @@ def op3_word_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return similarity_join(documents(spark, sf_dir)).select("doc_id", "n_shingles", "component_id", "n_links")
+
+
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_copies(documents(spark, sf_dir)).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
@@ -54,6 +59,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_line_frequency": op1_line_frequency,
         "op3_word_bpe": op3_word_bpe,
+        "op4_ngram_join": op4_ngram_join,
         "op5_exact_dedup": op5_exact_dedup,
         "op10_source_mix": op10_source_mix,
     }
