@@ -12,6 +12,7 @@ from .exact_dedup import find_copies
 from .line_rules import apply_line_rules
 from .mixing import plan_mix
 from .ngram_join import similarity_join
+from .repeated_bytes import remove_repeats
 from .word_bpe import encode_decode
 
 
@@ -45,6 +46,12 @@ def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_copies(documents(spark, sf_dir)).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
+def op7_repeated_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeats(documents(spark, sf_dir)).select(
+        "doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256")
+    )
+
+
 def op10_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return plan_mix(documents(spark, sf_dir).select("doc_id", "text", "source")).select(
         "doc_id",
@@ -61,6 +68,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_word_bpe": op3_word_bpe,
         "op4_ngram_join": op4_ngram_join,
         "op5_exact_dedup": op5_exact_dedup,
+        "op7_repeated_bytes": op7_repeated_bytes,
         "op10_source_mix": op10_source_mix,
     }
 
