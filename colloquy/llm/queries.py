@@ -12,6 +12,7 @@ from .exact_dedup import find_copies
 from .line_rules import apply_line_rules
 from .mixing import plan_mix
 from .ngram_join import similarity_join
+from .pii import BASE, KINDS, find_personal_data
 from .repeated_bytes import remove_repeats
 from .word_bpe import encode_decode
 
@@ -52,6 +53,18 @@ def op7_repeated_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    of = lambda *kinds: F.filter("spans", lambda s: s["kind"].isin(*kinds))
+    line = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+    return find_personal_data(documents(spark, sf_dir)).select(
+        "doc_id",
+        *[F.size(of(k)).cast("long").alias(f"n_{k}") for k in BASE],
+        F.sha2(line(of(*BASE)), 256).alias("base_sha256"),
+        line("spans").alias("spans"),
+        *[F.size(of(k)).cast("long").alias(f"n_{k}") for k in KINDS if k not in BASE],
+    )
+
+
 def op10_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return plan_mix(documents(spark, sf_dir).select("doc_id", "text", "source")).select(
         "doc_id",
@@ -69,6 +82,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_ngram_join": op4_ngram_join,
         "op5_exact_dedup": op5_exact_dedup,
         "op7_repeated_bytes": op7_repeated_bytes,
+        "op9_personal_data": op9_personal_data,
         "op10_source_mix": op10_source_mix,
     }
 
