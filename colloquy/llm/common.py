@@ -51,12 +51,12 @@ def words_in(text: Column) -> Column:
     return F.regexp_count(F.coalesce(text, F.lit("")), F.lit(WORD)).cast("long")
 
 
-def with_running_totals(df: DataFrame, order: list[str], totals: dict[str, Column], label: str) -> DataFrame:
+def with_running_totals(df: DataFrame, order: list[str], totals: dict[str, Column], label: str, shard: str = "_range") -> DataFrame:
     """Add, for each entry of ``totals``, its sum over all rows that come before in ``order``.
 
     Rows are dealt by range, each range is summed on its own, and the sums of
     whole ranges (one row each) give every range its base. No task sees more
-    than its range.
+    than its range, and ``shard``, if given, names a column for the range's number.
     """
     ranged = stored(
         df.withColumns({f"_{k}": c for k, c in totals.items()}).repartitionByRange(*order).withColumn("_range", F.spark_partition_id()),
@@ -67,8 +67,9 @@ def with_running_totals(df: DataFrame, order: list[str], totals: dict[str, Colum
         "_range", *[F.coalesce(F.sum(f"_sum_{k}").over(before), F.lit(0)).alias(f"_base_{k}") for k in totals]
     )
     within = Window.partitionBy("_range").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    return (
+    out = (
         ranged.join(F.broadcast(bases), "_range")
         .withColumns({k: F.col(f"_base_{k}") + F.coalesce(F.sum(f"_{k}").over(within), F.lit(0)) for k in totals})
-        .drop("_range", *[f"_{k}" for k in totals], *[f"_base_{k}" for k in totals])
+        .drop(*[f"_{k}" for k in totals], *[f"_base_{k}" for k in totals])
     )
+    return out.drop("_range") if shard == "_range" else out.withColumnRenamed("_range", shard)

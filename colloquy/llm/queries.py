@@ -14,6 +14,7 @@ from .mixing import plan_mix
 from .ngram_join import similarity_join
 from .pii import BASE, KINDS, find_personal_data
 from .repeated_bytes import remove_repeats
+from .token_store import new_folder, read_sums, write_store
 from .word_bpe import encode_decode
 
 
@@ -33,6 +34,16 @@ def op1_line_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+#: The id that ends each document.
+END_ID = 2
+
+
+def op2_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder, path = new_folder(spark), tokenizer_path("byte_bpe_50k.json")
+    write_store(documents(spark, sf_dir), folder, path, END_ID)
+    return read_sums(spark, folder, path).select("doc_id", "start", "n_tokens", "ids_crc32", "verified")
+
+
 def op3_word_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_decode(documents(spark, sf_dir), tokenizer_path("word_bpe_49k.json")).select(
         "doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256")
@@ -78,6 +89,7 @@ def op10_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_line_frequency": op1_line_frequency,
+        "op2_token_store": op2_token_store,
         "op3_word_bpe": op3_word_bpe,
         "op4_ngram_join": op4_ngram_join,
         "op5_exact_dedup": op5_exact_dedup,

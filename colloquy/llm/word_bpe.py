@@ -118,16 +118,16 @@ def to_blocks(path: str, buckets: int) -> Callable[[Iterator[pd.DataFrame]], Ite
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         split, task, n = splitter(path), TaskContext.get().partitionId(), count()
 
-        def close(ids: list, codes: list[np.ndarray], table: dict[str, int]) -> pd.DataFrame:
+        def close(ids: list, codes: list[np.ndarray], table: dict[str, int]) -> Iterator[pd.DataFrame]:
             parts: dict[int, tuple[list[str], list[int]]] = {}
             for word, code in table.items():
                 own = parts.setdefault(zlib.crc32(word.encode()) % buckets, ([], []))
                 own[0].append(word)
                 own[1].append(code)
             block = (task << 32) + next(n)
-            docs = pd.DataFrame({"block": block, "_id": pd.Series(ids, dtype=object), "codes": [pack(c) for c in codes], "bucket": pd.NA, "words": None, "slots": None})
-            words = pd.DataFrame({"block": block, "_id": None, "codes": None, "bucket": list(parts), "words": ["\n".join(w) for w, _ in parts.values()], "slots": [pack(np.array(s)) for _, s in parts.values()]})
-            return pd.concat([docs, words]) if parts else docs
+            yield pd.DataFrame({"block": block, "_id": pd.Series(ids, dtype=object), "codes": [pack(c) for c in codes], "bucket": None, "words": None, "slots": None})
+            if parts:
+                yield pd.DataFrame({"block": block, "_id": None, "codes": None, "bucket": list(parts), "words": ["\n".join(w) for w, _ in parts.values()], "slots": [pack(np.array(s)) for _, s in parts.values()]})
 
         ids, codes, chars = [], [], 0
         table: dict[str, int] = defaultdict(count().__next__)
@@ -135,14 +135,14 @@ def to_blocks(path: str, buckets: int) -> Callable[[Iterator[pd.DataFrame]], Ite
             for ident, text in zip(batch["_id"], batch["_text"], strict=True):
                 text = text or ""
                 if ids and chars + len(text) > BLOCK_CHARS:
-                    yield close(ids, codes, table)
+                    yield from close(ids, codes, table)
                     ids, codes, chars, table = [], [], 0, defaultdict(count().__next__)
                 words = split(text)
                 ids.append(None if pd.isna(ident) else ident)
                 codes.append(np.fromiter(map(table.__getitem__, words), np.uint32, len(words)))
                 chars += len(text)
         if ids:
-            yield close(ids, codes, table)
+            yield from close(ids, codes, table)
 
     return run
 
