@@ -9,12 +9,14 @@ from pyspark.sql import functions as F
 
 from . import sql
 from .exact_dedup import find_copies
+from .language_id import fit_dictionaries, held_out, identify
 from .line_rules import apply_line_rules
 from .mixing import plan_mix
 from .ngram_join import similarity_join
 from .pii import BASE, KINDS, find_personal_data
 from .repeated_bytes import remove_repeats
 from .token_store import new_folder, read_sums, write_store
+from .toxicity import THRESHOLD, fit, score
 from .word_bpe import encode_decode
 
 
@@ -58,12 +60,23 @@ def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_copies(documents(spark, sf_dir)).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    return identify(docs, fit_dictionaries(docs)).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score", "accepted")
+
+
 def op7_repeated_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(documents(spark, sf_dir)).select(
         "doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256")
     )
 
 
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    model = fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return score(docs, model).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
+
+
 def op9_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     of = lambda *kinds: F.filter("spans", lambda s: s["kind"].isin(*kinds))
     line = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
@@ -93,7 +106,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_word_bpe": op3_word_bpe,
         "op4_ngram_join": op4_ngram_join,
         "op5_exact_dedup": op5_exact_dedup,
+        "op6_language_id": op6_language_id,
         "op7_repeated_bytes": op7_repeated_bytes,
+        "op8_toxicity": op8_toxicity,
         "op9_personal_data": op9_personal_data,
         "op10_source_mix": op10_source_mix,
     }
