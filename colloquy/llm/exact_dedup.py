@@ -67,8 +67,10 @@ def find_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     full = rows.mapInPandas(texts, f"_id {kind}, _hash binary, _bytes binary, text_sha256 string")
     chosen = full.join(many, "_hash").where(F.col("_id").eqNullSafe(F.col("keep_id"))).groupBy("_hash").agg(F.min("_bytes").alias("_kept_bytes"))
     compared = full.join(many.select("_hash"), "_hash", "left_semi").join(stored(chosen, "exact-chosen"), "_hash")
+    # Stored before they are grouped, so that the join may split the rows of one hash.
+    differing = stored(compared.where(F.col("_bytes") != F.col("_kept_bytes")).drop("_kept_bytes", "keep_id"), "exact-differing")
     odd = stored(
-        compared.where(F.col("_bytes") != F.col("_kept_bytes")).groupBy("_hash", "_bytes").agg(best("_id").alias("keep_id"), F.count("*").alias("group_size"), F.first("text_sha256").alias("text_sha256")).drop("_bytes"),
+        differing.groupBy("_hash", "_bytes").agg(best("_id").alias("keep_id"), F.count("*").alias("group_size"), F.first("text_sha256").alias("text_sha256")).drop("_bytes"),
         "exact-collisions",
     )
 
@@ -90,3 +92,16 @@ def find_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         (F.col("_id").eqNullSafe(F.col("keep_id")) & (F.col("_copy") == 1)).alias("kept"),
         "text_sha256",
     )
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "max") -> DataFrame:
+    """The rows of ``docs`` that stay, all columns; of rows that repeat an id and a text the least one."""
+
+    @F.pandas_udf("string")
+    def digest(texts: pd.Series) -> pd.Series:
+        return pd.Series([hashlib.sha256(normalise(x)).hexdigest() for x in texts])
+
+    kept = find_copies(docs, id_col, text_col, keep).where("kept").select(F.col(id_col).alias("_id"), F.col("text_sha256").alias("_sha"))
+    rows = docs.select(F.struct(*docs.columns).alias("_row"), F.col(id_col).alias("_own"), digest(text_col).alias("_digest"))
+    found = rows.join(kept, F.col("_own").eqNullSafe(F.col("_id")) & (F.col("_digest") == F.col("_sha")), "left_semi")
+    return found.groupBy("_own", "_digest").agg(F.min("_row").alias("_row")).select("_row.*")
