@@ -14,6 +14,8 @@ result. Other columns pass through.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -40,25 +42,41 @@ def base_measures(text: Column) -> dict[str, Column]:
     }
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once, wherever the optimizer moves the expression."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def repeated_words(words: Column) -> Column:
+    """Words covered by 3-word windows that occur twice or more among ``words``."""
+    last = F.size(words) - 3
+    window = lambda i: F.struct(F.xxhash64(F.get(words, i), F.get(words, i + 1), F.get(words, i + 2)).alias("h"), i.alias("p"))
+    # Sorted by (hash, place), equal windows are neighbours.
+    windows = F.when(last >= 0, F.sort_array(F.transform(F.sequence(F.lit(0), F.greatest(last, F.lit(0))), window)))
+
+    def covered(places: Column) -> Column:
+        # A window adds three words, less those that the next repeated one covers.
+        step = lambda p, j: F.least(F.coalesce(F.get(places, j + 1) - p, F.lit(3)), F.lit(3))
+        return F.aggregate(F.transform(places, step), F.lit(0), lambda a, b: a + b)
+
+    def places(ordered: Column) -> Column:
+        at = lambda j: F.get(ordered, j)["h"]
+        return F.sort_array(F.transform(F.filter(ordered, lambda x, j: (x["h"] == at(j - 1)) | (x["h"] == at(j + 1))), lambda x: x["p"]))
+
+    return F.coalesce(let(let(windows, places), covered), F.lit(0))
+
+
 def with_base_rules(docs: DataFrame, text_col: str) -> DataFrame:
     """Add n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed."""
     text = F.coalesce(F.col(text_col), F.lit(""))
+    lines = F.filter(F.split(text, "\n"), lambda x: x.rlike(WORD))
     out = docs.withColumns(
-        base_measures(text) | {"_words": F.regexp_extract_all(text, F.lit(f"({WORD})"), F.lit(1)), "_lines": F.filter(F.split(text, "\n"), lambda x: x.rlike(WORD))}
-    )
-    out = out.withColumn("n_dup_lines", (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long"))
-    # 3-word windows as (hash, position), sorted, so that equal windows are neighbours.
-    last = F.size("_words") - 3
-    word = lambda i: F.get(F.col("_words"), i)
-    windows = F.when(last < 0, F.array().cast("array<struct<h:bigint,p:int>>")).otherwise(
-        F.sort_array(F.transform(F.sequence(F.lit(0), F.greatest(last, F.lit(0))), lambda i: F.struct(F.xxhash64(word(i), word(i + 1), word(i + 2)).alias("h"), i.alias("p"))))
+        base_measures(text)
+        | {
+            "n_dup_lines": let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long"),
+            "n_repeat_words": let(F.regexp_extract_all(text, F.lit(f"({WORD})"), F.lit(1)), repeated_words).cast("long"),
+        }
     )
-    out = out.withColumn("_windows", windows).drop("_words", "_lines")
-    at = lambda j: F.get(F.col("_windows"), j)["h"]
-    out = out.withColumn("_again", F.sort_array(F.transform(F.filter("_windows", lambda x, j: (x["h"] == at(j - 1)) | (x["h"] == at(j + 1))), lambda x: x["p"]))).drop("_windows")
-    # A window adds three words, less those that the next repeated one covers.
-    step = lambda p, j: F.least(F.coalesce(F.get(F.col("_again"), j + 1) - p, F.lit(3)), F.lit(3))
-    out = out.withColumn("n_repeat_words", F.aggregate(F.transform("_again", step), F.lit(0), lambda a, b: a + b).cast("long")).drop("_again")
     return out.withColumn("base_failed", (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEATED_PERCENT * F.col("n_words")))
 
 
