@@ -21,6 +21,7 @@ empty result. Only the id and the text are read.
 from __future__ import annotations
 
 import functools
+import os
 import re
 import zlib
 from collections import defaultdict
@@ -37,9 +38,9 @@ from pyspark.sql import functions as F
 from .common import stored
 
 #: Characters of text that make one block; a longer document is a block of its own.
-BLOCK_CHARS = 6_000_000
+BLOCK_CHARS = 12_000_000
 #: Words that are encoded in one call of the library.
-ENCODE_BATCH = 10_000
+ENCODE_BATCH = 1_000
 
 #: Texts of these characters alone need neither the library's NFC nor its Unicode
 #: tables: ASCII and the Latin letters up to U+024F, less the dotted capital I,
@@ -75,6 +76,8 @@ class Encoder:
     """Ids of single words, and the piece of each id."""
 
     def __init__(self, path: str) -> None:
+        # Tasks fill the cores already; the library's own threads would only compete.
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -119,15 +122,23 @@ def to_blocks(path: str, buckets: int) -> Callable[[Iterator[pd.DataFrame]], Ite
         split, task, n = splitter(path), TaskContext.get().partitionId(), count()
 
         def close(ids: list, codes: list[np.ndarray], table: dict[str, int]) -> Iterator[pd.DataFrame]:
+            # Frequent words get low numbers, which pack best.
+            uses = sum((np.bincount(c, minlength=len(table)) for c in codes), np.zeros(len(table), np.int64))
+            order = np.argsort(-uses, kind="stable")
+            rank = np.empty(len(table), np.uint32)
+            rank[order] = np.arange(len(table), dtype=np.uint32)
+            found = list(table)
             parts: dict[int, tuple[list[str], list[int]]] = {}
-            for word, code in table.items():
-                own = parts.setdefault(zlib.crc32(word.encode()) % buckets, ([], []))
-                own[0].append(word)
+            for code, at in enumerate(order.tolist()):
+                own = parts.setdefault(zlib.crc32(found[at].encode()) % buckets, ([], []))
+                own[0].append(found[at])
                 own[1].append(code)
             block = (task << 32) + next(n)
-            yield pd.DataFrame({"block": block, "_id": pd.Series(ids, dtype=object), "codes": [pack(c) for c in codes], "bucket": None, "words": None, "slots": None})
+            yield pd.DataFrame({"block": block, "_id": pd.Series(ids, dtype=object), "codes": [pack(rank[c]) for c in codes], "bucket": None, "words": None, "slots": None})
             if parts:
-                yield pd.DataFrame({"block": block, "_id": None, "codes": None, "bucket": list(parts), "words": ["\n".join(w) for w, _ in parts.values()], "slots": [pack(np.array(s)) for _, s in parts.values()]})
+                words = [zstandard.compress("\n".join(w).encode()) for w, _ in parts.values()]
+                slots = [pack(np.diff(s, prepend=0)) for _, s in parts.values()]
+                yield pd.DataFrame({"block": block, "_id": None, "codes": None, "bucket": list(parts), "words": words, "slots": slots})
 
         ids, codes, chars = [], [], 0
         table: dict[str, int] = defaultdict(count().__next__)
@@ -151,7 +162,7 @@ def encode_bucket(path: str) -> Callable[[pd.DataFrame], pd.DataFrame]:
     """Each distinct word of a bucket is encoded once, for all blocks that hold it."""
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
-        held = [x.split("\n") for x in rows["words"]]
+        held = [zstandard.decompress(x).decode().split("\n") for x in rows["words"]]
         place: dict[str, int] = defaultdict(count().__next__)
         at = [np.fromiter(map(place.__getitem__, words), np.int64, len(words)) for words in held]
         found = encoder(path).ids(list(place))
@@ -160,7 +171,7 @@ def encode_bucket(path: str) -> Callable[[pd.DataFrame], pd.DataFrame]:
         starts = np.cumsum(sizes) - sizes
         return pd.DataFrame({
             "block": rows["block"],
-            "slots": rows["slots"],
+            "bucket": rows["bucket"],
             "sizes": [pack(sizes[a]) for a in at],
             "ids": [pack(flat[runs(starts[a], sizes[a])]) for a in at],
         })
@@ -178,7 +189,11 @@ def assemble(path: str, kind: str) -> Callable[[pd.DataFrame, pd.DataFrame], pd.
     """Documents of a block from positions, with the ids of the block's words."""
 
     def run(docs: pd.DataFrame, words: pd.DataFrame) -> pd.DataFrame:
-        slots, sizes, ids = (np.concatenate([unpack(x) for x in words[c]] or [np.zeros(0, np.uint32)]).astype(np.int64) for c in ("slots", "sizes", "ids"))
+        listed = docs["bucket"].notna()
+        words = words.merge(docs.loc[listed, ["bucket", "slots"]], on="bucket")
+        docs = docs[~listed]
+        column = lambda c, f: np.concatenate([f(unpack(x)) for x in words[c]] or [np.zeros(0)]).astype(np.int64)
+        slots, sizes, ids = column("slots", np.cumsum), column("sizes", np.asarray), column("ids", np.asarray)
         starts = np.cumsum(sizes) - sizes
         start_of, size_of = np.zeros(len(slots), np.int64), np.zeros(len(slots), np.int64)
         start_of[slots], size_of[slots] = starts, sizes
@@ -203,10 +218,10 @@ def encode_decode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col:
     kind = docs.schema[id_col].dataType.simpleString()
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
     blocks = stored(
-        docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).mapInPandas(to_blocks(path, buckets), f"block long, _id {kind}, codes binary, bucket int, words string, slots binary"),
+        docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).mapInPandas(to_blocks(path, buckets), f"block long, _id {kind}, codes binary, bucket int, words binary, slots binary"),
         "bpe-blocks",
     )
-    encoded = blocks.where("bucket IS NOT NULL").select("block", "bucket", "words", "slots").groupBy("bucket").applyInPandas(encode_bucket(path), "block long, slots binary, sizes binary, ids binary")
-    texts = blocks.where("bucket IS NULL").select("block", "_id", "codes")
+    encoded = blocks.where("bucket IS NOT NULL").select("block", "bucket", "words").groupBy("bucket").applyInPandas(encode_bucket(path), "block long, bucket int, sizes binary, ids binary")
+    texts = blocks.select("block", "_id", "codes", "bucket", "slots")
     out = texts.groupBy("block").cogroup(encoded.groupBy("block")).applyInPandas(assemble(path, kind), f"_id {kind}, n_tokens long, ids binary, decoded string")
     return out.withColumnRenamed("_id", id_col)
