@@ -27,6 +27,7 @@ from __future__ import annotations
 
 import functools
 import hashlib
+import os
 import re
 import uuid
 import zlib
@@ -45,6 +46,8 @@ from .common import maybe_broadcast, shared_folder, stored, with_running_totals
 #: after MAX_CHUNK ids.
 WINDOW, MASK, MAX_CHUNK = 8, 255, 2048
 HASH_BYTES = 16
+#: Texts that are encoded in one call of the library.
+ENCODE_BATCH = 1_000
 #: Words remembered by a worker: two generations of at most this many.
 REMEMBERED = 300_000
 #: Chunk numbers (8 bytes each) that are sent to all executors up to this many.
@@ -64,6 +67,8 @@ class TextEncoder:
     """Texts to ids, as the library has them."""
 
     def __init__(self, path: str) -> None:
+        # Tasks fill the cores already; the library's own threads would only compete.
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
@@ -73,7 +78,10 @@ class TextEncoder:
         self.old: dict[str, bytes | None] = {}
 
     def raw(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, self.dtype).tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
+        out = []
+        for at in range(0, len(texts), ENCODE_BATCH):
+            out += [np.array(e.ids, self.dtype).tobytes() for e in self.library.encode_batch_fast(texts[at : at + ENCODE_BATCH], add_special_tokens=False)]
+        return out
 
     def learn(self, words: set[str]) -> None:
         """Remember the ids of words, each with the space before it; None if its ends aren't sure."""
