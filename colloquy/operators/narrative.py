@@ -11,10 +11,10 @@ MAX_SENTENCES = 2
 
 #: Fixed lists of words that a sentence about a chat must not use.
 BANNED = {
-    "verdict": ("집착", "무관심", "회피", "의존", "애정결핍"),
-    "certainty": ("확실히", "분명히", "틀림없이", "반드시"),
-    "advice": ("해야 합니다", "하세요", "추천합니다"),
-    "diagnosis": ("우울", "불안장애", "자존감", "심리"),
+    "word": ("포기", "가망", "그만두", "손절", "아깝"),
+    "prediction": ("이어질", "잘 될", "잘될", "가능성이", "확률", "전망"),
+    "advice": ("힘드셨", "해보세요", "하세요", "추천", "걱정하지", "괜찮아질"),
+    "scope": ("평생", "항상", "한 번도", "단 한 번"),
 }
 
 

@@ -115,3 +115,53 @@ def merged_pages(paged: DataFrame) -> DataFrame:
     placed = paged.withColumn("_at", F.row_number().over(order)).join(page_overlaps(paged), ["chat", "page"], "left")
     kept = placed.where(F.col("_at") > F.coalesce("overlap", F.lit(0)))
     return kept.select("chat", "page", (F.row_number().over(Window.partitionBy("chat").orderBy("page", "_at")) - 1).alias("seq"), "key")
+
+
+#: Fixed texts of the app's own controls.
+CONTROLS = ("메시지 입력", "메시지를 입력하세요", "전송", "대화 상대 검색", "보내기")
+TOP_SHARE, LEAST_HANGUL, STICKER = 0.12, 0.5, 1.8
+
+
+def hangul_share(text: Column) -> Column:
+    """Share of Korean letters among the characters that aren't white space."""
+    plain = F.regexp_replace(text, r"\s", "")
+    return F.when(F.length(plain) == 0, 0.0).otherwise(F.regexp_count(plain, F.lit("[가-힣ㄱ-ㅎㅏ-ㅣ]")) / F.length(plain))
+
+
+def prepared(lines: DataFrame) -> DataFrame:
+    """Lines of (page, ..., height of the page) that belong to the conversation, with the reason of those that don't.
+
+    Controls go; of the top of a page only labels and Korean text stay; text much taller than
+    the page's upper median is a sticker's; and lines must begin in the other's column or end in mine.
+    """
+    label = time_label(F.col("text")).isNotNull() | date_label(F.col("text")).isNotNull()
+    middle, tall = (F.col("y0") + F.col("y1")) / 2, F.col("y1") - F.col("y0")
+    tolerance = F.greatest(F.lit(20.0), 0.05 * F.col("width"))
+    rows = side(lines).withColumns({"_label": label, "_tall": tall, "_tol": tolerance})
+    body = rows.where("NOT _label")
+    upper = body.groupBy("page").agg(F.array_sort(F.collect_list("_tall")).alias("h")).select("page", F.get("h", F.floor(F.size("h") / 2).cast("int")).alias("_median"))
+    left = column_of(body.where("who = 'other'"), "x0").select("page", F.col("column").alias("_left"))
+    right = column_of(body.where("who = 'me'"), "x1").select("page", F.col("column").alias("_right"))
+    rows = rows.join(upper, "page", "left").join(left, "page", "left").join(right, "page", "left")
+    t, top = trim(F.col("text")), middle <= F.col("height") * TOP_SHARE
+    reason = (
+        F.when(F.exists(F.array(*map(F.lit, CONTROLS)), lambda c: F.startswith(t, c)), "control")
+        .when(F.col("_label"), None)
+        .when(top & (hangul_share(F.col("text")) < LEAST_HANGUL), "top")
+        .when((F.col("_median") > 0) & (F.col("_tall") > F.col("_median") * STICKER), "sticker")
+        .when((F.col("who") == "other") & (F.abs(F.col("x0") - F.col("_left")) > F.col("_tol")), "column")
+        .when((F.col("who") == "me") & top & (F.abs(F.col("x1") - F.col("_right")) > F.col("_tol")), "column")
+        .when((F.col("who") == "me") & (F.col("x1") > F.col("_right") + F.col("_tol")), "column")
+    )
+    return rows.withColumn("dropped", reason).drop("_label", "_tall", "_tol", "_median", "_left", "_right")
+
+
+def name_labels(lines: DataFrame) -> DataFrame:
+    """(page, text) of short texts that repeat, only on the other's side, with a line of mine between: sender names."""
+    rows = side(lines).withColumn("_text", trim(F.col("text")))
+    order = Window.partitionBy("page").orderBy("y0", "x0", "line")
+    rows = rows.withColumn("_mine", F.sum((F.col("who") == "me").cast("int")).over(order))
+    found = rows.where(F.length("_text").between(1, 12) & time_label(F.col("_text")).isNull() & date_label(F.col("_text")).isNull()).groupBy("page", "_text").agg(
+        F.count("*").alias("n"), F.bool_and(F.col("who") == "other").alias("theirs"), F.count_distinct("_mine").alias("turns")
+    )
+    return found.where("n > 1 AND theirs AND turns > 1").select("page", F.col("_text").alias("text"))

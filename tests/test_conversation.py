@@ -164,3 +164,14 @@ def test_query_equals_its_sql(spark, duck, name):
 def test_entry_and_registry(spark):
     assert entry.entry(spark).count() == 5
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_lines_that_are_not_of_the_conversation(spark):
+    rows = [(1, i, t, float(x0), float(y), float(x1), float(y + h), 0.9, 600.0, 1000.0) for i, (t, x0, x1, y, h) in enumerate([
+        ("LTE 98%", 500, 580, 10, 20), ("메시지 입력", 62, 200, 960, 20), ("오전 9:11", 230, 290, 200, 16), ("안녕", 62, 120, 200, 20), ("지연", 62, 100, 180, 20),
+        ("응 그래", 500, 578, 260, 20), ("WOW", 80, 300, 330, 90), ("배너", 220, 290, 400, 20), ("지연", 62, 100, 440, 20), ("또 봐", 62, 130, 470, 20),
+    ])]
+    df = spark.createDataFrame(rows, "page long, line long, text string, x0 double, y0 double, x1 double, y1 double, confidence double, width double, height double")
+    got = {r["line"]: r["dropped"] for r in pages.prepared(df).collect()}
+    assert got == {0: "top", 1: "control", 2: None, 3: None, 4: None, 5: None, 6: "sticker", 7: "column", 8: None, 9: None}
+    assert [r["text"] for r in pages.name_labels(df).collect()] == ["지연"]
