@@ -101,7 +101,9 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ke
     def digest(texts: pd.Series) -> pd.Series:
         return pd.Series([hashlib.sha256(normalise(x)).hexdigest() for x in texts])
 
-    kept = find_copies(docs, id_col, text_col, keep).where("kept").select(F.col(id_col).alias("_id"), F.col("text_sha256").alias("_sha"))
+    copies = stored(find_copies(docs, id_col, text_col, keep).select(F.col(id_col).alias("_id"), F.col("text_sha256").alias("_sha"), "kept"), "exact-copies")
     rows = docs.select(F.struct(*docs.columns).alias("_row"), F.col(id_col).alias("_own"), digest(text_col).alias("_digest"))
-    found = rows.join(kept, F.col("_own").eqNullSafe(F.col("_id")) & (F.col("_digest") == F.col("_sha")), "left_semi")
+    found = rows.join(copies.where("kept").drop("kept"), F.col("_own").eqNullSafe(F.col("_id")) & (F.col("_digest") == F.col("_sha")), "left_semi")
+    if copies.groupBy("_id", "_sha").count().where("count > 1").isEmpty():
+        return found.select("_row.*")  # no id is repeated with its text, so every row found stays
     return found.groupBy("_own", "_digest").agg(F.min("_row").alias("_row")).select("_row.*")
