@@ -27,6 +27,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import stored
 from .language_id import held_out
 
 #: Bounds of the fitting sample and of the model.
@@ -34,6 +35,7 @@ SAMPLE = 20_000
 FEATURES = 4_000
 LEAST_TEXTS = 3
 BEGINNINGS = (4, 5, 6)
+TEXTS_PER_BATCH = 200
 STEPS, RATE, RIDGE = 300, 0.1, 1e-4
 #: Weight of the counterfactual term.
 SWAP_WEIGHT = 1.0
@@ -127,7 +129,7 @@ def fit_weights(texts: list[list[int]], toxic: np.ndarray, size: int, swaps: np.
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", swap_weight: float = SWAP_WEIGHT) -> Model:
     """Fit on the labelled sample."""
-    sample = labelled_sample(docs, labels, id_col, text_col, label_col)
+    sample = stored(labelled_sample(docs, labels, id_col, text_col, label_col), "toxicity-sample")
     totals = {r["toxic"]: r["count"] for r in sample.groupBy((F.col("toxic") > 0).cast("int").alias("toxic")).count().collect()}
     ones, zeros = totals.get(1, 0), totals.get(0, 0)
     if not ones or not zeros:
@@ -135,9 +137,11 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 
     def words(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            for text, toxic in zip(b["_text"], b["toxic"], strict=True):
-                found = list(features_of(text))
-                yield pd.DataFrame({"feature": pd.Series(found, dtype=object), "one": int(toxic > 0)})
+            for at in range(0, len(b), TEXTS_PER_BATCH):
+                part = b.iloc[at : at + TEXTS_PER_BATCH]
+                found = [list(features_of(t)) for t in part["_text"]]
+                ones_ = np.repeat((part["toxic"] > 0).astype(int).to_numpy(), [len(f) for f in found])
+                yield pd.DataFrame({"feature": pd.Series([x for f in found for x in f], dtype=object), "one": ones_})
 
     counted = sample.mapInPandas(words, "feature string, one int").groupBy("feature").agg(F.sum("one").alias("a"), F.count("*").alias("n")).where(F.col("n") >= LEAST_TEXTS)
     share = F.col("n") / float(ones + zeros)
