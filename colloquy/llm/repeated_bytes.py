@@ -36,7 +36,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_enough, stored
+from .common import maybe_broadcast, small_enough, stored
 
 LENGTH = 200
 GRAM = 64
@@ -46,6 +46,8 @@ SIDE = (LENGTH - GRAM) // 2
 #: (about 20 bytes each) that round 4 does; more are joined by a shuffle.
 RANKS_TO_BROADCAST = 2_000_000
 RUNS_TO_BROADCAST = 2_000_000
+#: Kinds of runs (16 bytes each) that are sent to all executors at most.
+KINDS_TO_BROADCAST = 1_500_000
 ROWS_PER_BATCH = 50_000
 #: Bytes of text that are looked at in one piece; pieces overlap by a window.
 PIECE = 1 << 20
@@ -207,6 +209,24 @@ def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return [(a, z) for a, z in out]
 
 
+def joined(of: list[str]) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+    """Spans (of, start, end), those that touch and stand side by side as one; a batch at a time."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            if len(b):
+                new = np.ones(len(b), bool)
+                start, end = b["start"].to_numpy(), b["end"].to_numpy()
+                new[1:] = (start[1:] < start[:-1]) | (start[1:] > end[:-1])
+                for c in of:
+                    own = b[c].to_numpy()
+                    new[1:] |= own[1:] != own[:-1]
+                at = np.flatnonzero(new)
+                yield b.iloc[at].assign(end=np.maximum.reduceat(end, at))[[*of, "start", "end"]]
+
+    return run
+
+
 def cut(id_kind: str) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -238,7 +258,10 @@ def repeated_spans(texts: DataFrame) -> DataFrame:
         runs.groupBy(*run).agg(F.count("*").alias("n"), F.min(F.struct("_id", "key", "pos", "first", "last")).alias("at"), F.first("left").alias("left"), F.first("right").alias("right")),
         "repeat-kinds",
     )
-    settled = runs.join(stored(kinds.where("n > 1").select(*run), "repeat-settled"), run, "left_semi").select("_id", "key", F.col("first").alias("start"), (F.col("last") + LENGTH).alias("end"))
+    whole = maybe_broadcast(stored(kinds.where("n > 1").select(*run), "repeat-settled"), KINDS_TO_BROADCAST)
+    settled = runs.join(whole, run, "left_semi").select("_id", "key", F.col("first").alias("start"), (F.col("last") + LENGTH).alias("end"))
+    # Runs are stored text by text, so that neighbours are mostly side by side.
+    settled = settled.mapInPandas(joined(["_id", "key"]), f"_id {kind}, key long, start int, end int")
 
     shared = lambda side: kinds.where(F.col(side).isNotNull()).groupBy(side).agg(F.count("*").alias("k")).where("k > 1").select(side, F.lit(True).alias(f"by_{side}"))
     open_ = kinds.join(stored(shared("left"), "repeat-left"), "left", "left").join(stored(shared("right"), "repeat-right"), "right", "left").where("by_left OR by_right")
@@ -251,7 +274,9 @@ def repeated_spans(texts: DataFrame) -> DataFrame:
     windows = keyed(texts).join(few.withColumnsRenamed({"_id": "_i", "key": "_k"}), same_row("_i", "_k")).select("number", "_text", "runs")
     ranked = windows.mapInPandas(single_windows, "rank_a long, rank_b long, number long, start int")
     twice = ranked.repartition("rank_a", "rank_b").sortWithinPartitions("rank_a", "rank_b").mapInPandas(repeated_windows, "number long, start int")
-    single = stored(twice, "repeat-windows").join(listed.select("number", "_id", "key"), "number").select("_id", "key", "start", (F.col("start") + LENGTH).alias("end"))
+    spans = stored(twice, "repeat-windows").repartition("number").sortWithinPartitions("number", "start").withColumn("end", F.col("start") + LENGTH)
+    spans = stored(spans.mapInPandas(joined(["number"]), "number long, start int, end int"), "repeat-single")
+    single = spans.join(listed.select("number", "_id", "key"), "number").select("_id", "key", "start", "end")
     return settled.union(single).groupBy("_id", "key").agg(F.collect_set(F.struct("start", "end")).alias("spans"))
 
 

@@ -129,5 +129,6 @@ def test_repeated_bytes(docs, rows, none, monkeypatch):
     # Both ways of joining give the same.
     monkeypatch.setattr(repeated_bytes, "RANKS_TO_BROADCAST", 0)
     monkeypatch.setattr(repeated_bytes, "RUNS_TO_BROADCAST", 0)
+    monkeypatch.setattr(repeated_bytes, "KINDS_TO_BROADCAST", 0)
     assert read() == want
     assert repeated_bytes.remove_repeats(none).count() == 0
