@@ -20,6 +20,11 @@ too. What still remains (sets that are almost wholly made of common features and
 yet not connected) gives its pairs, but for those whose sizes and features of their own
 leave too little to share; two sets of which each has more than a ninth to itself never link.
 
+Links are counted once the components are known, as no link leaves a component. A link with
+an end that is done with after the small groups is among the pairs those gave. All others
+join two members of large groups in one component: there every two sets of near sizes
+are compared, block by block, and only a count for each set leaves a task.
+
 Candidates are refuted by feature counts (the difference of two histograms is at
 most the difference of the sets), and the rest verified on whole sets. Features
 and sets are known by 64-bit hashes.
@@ -63,6 +68,9 @@ HOT_SHARE, HOT_LEAST = 1e-5, 16
 #: Set ids (8 bytes each) are sent to all executors up to this many.
 IDS_TO_BROADCAST = 1_000_000
 ROWS_PER_BATCH = 200_000
+#: Features in a block of sets that are compared with each other. Sizes of sets that link
+#: differ by less than SIZE_RATIO.
+BLOCK_FEATURES, SIZE_RATIO = 500_000, 1.3
 CACHED_WORDS = 400_000
 
 U = np.uint64
@@ -329,10 +337,96 @@ def across(left: DataFrame) -> DataFrame:
     return left.join(stored(several, "join-several"), "sig", "left_semi")
 
 
-def pairs_of_rest(members: DataFrame, labels: DataFrame, sets: DataFrame, docs: DataFrame) -> DataFrame | None:
-    """Candidates (a, b) of the large groups that small groups don't give; None if there are none."""
+def links_among(left: list[tuple[int, np.ndarray]], right: list[tuple[int, np.ndarray]]) -> pd.DataFrame:
+    """(set, n_links): links between the sets of ``left`` and ``right``, or within ``left`` if ``right`` is empty."""
+    both = sorted(left, key=lambda x: len(x[1])) + sorted(right, key=lambda x: len(x[1]))
+    sizes = np.array([len(f) for _, f in both])
+    at = np.unique(np.concatenate([f for _, f in both]), return_inverse=True)[1]
+    starts = np.concatenate([[0], np.cumsum(sizes)])
+    mark, out = np.zeros(at.max() + 1, np.uint8), np.zeros(len(both), np.int64)
+    for x in range(len(left)):
+        first, near = (len(left), sizes[len(left) :]) if right else (x + 1, sizes[x + 1 :])
+        low = first + np.searchsorted(near, -(-PERCENT * sizes[x] // 100), "left")
+        high = first + np.searchsorted(near, 100 * sizes[x] // PERCENT, "right")
+        if low >= high:
+            continue
+        own = at[starts[x] : starts[x + 1]]
+        mark[own] = 1
+        shared = np.add.reduceat(mark[at[starts[low] : starts[high]]], starts[low:high] - starts[low], dtype=np.int64)
+        mark[own] = 0
+        ok = 100 * shared >= PERCENT * (sizes[x] + sizes[low:high] - shared)
+        out[x] += np.count_nonzero(ok)
+        out[low:high] += ok
+    return pd.DataFrame({"set": np.array([own for own, _ in both], np.int64), "n_links": out})
+
+
+def links_of_blocks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """(set, n_links) from rows in which those of two blocks to compare are neighbours."""
+    key, left, right = None, [], []
+    for b in batches:
+        for x, own, features, second in zip(zip(*[b[c] for c in BLOCKS], strict=True), b["set"], b["features"], b["second"], strict=True):
+            if x != key:
+                if len(left) + len(right) > 1 and left:
+                    yield links_among(left, right)
+                key, left, right = x, [], []
+            (right if second else left).append((own, np.frombuffer(features, U)))
+    if len(left) + len(right) > 1 and left:
+        yield links_among(left, right)
+
+
+BLOCKS = ("comp", "low", "high", "i", "j")
+
+
+def links_in_components(inside: DataFrame, sets: DataFrame, docs: DataFrame) -> DataFrame:
+    """(set, n_links) out of (set, comp): links between any two of these sets in one component.
+
+    A component is dealt by size, as far as it is large, and each size into blocks of bounded
+    features; blocks of a size meet each other and those of the next size.
+    """
+    sized = inside.join(sets.select("set", "n"), "set")
+    whole = stored(sized.groupBy("comp").agg(F.count("*").alias("members"), F.sum("n").alias("total")).where("members > 1"), "join-comps")
+    size = F.when(F.col("total") <= BLOCK_FEATURES, 0).otherwise(F.floor(F.log("n") / float(np.log(SIZE_RATIO)))).cast("int")
+    sized = stored(sized.join(maybe_broadcast(whole, IDS_TO_BROADCAST), "comp").select("set", "n", "comp", size.alias("size")), "join-sized")
+    blocks = stored(sized.groupBy("comp", "size").agg(F.ceil(F.sum("n") / BLOCK_FEATURES).cast("int").alias("blocks")), "join-blocks")
+    for name, step in (("blocks", 0), ("above", 1), ("below", -1)):
+        at = blocks.select("comp", (F.col("size") - step).alias("size"), F.col("blocks").alias(name))
+        sized = sized.join(maybe_broadcast(at, IDS_TO_BROADCAST), ["comp", "size"], "left")
+    own = F.pmod("set", "blocks").cast("int")
+    upto = lambda c: F.when(F.col(c) > 0, F.sequence(F.lit(0), F.col(c) - 1)).otherwise(F.array().cast("array<int>"))
+    task = lambda low, high, i, j, second: F.struct(low.alias("low"), high.alias("high"), i.alias("i"), j.alias("j"), second.alias("second"))
+    s = F.col("size")
+    tasks = F.concat(
+        F.transform(upto("blocks"), lambda x: task(s, s, F.least(x, own), F.greatest(x, own), x < own)),
+        F.transform(upto("above"), lambda x: task(s, s + 1, own, x, F.lit(False))),
+        F.transform(upto("below"), lambda x: task(s - 1, s, x, own, F.lit(True))),
+    )
+    held = features_by_set(sized.select("set"), sets, docs)
+    met = sized.withColumn("task", F.explode(tasks)).select("set", "comp", "task.*").join(held, "set")
+    counts = met.repartition(*BLOCKS).sortWithinPartitions(*BLOCKS).mapInPandas(links_of_blocks, "set long, n_links long")
+    return counts.groupBy("set").agg(F.sum("n_links").alias("n_links"))
+
+
+def link_counts(links: DataFrame, poor: DataFrame, labels: DataFrame, sets: DataFrame, docs: DataFrame) -> DataFrame:
+    """(set, n_links): with how many other sets a set links."""
+    ends = links.select(F.col("a").alias("set"), F.col("b").alias("other")).union(links.select("b", "a"))
+    inside = stored(poor.select("set").distinct().join(labels.withColumnRenamed("v", "set"), "set"), "join-inside")
+    if inside.isEmpty():
+        return ends.groupBy("set").agg(F.count("*").alias("n_links"))
+    # Of two poor sets not all pairs were sought, so those found are not counted here.
+    mark = lambda c: maybe_broadcast(inside.select(F.col("set").alias(c), F.lit(True).alias(f"{c}_poor")), IDS_TO_BROADCAST)
+    known = ends.join(mark("set"), "set", "left").join(mark("other"), "other", "left").where("set_poor IS NULL OR other_poor IS NULL")
+    counts = known.groupBy("set").agg(F.count("*").alias("n_links")).union(links_in_components(inside, sets, docs))
+    return counts.groupBy("set").agg(F.sum("n_links").alias("n_links"))
+
+
+def poor_sets(members: DataFrame, sets: DataFrame) -> DataFrame:
+    """(set, bit) of the members of large groups that may have partners in those only."""
     counts = members.groupBy("set", F.col("sig").bitwiseAND(1).alias("bit")).agg(F.count("*").alias("_large"))
-    poor = counts.join(sets.select("set", "spare"), "set").where(F.col("_large") > F.get("spare", F.col("bit").cast("int"))).select("set", "bit")
+    return stored(counts.join(sets.select("set", "spare"), "set").where(F.col("_large") > F.get("spare", F.col("bit").cast("int"))).select("set", "bit"), "join-poor")
+
+
+def pairs_of_rest(members: DataFrame, poor: DataFrame, labels: DataFrame, sets: DataFrame, docs: DataFrame) -> DataFrame | None:
+    """Candidates (a, b) of the large groups that small groups don't give; None if there are none."""
     left = members.withColumn("bit", F.col("sig").bitwiseAND(1)).join(poor, ["set", "bit"], "left_semi")
     left = stored(left.join(labels.withColumnRenamed("v", "set"), "set", "left").select("sig", "set", "bit", F.coalesce("comp", "set").alias("comp")), "join-left")
     left = stored(across(left), "join-across")
@@ -359,11 +453,10 @@ def pairs_of_rest(members: DataFrame, labels: DataFrame, sets: DataFrame, docs:
     return stored(meeting.union(crossing).distinct(), "join-more")
 
 
-def similarity_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def similarity_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", count_links: bool = True) -> DataFrame:
     """Per row of ``docs``: id, n_shingles, set (class of equal sets), n_links, component_id and text_md5.
 
-    n_links counts the links that were verified between its set and other sets;
-    links within a component that was already connected are not sought.
+    n_links is the number of other sets with which its set links. Without ``count_links`` it is left out.
     """
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
@@ -376,20 +469,25 @@ def similarity_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     pairs = found.where("sig IS NULL").select("a", "b")
     links = verified(pairs, sets, rows)
     labels = connected_components(links)
-    more = pairs_of_rest(found.where("sig IS NOT NULL").select("sig", F.col("a").alias("set")), labels, sets, rows)
+    members = found.where("sig IS NOT NULL").select("sig", F.col("a").alias("set"))
+    poor = poor_sets(members, sets)
+    more = pairs_of_rest(members, poor, labels, sets, rows)
     if more is not None:
         links = stored(links.union(verified(more.join(pairs, ["a", "b"], "left_anti"), sets, rows)), "join-links")
         labels = connected_components(links)
 
     comps = sets.join(labels.withColumnRenamed("v", "set"), "set", "left").select("set", "first_id", F.coalesce("comp", "set").alias("comp"))
     lows = stored(comps.groupBy("comp").agg(F.min("first_id").alias("component_id")), "join-lows")
-    ends = links.select(F.col("a").alias("set")).union(links.select("b")).groupBy("set").agg(F.count("*").alias("n_links"))
-    of_set = stored(comps.join(lows, "comp").join(ends, "set", "left").select("set", "component_id", F.coalesce("n_links", F.lit(0)).alias("n_links")), "join-sets-done")
+    of_set = comps.join(lows, "comp").select("set", "component_id")
+    if count_links:
+        counts = stored(link_counts(links, poor, labels, sets, rows), "join-counts")
+        of_set = of_set.join(counts, "set", "left").select("set", "component_id", F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    of_set = stored(of_set, "join-sets-done")
     return known.select("_id", "key", "n", "set").join(of_set, "set", "left").select(
         F.col("_id").alias(id_col),
         F.col("n").alias("n_shingles"),
         F.when(F.col("n") > 0, F.col("set")).alias("set"),
-        F.coalesce("n_links", F.lit(0)).alias("n_links"),
+        *[F.coalesce("n_links", F.lit(0)).alias("n_links")] * count_links,
         F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("_id")).alias("component_id"),
         F.col("key").alias("text_md5"),
     )
@@ -400,7 +498,7 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
     Of rows that repeat an id and a set of features the least one stays.
     """
-    found = similarity_join(docs, id_col, text_col).where(F.col(id_col).eqNullSafe(F.col("component_id")))
+    found = similarity_join(docs, id_col, text_col, count_links=False).where(F.col(id_col).eqNullSafe(F.col("component_id")))
     found = stored(found.select(F.col(id_col).alias("_id"), F.col("text_md5").alias("_md5"), F.col("set").alias("_set")), "join-kept")
     own = F.unhex(F.md5(F.coalesce(F.col(text_col), F.lit("")).cast("binary")))
     rows = docs.select(F.struct(*docs.columns).alias("_row"), F.col(id_col).alias("_own"), own.alias("_key"))

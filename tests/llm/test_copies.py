@@ -106,6 +106,29 @@ def test_ngram_join_of_a_large_family_and_a_common_passage(spark):
     check_join(ngram_join.similarity_join(spark.createDataFrame(rows, "doc_id long, text string")).collect(), rows)
 
 
+def check_links(got, rows):
+    sets = {s for s in (shingles(t) for _, t, *_ in rows) if s}
+    links = {a: sum(a != b and 100 * len(a & b) >= 80 * len(a | b) for b in sets) for a in sets}
+    assert Counter((r["doc_id"], r["n_links"]) for r in got) == Counter((d, links.get(shingles(t), 0)) for d, t, *_ in rows)
+
+
+def test_ngram_join_counts_all_links(spark, monkeypatch):
+    import random
+
+    r = random.Random(5)
+    word = lambda: "".join(r.choice("abcdefghij") for _ in range(5))
+    base, made = [word() for _ in range(150)], []
+    for i in range(60):  # a family of several sizes, not all of which link
+        words = base + [word() for _ in range(r.choice([0, 0, 10, 30, 45, 60]))]
+        for _ in range(r.randint(0, 3)):
+            words[r.randrange(len(words))] = word()
+        made.append((i, " ".join(words)))
+    family = spark.createDataFrame(made, "doc_id long, text string")
+    check_links(ngram_join.similarity_join(family).collect(), made)
+    monkeypatch.setattr(ngram_join, "BLOCK_FEATURES", 1000)  # many sizes and blocks
+    check_links(ngram_join.similarity_join(family).collect(), made)
+
+
 def removed(rows, length):
     texts = [(t or "").encode() for _, t, *_ in rows]
     seen = Counter(t[i : i + length] for t in texts for i in range(len(t) - length + 1))
