@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from ..functions.numbers import clamp01, half_up
 from ..operators import metrics as M
+from ..operators import phrases as P
+from ..operators import semantic as V
 from ..operators.sequence import sessions, transitions
 from ..schema import HARD_FLOOR
 
@@ -49,15 +51,28 @@ CATALOG = (
 )
 
 
-def available_fields(rows: DataFrame) -> DataFrame:
-    """The fields that a conversation's rows support: some need all rows, some any."""
+def available_fields(rows: DataFrame, vectors: DataFrame | None = None) -> DataFrame:
+    """The fields that a conversation's rows, and vectors of (chat, seq, who, v), support: some need all rows, some any."""
     every = lambda c: F.bool_and(F.col(c).isNotNull())
     some = lambda c: F.bool_or(F.col(c).isNotNull())
     flags = {"who": F.lit(True), "type": F.lit(True), "ts": every("ts"), "date": every("date"), "time": some("time"), "text": some("text"), "affect": some("valence"), "continuity": every("ts") & every("date")}
-    return rows.groupBy("chat").agg(*[c.alias(k) for k, c in flags.items()]).select("chat", F.filter(F.array(*[F.when(F.col(k), k) for k in flags]), lambda x: x.isNotNull()).alias("fields"))
+    found = rows.groupBy("chat").agg(*[c.alias(k) for k, c in flags.items()])
+    if vectors is not None:
+        found = found.join(vectors.select("chat").distinct().withColumn("embedding", F.lit(True)), "chat", "left")
+        flags["embedding"] = F.col("embedding")
+    return found.select("chat", F.filter(F.array(*[F.when(F.col(k), k) for k in flags]), lambda x: x.isNotNull()).alias("fields"))
 
 
-def sample_counts(rows: DataFrame) -> DataFrame:
+def semantic(rows: DataFrame, vectors: DataFrame) -> DataFrame:
+    """One row a chat with vectors: how each side's replies match, reply pairs, and how far styles are apart, in the window."""
+    own = vectors.join(rows.where("in_window").select("chat", "seq"), ["chat", "seq"]).select("chat", "seq", "who", "v")
+    pick = lambda w: F.max(F.when(F.col("responder") == w, F.col("net"))).alias(f"sync_{w}")
+    sync = V.sync_seeded(V.reply_pairs(own)).groupBy("chat").agg(pick("me"), pick("other"), F.sum("pairs").alias("pairs"))
+    style = V.style_separation(own).select("chat", F.col("score").alias("style_score"), F.col("ratio").alias("style_ratio"))
+    return style.join(sync, "chat", "left")
+
+
+def sample_counts(rows: DataFrame, vectors: DataFrame | None = None) -> DataFrame:
     """How much there is of what the gates count."""
     least = lambda c: F.least(F.count_if(c & M.side("me")), F.count_if(c & M.side("other")))
     texts = M.is_text() & F.col("text").isNotNull()
@@ -72,12 +87,16 @@ def sample_counts(rows: DataFrame) -> DataFrame:
     replies = transitions(rows).groupBy("chat").agg(F.count("delta_min").alias("replies"))
     bursts = M.window_bursts(rows).select("chat", (F.col("bursts_me") + F.col("bursts_other")).alias("window_bursts"))
     out = counts.join(replies, "chat", "left").join(bursts, "chat")
-    return out.withColumns({"replies": F.coalesce("replies", F.lit(0)), "window_pairs": F.greatest(F.col("window_bursts") - 1, F.lit(0))})
+    out = out.withColumns({"replies": F.coalesce("replies", F.lit(0)), "window_pairs": F.greatest(F.col("window_bursts") - 1, F.lit(0))})
+    if vectors is None:
+        return out
+    pairs = semantic(rows, vectors).select("chat", "pairs")
+    return out.join(pairs, "chat", "left").withColumn("window_pairs", F.coalesce("pairs", F.lit(0))).drop("pairs")
 
 
-def metric_status(rows: DataFrame) -> DataFrame:
+def metric_status(rows: DataFrame, vectors: DataFrame | None = None) -> DataFrame:
     """One row a chat and metric: OK, LOCKED by missing fields, or INSUFFICIENT with have/need."""
-    base = available_fields(rows).join(sample_counts(rows), "chat")
+    base = available_fields(rows, vectors).join(sample_counts(rows, vectors), "chat")
 
     def row(m: Metric) -> Column:
         missing = F.array_except(F.array(*map(F.lit, m.needs)), F.col("fields"))
@@ -93,19 +112,22 @@ def band(tilt: Column) -> Column:
     return F.when(tilt >= 55, "strong_me").when(tilt >= 20, "lean_me").when(tilt > -20, "even").when(tilt > -55, "lean_other").otherwise("strong_other")
 
 
-def headline(rows: DataFrame) -> DataFrame:
-    """Tilt from -100 to 100: the mean of the axes that are there."""
-    a = M.axes(rows)
-    there = F.filter(F.array(*AXES), lambda x: x.isNotNull())
+def headline(rows: DataFrame, vectors: DataFrame | None = None) -> DataFrame:
+    """Tilt from -100 to 100: the mean of the axes that are there. Vectors give a fourth axis."""
+    a, names = M.axes(rows), AXES
+    if vectors is not None:
+        sync = semantic(rows, vectors).select("chat", half_up(sync_axis(F.col("sync_me"), F.col("sync_other")), 2).alias("axis_sync"))
+        a, names = a.join(sync, "chat", "left"), (*AXES, "axis_sync")
+    there = F.filter(F.array(*names), lambda x: x.isNotNull())
     total = F.aggregate(there, F.lit(0.0), lambda s, x: s + x)
     tilt = F.when(F.size(there) == 0, F.lit(0.0)).otherwise(half_up(100 * total / F.size(there)))
     return a.withColumns({"tilt": tilt.cast("long"), "axes_used": F.size(there)}).select(
-        "chat", "tilt", band(F.col("tilt")).alias("band"), "axes_used", F.lit(AXES_TOTAL).alias("axes_total"), (F.col("window_filled") < NUMBER_NEEDS).alias("coarse"), "window_filled", *AXES
+        "chat", "tilt", band(F.col("tilt")).alias("band"), "axes_used", F.lit(AXES_TOTAL).alias("axes_total"), (F.col("window_filled") < NUMBER_NEEDS).alias("coarse"), "window_filled", *names
     )
 
 
 def sync_axis(me: Column, other: Column) -> Column:
-    return F.greatest(F.lit(-1.0), F.least(F.lit(1.0), (me - other) / SYNC_SCALE))
+    return F.when(me.isNotNull() & other.isNotNull(), F.greatest(F.lit(-1.0), F.least(F.lit(1.0), (me - other) / SYNC_SCALE)))
 
 
 def crush_signal(rows: DataFrame) -> DataFrame:
@@ -120,9 +142,9 @@ def crush_signal(rows: DataFrame) -> DataFrame:
     return h.select("chat", half_up(50 - F.col("tilt") / 2).cast("long").alias("score"), *[reading(c) for c in AXES], "coarse")
 
 
-def reported(rows: DataFrame) -> DataFrame:
+def reported(rows: DataFrame, vectors: DataFrame | None = None) -> DataFrame:
     """Everything the cards read, one row a chat; a metric whose gate is shut is null."""
-    status = metric_status(rows).groupBy("chat").pivot("metric", [m.key for m in CATALOG]).agg(F.first("status"))
+    status = metric_status(rows, vectors).groupBy("chat").pivot("metric", [m.key for m in CATALOG]).agg(F.first("status"))
     parts = {
         "msgCount": M.message_count(rows).select("chat", F.col("me").alias("count_me"), F.col("other").alias("count_other")),
         "msgLength": M.message_length(rows).select("chat", F.col("me").alias("length_me"), F.col("other").alias("length_other")),
@@ -132,7 +154,7 @@ def reported(rows: DataFrame) -> DataFrame:
         "emojiAffect": M.emoji_affect(rows).select("chat", F.col("me").alias("affect_me"), F.col("other").alias("affect_other"), F.col("gap").alias("affect_gap")),
         "changePoint": M.change_point(rows).select("chat", F.col("month").alias("change_month"), F.col("drop").alias("change_drop")),
     }
-    out = headline(rows).join(status, "chat")
+    out = headline(rows, vectors).join(status, "chat")
     for key, frame in parts.items():
         names = [c for c in frame.columns if c != "chat"]
         out = out.join(frame, "chat", "left").withColumns({c: F.when(F.col(key) == "OK", F.col(c)) for c in names})
@@ -242,9 +264,36 @@ def band_histogram(rows: DataFrame) -> DataFrame:
     return headline(rows).groupBy("band").agg(F.count("*").alias("chats"), F.min("tilt").alias("low"), F.max("tilt").alias("high"))
 
 
-def report(rows: DataFrame) -> DataFrame:
-    """One JSON document a chat, metrics and gates included."""
-    gates = metric_status(rows).groupBy("chat").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("metric", "status")))).alias("status"))
+def deleted_count(rows: DataFrame, counters: DataFrame | None = None) -> DataFrame:
+    """Deleted messages of a chat: from ``counters`` (parse_stats of an export, whose rows don't hold them), else from the rows."""
+    if counters is not None:
+        return counters.select("chat", "deleted")
+    return rows.groupBy("chat").agg(F.count_if(F.col("type") == "deleted").alias("deleted"))
+
+
+def further(rows: DataFrame, vectors: DataFrame | None, counters: DataFrame | None) -> dict[str, DataFrame]:
+    """Values of the metrics that no card reads, by metric."""
+    replies, variety = M.reply_distribution(rows), M.emoji_variety(rows)
+    listed = lambda df, order, *names: df.groupBy("chat").agg(F.array_sort(F.collect_list(F.struct(*order, *names))))
+    out = {
+        "replyDist": replies.select("chat", *[F.col(c).alias(f"reply_{c}") for c in replies.columns if c != "chat"]),
+        "monthly": listed(M.monthly(rows), ["month"], "messages", "ma", "granularity").toDF("chat", "months"),
+        "phraseGap": listed(P.phrase_gap(rows), ["side", "place"], "gram", "z", "me", "other").toDF("chat", "phrases"),
+        "deletedCount": deleted_count(rows, counters),
+        "emojiVariety": variety.select("chat", *[F.col(c).alias(f"variety_{c}") for c in variety.columns if c != "chat"]),
+    }
+    if vectors is not None:
+        near = semantic(rows, vectors)
+        out |= {"syncAsym": near.select("chat", "sync_me", "sync_other"), "styleSep": near.select("chat", "style_score", "style_ratio")}
+    return out
+
+
+def report(rows: DataFrame, vectors: DataFrame | None = None, counters: DataFrame | None = None) -> DataFrame:
+    """One JSON document a chat, with gates and the values of all metrics whose gate is open."""
+    gates = metric_status(rows, vectors).groupBy("chat").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("metric", "status")))).alias("status"))
     units = M.info_units(rows).select("chat", "info_units")
-    all_ = reported(rows).join(gates, "chat").join(units, "chat")
+    all_ = reported(rows, vectors).join(gates, "chat").join(units, "chat")
+    for key, frame in further(rows, vectors, counters).items():
+        names = [c for c in frame.columns if c != "chat"]
+        all_ = all_.join(frame, "chat", "left").withColumns({c: F.when(F.col("status")[key] == "OK", F.col(c)) for c in names})
     return all_.select("chat", F.to_json(F.struct(*[c for c in all_.columns if c != "chat"])).alias("report"))

@@ -78,6 +78,19 @@ def test_gates_lock_before_they_count(chat):
     assert status["msgCount"] == "INSUFFICIENT:1/30" and status["deletedCount"] == "OK" and len(status) == 14
 
 
+def test_report_holds_every_metric_and_vectors_open_theirs(spark, chat):
+    import json
+
+    rows = [message(i, "me" if i % 2 else "other", i * 200 * 60, f"abc {i % 3}") for i in range(130)] + [message(130 + i, "me", 1_560_000 + i, kind="deleted") for i in range(2)]
+    rows += [message(132 + i, "me" if i % 2 else "other", 1_570_000 + i, kind="emoticon", valence=i / 10, desc=f"e{i}") for i in range(10)]
+    e = chat(rows)
+    vectors = spark.createDataFrame([(1, i, "me" if i % 2 else "other", [1.0, float(i // 2 % 3), float(i % 2)]) for i in range(130)], "chat long, seq long, who string, v array<double>")
+    got = json.loads(one(report.report(e, vectors))["report"])
+    assert {"reply_me_n", "months", "variety_me", "deleted", "sync_me", "style_score", "axis_sync"} <= set(got)
+    assert got["deleted"] == 2 and got["status"]["syncAsym"] == got["status"]["styleSep"] == "OK" and got["axes_used"] == got["axes_total"] == 4
+    assert len(got["status"]) == 14 and sum(m["messages"] for m in got["months"]) == len(rows) and "phrases" not in got
+
+
 def test_floor_and_single_fact(chat):
     r = one(report.single_fact(chat([message(i, "me" if i % 5 else "other", i, "ab") for i in range(20)])))
     assert (r["info_units"], r["below_floor"], r["fact"]) == (8.0, True, "me sends more")
