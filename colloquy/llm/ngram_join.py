@@ -1,33 +1,30 @@
 """Similarity join of shingle sets by Jaccard similarity, with PartEnum signatures.
 
-Method: the sets of words shingles are put into bands by size. Within a band (and
-its upper neighbour, as far as sizes allow) two sets of similarity 0.8 or more
-differ in at most k features. The feature domain is dealt into more than k
-partitions by hash; a set has one signature for each partition it has features
-in: the hash of those features. Of the partitions of either set at most k can
-differ, so a set with features in more than k partitions shares a signature with
-every set it links to. A set with features in k partitions or fewer has
-signatures for its empty partitions too, which settles pairs of two such sets.
-
-Sets that share a signature are candidates. Small groups give all their pairs.
-Large groups (a passage that many documents share, or a family of near copies)
-give at first the pairs of one member only. A member of a large group is done with
-if it has features in enough partitions that more than k of its signatures are in small
-groups, for then it meets all its partners there. Members that are left, and not
-yet in one component, get signatures a second time, over partitions of the features that
-few of them hold; those with such features in more than k partitions are done with
-too. What still remains (sets that are almost wholly made of common features and
-yet not connected) gives its pairs, but for those whose sizes and features of their own
-leave too little to share; two sets of which each has more than a ninth to itself never link.
-
-Links are counted once the components are known, as no link leaves a component. A link with
-an end that is done with after the small groups is among the pairs those gave. All others
-join two members of large groups in one component: there every two sets of near sizes
-are compared, block by block, and only a count for each set leaves a task.
-
-Candidates are refuted by feature counts (the difference of two histograms is at
-most the difference of the sets), and the rest verified on whole sets. Features
-and sets are known by 64-bit hashes.
+Method: the sets of word shingles are put into bands by size. Within a band (and its
+upper neighbour, as far as sizes allow) two sets of similarity 0.8 or more differ in at
+most k features. The feature domain is dealt by hash into parts, and each part into
+CELLS cells. Two sets differ by one feature at most in some part, as there are more than
+k / 2 of them; there CELLS - 1 cells agree. So a set's signatures are, for each part and each
+subset of CELLS - 1 of its cells, the hash of the features in those cells: sets that link share one.
+A set with features in two cells or more of over k / 2 parts needs no signature of empty cells,
+because then a shared one holds a feature; any other set has those of empty cells too.
+
+Sets that share a signature are candidates. Small groups give all their pairs. Large
+groups (a family of near copies, or a passage that many documents share) give the pairs of
+one member, the centre, which is the same for most groups of a family. Candidates are refuted by
+sizes and feature counts (the difference of two histograms is at most that of the sets);
+for each set the nearest candidate is verified on whole sets first, and then whatever
+candidates still join two components.
+
+What large groups may hide is settled next, for centres whose groups hold sets of several components:
+1. A set is done with if it has so few signatures in those groups that each partner must meet it elsewhere.
+2. Sets that link share all but a fifth of their features. A set whose rarest features, a fifth and one more,
+   have few holders each gives its pairs with those holders and is done with.
+3. What remains (sets made almost wholly of common features, not yet connected) is compared by
+   sizes and histograms, in blocks of bounded size, and only what these can't refute leaves a task.
+
+Sets are known by 128-bit hashes; signatures carry 64 bits of them as a name, and names lead back to all sets
+that bear them, so that equal names cost a verification and merge nothing. Features are 64-bit hashes.
 
 Defined results: a null text counts as empty; an empty text or one without words
 has no features, links with nothing and is its own component. A text of fewer
@@ -40,7 +37,7 @@ from __future__ import annotations
 import hashlib
 from bisect import bisect_right
 from collections.abc import Callable, Iterator
-from itertools import combinations
+from itertools import chain, combinations
 
 import numpy as np
 import pandas as pd
@@ -54,24 +51,26 @@ from .components import connected_components
 SHINGLE = 5
 #: Two sets link when 100 * intersection >= PERCENT * union.
 PERCENT = 80
+#: Cells of a part; signatures are of all subsets with one cell less.
+CELLS = 3
+#: Parts for each that is needed; more leave room for empty cells.
+ROOM = 1.2
+BAND_RATIO = 1.5
 #: A group of more sets than this is large.
 SMALL_GROUP = 6
 #: A feature is common if more than this many of the sets that are left hold it.
 COMMON = 16
-#: Partitions for each that must agree; more leave room for empty partitions.
-ROOM = 1.2
-BAND_RATIO = 1.5
 HISTOGRAM = 128
 #: Classes of at least this share of all rows give their signatures once; there
 #: are at most 1 / HOT_SHARE of them.
 HOT_SHARE, HOT_LEAST = 1e-5, 16
-#: Set ids (8 bytes each) are sent to all executors up to this many.
+#: Set numbers (8 bytes each) are sent to all executors up to this many.
 IDS_TO_BROADCAST = 1_000_000
-ROWS_PER_BATCH = 200_000
-#: Features in a block of sets that are compared with each other. Sizes of sets that link
-#: differ by less than SIZE_RATIO.
-BLOCK_FEATURES, SIZE_RATIO = 500_000, 1.3
-CACHED_WORDS = 400_000
+#: Characters of text that are turned into features at a time.
+CHUNK_CHARS = 1_000_000
+#: Sets in a block of those that are compared with each other.
+BLOCK = 4_096
+CACHED_WORDS = 200_000
 
 U = np.uint64
 FACTORS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], dtype=U)
@@ -94,37 +93,72 @@ class WordHashes(dict):
         return value
 
 
-def shingle_set(text: str | None, hashes: dict[bytes, int]) -> np.ndarray:
-    """Sorted distinct features. bytes.lower() and bytes.split() know ASCII only."""
-    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
-    if not words:
-        return np.zeros(0, U)
-    h = np.fromiter(map(hashes.__getitem__, words), U, len(words))
-    n = min(len(h), SHINGLE)
-    total = np.full(len(h) - n + 1, n, U)
-    for j in range(n):
-        total += mixed(h[j : len(h) - n + 1 + j] * FACTORS[j])
-    return np.unique(mixed(total))
+def shingle_sets(texts: list[str | None], hashes: dict[bytes, int]) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct features of every text, one after the other, and where each text's begin and end.
+
+    bytes.lower() and bytes.split() know ASCII only.
+    """
+    words = [(t or "").encode("utf-8", "surrogatepass").lower().split() for t in texts]
+    counts = np.fromiter(map(len, words), np.int64, len(words))
+    ends = np.cumsum(counts)
+    h = np.fromiter(map(hashes.__getitem__, chain.from_iterable(words)), U, int(counts.sum()))
+    total = h * FACTORS[0] + U(SHINGLE)
+    for j in range(1, SHINGLE):
+        total[: max(len(h) - j, 0)] += h[j:] * FACTORS[j]
+    # A text with fewer words has one feature, which its number of words tells apart.
+    for i in np.flatnonzero((counts > 0) & (counts < SHINGLE)):
+        own = h[ends[i] - counts[i] : ends[i]]
+        total[ends[i] - counts[i]] = np.sum(own * FACTORS[: len(own)]) + U(len(own))
+    sizes = np.where(counts > 0, np.maximum(counts - SHINGLE + 1, 1), 0)
+    features = mixed(total[ranges(ends - counts, sizes)])
+    bounds = np.concatenate([[0], np.cumsum(sizes)])
+    for a, z in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+        features[a:z].sort()
+    new = np.ones(len(features), bool)
+    new[1:] = features[1:] != features[:-1]
+    new[bounds[:-1][sizes > 0]] = True
+    return features[new], np.concatenate([[0], np.cumsum(new)])[bounds]
+
+
+def ranges(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """start, start + 1, ... for every start, ``size`` numbers each."""
+    ends = np.cumsum(sizes)
+    return np.arange(int(sizes.sum())) + np.repeat(starts - (ends - sizes), sizes)
+
+
+def chunks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The rows of ``batches`` in frames of about CHUNK_CHARS characters of text."""
+    for b in batches:
+        chars = np.cumsum([len(t or "") for t in b["_text"]]) // CHUNK_CHARS
+        for a, z in edges(np.flatnonzero(np.diff(chars)) + 1, len(b)):
+            yield b.iloc[a:z]
+
+
+def edges(inner: np.ndarray, n: int) -> Iterator[tuple[int, int]]:
+    """(start, end) of the stretches of 0 .. n that ``inner`` cuts."""
+    at = [0, *inner.tolist(), n] if n else [0]
+    return zip(at[:-1], at[1:], strict=True)
 
 
-def set_id(features: np.ndarray) -> int:
-    return int.from_bytes(xxhash.xxh3_64_digest(features.tobytes()), "little", signed=True)
+def set_id(features: np.ndarray) -> bytes:
+    return xxhash.xxh3_128_digest(features.tobytes())
 
 
-def histogram(features: np.ndarray) -> bytes:
-    return np.minimum(np.bincount((features & U(HISTOGRAM - 1)).astype(np.int64), minlength=HISTOGRAM), 255).astype(np.uint8).tobytes()
+def named(ident: bytes) -> int:
+    """The name that signatures carry: half of the set's id."""
+    return int.from_bytes(ident[:8], "big", signed=True)
 
 
 class Bands:
     """Size bands up to a size, and for each the most features that may differ."""
 
-    def __init__(self, largest: int) -> None:
+    def __init__(self, largest: int = 1 << 40) -> None:
         self.low = [1]
         while self.low[-1] <= largest * 2:
             self.low.append(max(self.low[-1] + 1, int(self.low[-1] * BAND_RATIO)))
 
     def instances(self, size: int) -> list[tuple[int, int, int]]:
-        """(band, k, partitions): its own band, and the one below if it has sets in reach."""
+        """(band, k, parts): its own band, and the one below if it has sets in reach."""
         i = bisect_right(self.low, size) - 1
         own = [i] + ([i - 1] if i and PERCENT * size <= 100 * (self.low[i] - 1) else [])
         out = []
@@ -132,150 +166,157 @@ class Bands:
             # Of sizes a <= b, with 100 a >= PERCENT b: at most (a + b) (100 - PERCENT) / (100 + PERCENT) differ.
             a = self.low[b + 1] - 1
             k = (100 - PERCENT) * (a + a * 100 // PERCENT) // (100 + PERCENT)
-            out.append((b, k, int(np.ceil(ROOM * (k + 1))) if k else 1))
+            if k:  # else only equal sets link, and these are one
+                out.append((b, k, int(np.ceil(ROOM * (k // 2 + 1)))))
         return out
 
 
-def partitioned(features: np.ndarray, parts: int, salt: int) -> tuple[np.ndarray, np.ndarray]:
-    """The partitions that hold features, and a hash of what each holds."""
-    place = ((mixed(features ^ FACTORS[salt]) >> U(32)) * U(parts)) >> U(32)
-    order = np.argsort(place, kind="stable")
-    place = place[order]
-    starts = np.flatnonzero(np.concatenate([[True], place[1:] != place[:-1]]))
-    sums = np.add.reduceat(mixed(features[order] ^ FACTORS[salt + 1]), starts)
-    return place[starts], mixed(sums + place[starts] * FACTORS[2])
-
-
-def of_instance(own: np.ndarray, band: int) -> np.ndarray:
-    """Signatures of an instance; the lowest bit tells a set's two instances apart."""
-    return (mixed(own + np.array([band + 1], U) * FACTORS[4]) & ~U(1)) | U(band & 1)
-
-
-def signatures(features: np.ndarray, bands: Bands) -> np.ndarray:
-    found = []
-    for band, k, n in bands.instances(len(features)):
-        place, own = partitioned(features, n, 0)
-        if len(own) <= k:
-            empty = np.setdiff1d(np.arange(n, dtype=U), place, assume_unique=True)
-            own = np.concatenate([own, mixed(empty * FACTORS[3] + U(1))])
-        found.append(of_instance(own, band))
-    return np.concatenate(found)
-
-
-def spare_signatures(features: np.ndarray, bands: Bands) -> list[int]:
-    """By an instance's lowest bit: how many signatures may be in large groups, all others being enough."""
-    spare = [-1, -1]
-    spread = mixed(features ^ FACTORS[0]) >> U(32)
-    for band, k, n in bands.instances(len(features)):
-        filled = np.count_nonzero(np.bincount(((spread * U(n)) >> U(32)).astype(np.int64), minlength=n))
-        spare[band & 1] = filled - (k + 1)
-    return spare
+class Signatures:
+    """Signatures of the sets of a chunk: ``values``, the set of each, and its instance (0 or 1, by its band)."""
+
+    def __init__(self, features: np.ndarray, bounds: np.ndarray, bands: Bands) -> None:
+        listed = [(i, band, k, parts) for i, n in enumerate(np.diff(bounds).tolist()) if n for band, k, parts in bands.instances(n)]
+        self.set, band, k, parts = np.array(listed, np.int64).reshape(-1, 4).T
+        sizes = np.diff(bounds)[self.set]
+        at = ranges(bounds[self.set], sizes)
+        spread, weight = mixed(features ^ FACTORS[0]), mixed(features ^ FACTORS[1])
+        part = ((spread[at] >> U(32)) * np.repeat(parts.astype(U), sizes)) >> U(32)
+        cell = ((spread[at] & U(0xFFFFFFFF)) * U(CELLS)) >> U(32)
+        first = np.cumsum(parts) - parts
+        slot = (np.repeat(first, sizes) + part.astype(np.int64)) * CELLS + cell.astype(np.int64)
+        content = np.zeros(int(parts.sum()) * CELLS, U)
+        np.add.at(content, slot, weight[at])
+        content = content.reshape(-1, CELLS)
+        full = content != 0
+        row = np.repeat(np.arange(len(parts)), parts)
+        #: Parts that may be missed, all others being enough; below zero where empty cells count.
+        self.spare = np.bincount(row, full.sum(axis=1) > 1, len(parts)).astype(np.int64) - (k // 2 + 1)
+        self.bit = band & 1
+        whose = mixed(ranges(np.zeros(len(parts), np.int64), parts).astype(U) * FACTORS[2] + (band[row] + 1).astype(U) * FACTORS[3])
+        empty_too = (self.spare < 0)[row]
+        values, rows = [], []
+        for left_out in range(CELLS):
+            cells = [c for c in range(CELLS) if c != left_out]
+            value = whose + np.array([left_out], U) * FACTORS[4]
+            for j, c in enumerate(cells):
+                value = mixed(value + content[:, c] * FACTORS[j])
+            given = full[:, cells].any(axis=1) | empty_too
+            values.append(value[given])
+            rows.append(row[given])
+        at = np.concatenate(rows)
+        self.values = ((np.concatenate(values) & ~U(1)) | self.bit[at].astype(U)).view(np.int64)
+        self.of = self.set[at]
 
 
 def described(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """id, key of the text, set, n, spare signatures and histogram of each row."""
-    hashes, bands = WordHashes(), Bands(1 << 30)
-    for b in batches:
-        rows = []
-        for ident, text in zip(b["_id"], b["_text"], strict=True):
-            features = shingle_set(text, hashes)
-            n = len(features)
-            key = hashlib.md5((text or "").encode("utf-8", "surrogatepass")).digest()
-            rows.append((ident, key, set_id(features), n, spare_signatures(features, bands) if n else None, histogram(features) if n else b""))
-        yield pd.DataFrame(rows, columns=["_id", "key", "set", "n", "spare", "hist"])
-
-
-def signed(hot: dict[int, int | None]) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
-    """(sig, set) rows. Sets in ``hot`` have many copies: the one with the given id speaks for all."""
+    """id, key of the text, set, n and histogram of each row."""
+    hashes = WordHashes()
+    for b in chunks(batches):
+        features, bounds = shingle_sets(list(b["_text"]), hashes)
+        sizes = np.diff(bounds)
+        held = np.bincount(np.repeat(np.arange(len(b)), sizes) * HISTOGRAM + (features & U(HISTOGRAM - 1)).astype(np.int64), minlength=len(b) * HISTOGRAM)
+        held = np.minimum(held, 255).astype(np.uint8).reshape(-1, HISTOGRAM)
+        yield pd.DataFrame({
+            "_id": b["_id"],
+            "key": [hashlib.md5((t or "").encode("utf-8", "surrogatepass")).digest() for t in b["_text"]],
+            "set": [set_id(features[a:z]) for a, z in zip(bounds[:-1], bounds[1:], strict=True)],
+            "n": sizes,
+            "hist": [x.tobytes() for x in held],
+        })
+
+
+def signed(hot: dict[bytes, int | None]) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+    """(sig, name) rows. Sets in ``hot`` have many copies: the one with the given id speaks for all."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        hashes, bands = WordHashes(), Bands(1 << 30)
-        held, n = [], 0
-        for b in batches:
-            for ident, text in zip(b["_id"], b["_text"], strict=True):
-                features = shingle_set(text, hashes)
-                if not len(features):
-                    continue
-                own = set_id(features)
-                if hot.get(own, ident) not in (ident, None):
-                    continue
-                sigs = signatures(features, bands).view(np.int64)
-                held.append((sigs, own))
-                n += len(sigs)
-                if n >= ROWS_PER_BATCH:
-                    yield pd.DataFrame({"sig": np.concatenate([s for s, _ in held]), "set": np.concatenate([np.full(len(s), c) for s, c in held])})
-                    held, n = [], 0
-        if held:
-            yield pd.DataFrame({"sig": np.concatenate([s for s, _ in held]), "set": np.concatenate([np.full(len(s), c) for s, c in held])})
+        hashes, bands = WordHashes(), Bands()
+        for b in chunks(batches):
+            features, bounds = shingle_sets(list(b["_text"]), hashes)
+            sets = [set_id(features[a:z]) for a, z in zip(bounds[:-1], bounds[1:], strict=True)]
+            speaks = np.array([hot.get(x, ident) in (ident, None) for x, ident in zip(sets, b["_id"], strict=True)], bool)
+            found = Signatures(features, bounds, bands)
+            names = np.fromiter(map(named, sets), np.int64, len(sets))
+            yield pd.DataFrame({"sig": found.values, "name": names[found.of]})[speaks[found.of]]
 
     return run
 
 
-def pairs_of_runs(limit: int) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
-    """Candidates from rows in which equal sigs, and equal sets of a sig, are neighbours: (sig, a, b).
+def pairs_of_runs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """(sig, a, b) from rows in which equal sigs, and equal names of a sig, are neighbours.
 
-    A group of up to ``limit`` sets gives all its pairs, with sig null. A larger one gives
-    the pairs of its first set, and each member once more with its sig and b null. No more
-    than ``limit`` members are held at a time.
+    A group of up to SMALL_GROUP names gives all its pairs, with sig null. A larger one gives the pairs of its
+    first name, the centre, and for each member a row of its sig, the member and the centre. No more
+    than SMALL_GROUP names are kept from one batch to the next.
     """
+    tail_sig, tail_name, large = np.zeros(0, np.int64), np.zeros(0, np.int64), False
+
+    def of_groups(sig: np.ndarray, name: np.ndarray, large: bool) -> Iterator[pd.DataFrame]:
+        """``large``: the first name is the centre of a large group, and was given before."""
+        starts = np.flatnonzero(np.concatenate([[True], sig[1:] != sig[:-1]]))
+        sizes = np.diff(np.append(starts, len(sig)))
+        pairs = []
+        many = sizes > SMALL_GROUP
+        many[0] |= large
+        for n in range(2, SMALL_GROUP + 1):
+            own = starts[(sizes == n) & ~many]
+            pairs += [(name[own + i], name[own + j]) for i, j in combinations(range(n), 2)] if len(own) else []
+        at = ranges(starts[many], sizes[many])
+        centre = np.repeat(name[starts[many]], sizes[many])
+        given = at != 0 if large else np.ones(len(at), bool)
+        star = name[at] != centre
+        pairs.append((name[at][star], centre[star]))
+        a, b = np.concatenate([p for p, _ in pairs]), np.concatenate([p for _, p in pairs])
+        both = pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)}).drop_duplicates()
+        yield both.assign(sig=pd.array([None] * len(both), "Int64"))[["sig", "a", "b"]]
+        yield pd.DataFrame({"sig": pd.array(sig[at][given], "Int64"), "a": name[at][given], "b": centre[given]})
+
+    for batch in batches:
+        sig, name = np.concatenate([tail_sig, batch["sig"].to_numpy()]), np.concatenate([tail_name, batch["name"].to_numpy()])
+        if not len(sig):
+            continue
+        new = np.ones(len(sig), bool)
+        new[1:] = (sig[1:] != sig[:-1]) | (name[1:] != name[:-1])
+        sig, name = sig[new], name[new]
+        last = int(np.searchsorted(sig == sig[-1], True)) if sig[0] != sig[-1] else 0
+        ends_large = len(sig) - last > SMALL_GROUP or (large and not last)
+        done = len(sig) if ends_large else last
+        if done:
+            yield from of_groups(sig[:done], name[:done], large)
+        # Of a large group that goes on the centre stays; names come in order, so that the last one tells repeats.
+        keep = [last, len(sig) - 1] if ends_large and len(sig) - 1 > last else [last] if ends_large else list(range(last, len(sig)))
+        tail_sig, tail_name, large = sig[keep], name[keep], ends_large
+    if len(tail_sig) and not large:
+        yield from of_groups(tail_sig, tail_name, False)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        sig, members, large = None, [], False
-        for batch in batches:
-            pairs: list[tuple[int, int]] = []
-            rest: list[tuple[int, int]] = []
-            s, c = batch["sig"].to_numpy(), batch["set"].to_numpy()
-            # Rows that stand alone between others need no further look.
-            same = np.ones(len(s) + 1, bool)
-            same[1:-1] = s[1:] == s[:-1]
-            keep = np.flatnonzero(same[1:] | same[:-1])
-            for x, own in zip(s[keep].tolist(), c[keep].tolist(), strict=True):
-                if x != sig:
-                    if not large:
-                        pairs += combinations(members, 2)
-                    sig, members, large = x, [own], False
-                elif own != members[-1]:
-                    if large:
-                        members[-1] = own
-                        pairs.append((members[0], own))
-                        rest.append((sig, own))
-                    else:
-                        members.append(own)
-                        if len(members) > limit:
-                            large = True
-                            pairs += [(members[0], m) for m in members[1:]]
-                            rest += [(sig, m) for m in members]
-                            members = [members[0], own]
-            yield frame(pairs, rest)
-        if not large and len(members) > 1:
-            yield frame(list(combinations(members, 2)), [])
 
-    return run
+def apart(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Least number of features in which sets differ, from their histograms."""
+    return np.abs(x.astype(np.int16) - y).sum(axis=-1, dtype=np.int32)
+
 
+def may_link(n: np.ndarray, m: np.ndarray, differ: np.ndarray) -> np.ndarray:
+    # union >= (n + m + differ) / 2 and intersection <= (n + m - differ) / 2
+    return 100 * (n + m - differ) >= PERCENT * (n + m + differ)
 
-def frame(pairs: list[tuple[int, int]], rest: list[tuple[int, int]]) -> pd.DataFrame:
-    return pd.DataFrame({
-        "sig": pd.array([None] * len(pairs) + [s for s, _ in rest], "Int64"),
-        "a": pd.array([min(p) for p in pairs] + [m for _, m in rest], "Int64"),
-        "b": pd.array([max(p) for p in pairs] + [None] * len(rest), "Int64"),
-    })
 
+def histograms(column: pd.Series) -> np.ndarray:
+    return np.frombuffer(b"".join(column), np.uint8).reshape(-1, HISTOGRAM)
 
-def may_link(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Pairs that sizes and histograms don't refute."""
+
+def open_pairs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Pairs that sizes and histograms don't refute, and how far these are apart."""
     for b in batches:
-        n, m = b["n_a"].to_numpy(), b["n_b"].to_numpy()
-        hist = [np.frombuffer(b"".join(b[c]), np.uint8).reshape(-1, HISTOGRAM).astype(np.int16) for c in ("hist_a", "hist_b")]
-        apart = np.abs(hist[0] - hist[1]).sum(axis=1)
-        # union >= (n + m + apart) / 2 and intersection <= (n + m - apart) / 2
-        yield b.loc[100 * (n + m - apart) >= PERCENT * (n + m + apart), ["a", "b"]]
+        differ = apart(histograms(b["hist_a"]), histograms(b["hist_b"])) if len(b) else np.zeros(0, np.int32)
+        ok = may_link(b["n_a"].to_numpy(), b["n_b"].to_numpy(), differ)
+        yield b[["a", "b"]].assign(apart=differ)[ok]
 
 
 def features_of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     hashes = WordHashes()
-    for b in batches:
-        sets = [shingle_set(x, hashes) for x in b["_text"]]
-        yield pd.DataFrame({"set": np.array([set_id(x) for x in sets], np.int64), "features": [x.tobytes() for x in sets]})
+    for b in chunks(batches):
+        features, bounds = shingle_sets(list(b["_text"]), hashes)
+        held = [features[a:z] for a, z in zip(bounds[:-1], bounds[1:], strict=True)]
+        yield pd.DataFrame({"set": [set_id(x) for x in held], "features": [x.tobytes() for x in held]})
 
 
 def linked(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -283,211 +324,171 @@ def linked(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         ok = []
         for x, y in zip(b["features_a"], b["features_b"], strict=True):
             x, y = np.frombuffer(x, U), np.frombuffer(y, U)
-            both = len(np.intersect1d(x, y, assume_unique=True))
-            ok.append(100 * both >= PERCENT * (len(x) + len(y) - both))
+            both = np.concatenate([x, y])
+            both.sort()
+            shared = np.count_nonzero(both[1:] == both[:-1])
+            ok.append(100 * shared >= PERCENT * (len(both) - shared))
         yield b.loc[np.array(ok, bool), ["a", "b"]]
 
 
-def rare_signatures(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """From (set, n, rare): (sig, set) rows, and (bit, set) rows of the instances in which they are enough."""
-    bands = Bands(1 << 30)
-    for b in batches:
-        rows = []
-        for own, n, rare in zip(b["set"], b["n"], b["rare"], strict=True):
-            rare = np.array(rare, np.int64).view(U)
-            for band, k, _ in bands.instances(n):
-                sigs = partitioned(rare, 3 * (k + 1), 1)[1]
-                rows += [(x, None, own) for x in of_instance(sigs, band).view(np.int64).tolist()]
-                if len(sigs) > k:
-                    rows.append((None, band & 1, own))
-        yield pd.DataFrame({c: pd.array([r[i] for r in rows], "Int64") for i, c in enumerate(("sig", "bit", "set"))})
+def features_by_number(wanted: DataFrame, sets: DataFrame, docs: DataFrame) -> DataFrame:
+    """(num, features) of the sets in ``wanted`` (num); only texts of their first ids are read. A set has a row for each row with that id."""
+    listed = stored(wanted.join(sets.select("num", "set", "first_id"), "num"), "join-listed")
+    ids = maybe_broadcast(listed.select(F.col("first_id").alias("_first")).distinct(), IDS_TO_BROADCAST)
+    near = docs.join(ids, F.col("_id").eqNullSafe(F.col("_first")), "left_semi").select("_text")
+    texts = near.mapInPandas(features_of, "set binary, features binary").join(maybe_broadcast(listed.select("num", "set"), IDS_TO_BROADCAST), "set")
+    return stored(texts.select("num", "features"), "join-features")
 
 
-def neighbours(sigs: DataFrame) -> DataFrame:
-    """``sigs`` (sig, set) with equal ones side by side. The first set of a group is one of four, by its sig."""
-    return sigs.repartition("sig").sortWithinPartitions("sig", F.col("set").bitwiseXOR(F.shiftleft("sig", 61)))
+def verified(pairs: DataFrame, sets: DataFrame, docs: DataFrame) -> DataFrame:
+    """The pairs that link, out of distinct pairs (a, b) of numbers."""
+    held = features_by_number(pairs.select(F.col("a").alias("num")).union(pairs.select("b")).distinct(), sets, docs)
+    side = lambda x: held.select(F.col("num").alias(x), F.col("features").alias(f"features_{x}"))
+    return stored(pairs.select("a", "b").join(side("a"), "a").join(side("b"), "b").mapInPandas(linked, "a long, b long").distinct(), "join-links")
 
 
-def features_by_set(wanted: DataFrame, sets: DataFrame, docs: DataFrame) -> DataFrame:
-    """(set, features) of the sets in ``wanted``; only texts of their first ids are read."""
-    ids = stored(wanted.join(sets, "set").select(F.col("first_id").alias("_first")).distinct(), "join-ids")
-    near = docs.join(maybe_broadcast(ids, IDS_TO_BROADCAST), F.col("_id").eqNullSafe(F.col("_first")), "left_semi").select("_text")
-    texts = near.mapInPandas(features_of, "set long, features binary").join(maybe_broadcast(wanted, IDS_TO_BROADCAST), "set", "left_semi")
-    return stored(texts.groupBy("set").agg(F.first("features").alias("features")), "join-features")
+def not_refuted(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """(a, b, apart) of numbers from (a, b) of names."""
+    side = lambda x: sets.select(F.col("name").alias(x), F.col("num").alias(f"num_{x}"), F.col("n").alias(f"n_{x}"), F.col("hist").alias(f"hist_{x}"))
+    both = pairs.join(side("a"), "a").join(side("b"), "b").drop("a", "b").withColumnsRenamed({"num_a": "a", "num_b": "b"})
+    return stored(both.mapInPandas(open_pairs, "a long, b long, apart int"), "join-open")
 
 
-def verified(pairs: DataFrame, sets: DataFrame, docs: DataFrame) -> DataFrame:
-    """The pairs that link, out of distinct pairs (a, b)."""
-    side = lambda x: sets.select(F.col("set").alias(x), F.col("n").alias(f"n_{x}"), F.col("hist").alias(f"hist_{x}"))
-    open_ = stored(pairs.join(side("a"), "a").join(side("b"), "b").mapInPandas(may_link, "a long, b long"), "join-open")
-    held = features_by_set(stored(open_.select(F.col("a").alias("set")).union(open_.select("b")).distinct(), "join-needed"), sets, docs)
-    side = lambda x: held.select(F.col("set").alias(x), F.col("features").alias(f"features_{x}"))
-    return stored(open_.join(side("a"), "a").join(side("b"), "b").mapInPandas(linked, "a long, b long"), "join-links")
+def with_components(rows: DataFrame, labels: DataFrame, column: str, name: str) -> DataFrame:
+    """``rows`` with the component of the set in ``column``: itself, if it has no link."""
+    return rows.join(labels.select(F.col("v").alias(column), F.col("comp").alias(f"_{name}")), column, "left").withColumn(name, F.coalesce(f"_{name}", column)).drop(f"_{name}")
+
+
+def across(pairs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The pairs that join two components."""
+    both = with_components(with_components(pairs, labels, "a", "comp_a"), labels, "b", "comp_b")
+    return stored(both.where("comp_a <> comp_b").select(*pairs.columns), "join-across")
+
+
+def nearest(pairs: DataFrame) -> DataFrame:
+    """For each set the pair that is least apart."""
+    ends = pairs.select(F.col("a").alias("x"), F.struct("apart", "a", "b").alias("p")).union(pairs.select("b", F.struct("apart", "a", "b")))
+    return stored(ends.groupBy("x").agg(F.min("p").alias("p")).select("p.a", "p.b").distinct(), "join-nearest")
+
+
+def several(rows: DataFrame, key: str) -> DataFrame:
+    """The rows of (key, comp) whose key has several components."""
+    open_ = rows.groupBy(key).agg(F.min("comp").alias("_low"), F.max("comp").alias("_high")).where("_low < _high").select(key)
+    return stored(rows.join(stored(open_, "join-several"), key, "left_semi"), "join-left")
 
 
 def exploded(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """(num, feature) of the sets that have too many signatures in open groups; ``large_0`` and ``large_1`` count these by instance."""
+    bands = Bands()
     for b in batches:
-        for own, features in zip(b["set"], b["features"], strict=True):
-            yield pd.DataFrame({"set": own, "feature": np.frombuffer(features, np.int64)})
-
-
-def across(left: DataFrame) -> DataFrame:
-    """The rows of (sig, set, comp) whose sig has sets of several components."""
-    several = left.groupBy("sig").agg(F.min("comp").alias("_low"), F.max("comp").alias("_high")).where("_low < _high").select("sig")
-    return left.join(stored(several, "join-several"), "sig", "left_semi")
-
-
-def links_among(left: list[tuple[int, np.ndarray]], right: list[tuple[int, np.ndarray]]) -> pd.DataFrame:
-    """(set, n_links): links between the sets of ``left`` and ``right``, or within ``left`` if ``right`` is empty."""
-    both = sorted(left, key=lambda x: len(x[1])) + sorted(right, key=lambda x: len(x[1]))
-    sizes = np.array([len(f) for _, f in both])
-    at = np.unique(np.concatenate([f for _, f in both]), return_inverse=True)[1]
-    starts = np.concatenate([[0], np.cumsum(sizes)])
-    mark, out = np.zeros(at.max() + 1, np.uint8), np.zeros(len(both), np.int64)
-    for x in range(len(left)):
-        first, near = (len(left), sizes[len(left) :]) if right else (x + 1, sizes[x + 1 :])
-        low = first + np.searchsorted(near, -(-PERCENT * sizes[x] // 100), "left")
-        high = first + np.searchsorted(near, 100 * sizes[x] // PERCENT, "right")
-        if low >= high:
-            continue
-        own = at[starts[x] : starts[x + 1]]
-        mark[own] = 1
-        shared = np.add.reduceat(mark[at[starts[low] : starts[high]]], starts[low:high] - starts[low], dtype=np.int64)
-        mark[own] = 0
-        ok = 100 * shared >= PERCENT * (sizes[x] + sizes[low:high] - shared)
-        out[x] += np.count_nonzero(ok)
-        out[low:high] += ok
-    return pd.DataFrame({"set": np.array([own for own, _ in both], np.int64), "n_links": out})
-
-
-def links_of_blocks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """(set, n_links) from rows in which those of two blocks to compare are neighbours."""
-    key, left, right = None, [], []
+        for num, features, large in zip(b["num"], b["features"], zip(b["large_0"], b["large_1"], strict=True), strict=True):
+            features = np.frombuffer(features, U)
+            own = Signatures(features, np.array([0, len(features)]), bands)
+            if any(large[bit] > max(spare, 0) for bit, spare in zip(own.bit.tolist(), own.spare.tolist(), strict=True)):
+                yield pd.DataFrame({"num": num, "feature": features.view(np.int64)})
+
+
+def blocks_met(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Pairs of sets of several components that may link, from rows in which those of two blocks to compare are neighbours."""
+    key, held = None, []
+
+    def met() -> pd.DataFrame:
+        rows = pd.concat(held, ignore_index=True).sort_values("n", kind="stable")
+        n, num, comp, second, hist = rows["n"].to_numpy(), rows["num"].to_numpy(), rows["comp"].to_numpy(), rows["second"].to_numpy(), histograms(rows["hist"])
+        one = key[1] == key[2]
+        found = []
+        for x in np.flatnonzero(~second):
+            low, high = np.searchsorted(n, -(-PERCENT * n[x] // 100), "left"), np.searchsorted(n, 100 * n[x] // PERCENT, "right")
+            other = low + np.flatnonzero((comp[low:high] != comp[x]) & ((num[low:high] > num[x]) if one else second[low:high]))
+            if len(other):
+                other = other[may_link(n[x], n[other], apart(hist[x], hist[other]))]
+                found.append((np.minimum(num[other], num[x]), np.maximum(num[other], num[x])))
+        a, b = (np.concatenate([f[i] for f in found] or [np.zeros(0, np.int64)]) for i in (0, 1))
+        return pd.DataFrame({"a": a, "b": b})
+
     for b in batches:
-        for x, own, features, second in zip(zip(*[b[c] for c in BLOCKS], strict=True), b["set"], b["features"], b["second"], strict=True):
-            if x != key:
-                if len(left) + len(right) > 1 and left:
-                    yield links_among(left, right)
-                key, left, right = x, [], []
-            (right if second else left).append((own, np.frombuffer(features, U)))
-    if len(left) + len(right) > 1 and left:
-        yield links_among(left, right)
+        keys = b[["centre", "low", "high"]].to_numpy()
+        for a, z in edges(np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1, len(b)):
+            if tuple(keys[a]) != key:
+                if held:
+                    yield met()
+                key, held = tuple(keys[a]), []
+            held.append(b.iloc[a:z])
+    if held:
+        yield met()
+
+
+def pairs_of_rest(members: DataFrame, labels: DataFrame, sets: DataFrame, docs: DataFrame) -> DataFrame | None:
+    """Candidates (a, b) of numbers that large groups hide; None if there are none. ``members``: (sig, name, centre)."""
+    named_ = members.join(sets.select("name", "num"), "name").select("sig", "num", "centre")
+    left = several(with_components(named_, labels, "num", "comp"), "centre")
+    if left.isEmpty():
+        return None
+    of_bit = lambda bit: F.count(F.when(F.col("sig").bitwiseAND(1) == bit, 1)).alias(f"large_{bit}")
+    large = stored(left.groupBy("num").agg(of_bit(0), of_bit(1)), "join-large")
+    features = stored(features_by_number(large.select("num"), sets, docs).dropDuplicates(["num"]).join(large, "num").mapInPandas(exploded, "num long, feature long"), "join-exploded")
+    holders = stored(features.groupBy("feature").agg(F.count("*").alias("holders")).where("holders > 1"), "join-holders")
+
+    sizes = features.groupBy("num").agg(F.count("*").alias("n"))
+    shared = features.join(holders.where(F.col("holders") <= COMMON), "feature")
+    of_set = shared.groupBy("num").agg(F.array_sort(F.collect_list(F.struct("holders", "feature"))).alias("rare"))
+    common = features.join(holders.where(F.col("holders") > COMMON).select("feature"), "feature", "left_semi").groupBy("num").agg(F.count("*").alias("common"))
+    # floor((100 - PERCENT) n / 100) + 1 features of a set: one of them is in each set it links to.
+    need = F.floor((100 - PERCENT) * F.col("n") / 100) + 1
+    ranked = sizes.join(common, "num", "left").join(of_set, "num", "left").select(
+        "num",
+        (F.col("n") - F.coalesce("common", F.lit(0)) >= need).alias("enough"),
+        F.slice("rare", F.lit(1), F.greatest(F.lit(0), need - (F.col("n") - F.coalesce("common", F.lit(0)) - F.size(F.coalesce("rare", F.array())))).cast("int")).alias("rare"),
+    )
+    ranked = stored(ranked, "join-ranked")
+    asked = ranked.where("enough").select(F.col("num").alias("x"), F.explode("rare.feature").alias("feature"))
+    found = asked.join(shared.select("feature", F.col("num").alias("y")), "feature").where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
+    rest = left.join(ranked.where("NOT enough").select("num"), "num", "left_semi").select("centre", "num", "comp").distinct()
+    rest = several(rest, "centre")
+    count = stored(rest.groupBy("centre").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")), "join-blocks")
+    own = F.pmod(F.xxhash64("num"), F.col("blocks")).cast("int")
+    dealt = rest.join(maybe_broadcast(count, IDS_TO_BROADCAST), "centre").withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = dealt.select("centre", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), (F.col("own") > F.col("other")).alias("second"), "num", "comp")
+    dealt = dealt.join(sets.select("num", "n", "hist"), "num")
+    met = dealt.repartition("centre", "low", "high").sortWithinPartitions("centre", "low", "high").mapInPandas(blocks_met, "a long, b long")
+    return stored(found.union(met).distinct(), "join-more")
 
-BLOCKS = ("comp", "low", "high", "i", "j")
 
+def neighbours(sigs: DataFrame) -> DataFrame:
+    """``sigs`` (sig, name) with equal ones side by side."""
+    return sigs.repartition("sig").sortWithinPartitions("sig", "name")
 
-def links_in_components(inside: DataFrame, sets: DataFrame, docs: DataFrame) -> DataFrame:
-    """(set, n_links) out of (set, comp): links between any two of these sets in one component.
 
-    A component is dealt by size, as far as it is large, and each size into blocks of bounded
-    features; blocks of a size meet each other and those of the next size.
-    """
-    sized = inside.join(sets.select("set", "n"), "set")
-    whole = stored(sized.groupBy("comp").agg(F.count("*").alias("members"), F.sum("n").alias("total")).where("members > 1"), "join-comps")
-    size = F.when(F.col("total") <= BLOCK_FEATURES, 0).otherwise(F.floor(F.log("n") / float(np.log(SIZE_RATIO)))).cast("int")
-    sized = stored(sized.join(maybe_broadcast(whole, IDS_TO_BROADCAST), "comp").select("set", "n", "comp", size.alias("size")), "join-sized")
-    blocks = stored(sized.groupBy("comp", "size").agg(F.ceil(F.sum("n") / BLOCK_FEATURES).cast("int").alias("blocks")), "join-blocks")
-    for name, step in (("blocks", 0), ("above", 1), ("below", -1)):
-        at = blocks.select("comp", (F.col("size") - step).alias("size"), F.col("blocks").alias(name))
-        sized = sized.join(maybe_broadcast(at, IDS_TO_BROADCAST), ["comp", "size"], "left")
-    own = F.pmod("set", "blocks").cast("int")
-    upto = lambda c: F.when(F.col(c) > 0, F.sequence(F.lit(0), F.col(c) - 1)).otherwise(F.array().cast("array<int>"))
-    task = lambda low, high, i, j, second: F.struct(low.alias("low"), high.alias("high"), i.alias("i"), j.alias("j"), second.alias("second"))
-    s = F.col("size")
-    tasks = F.concat(
-        F.transform(upto("blocks"), lambda x: task(s, s, F.least(x, own), F.greatest(x, own), x < own)),
-        F.transform(upto("above"), lambda x: task(s, s + 1, own, x, F.lit(False))),
-        F.transform(upto("below"), lambda x: task(s - 1, s, x, own, F.lit(True))),
-    )
-    held = features_by_set(sized.select("set"), sets, docs)
-    met = sized.withColumn("task", F.explode(tasks)).select("set", "comp", "task.*").join(held, "set")
-    counts = met.repartition(*BLOCKS).sortWithinPartitions(*BLOCKS).mapInPandas(links_of_blocks, "set long, n_links long")
-    return counts.groupBy("set").agg(F.sum("n_links").alias("n_links"))
-
-
-def link_counts(links: DataFrame, poor: DataFrame, labels: DataFrame, sets: DataFrame, docs: DataFrame) -> DataFrame:
-    """(set, n_links): with how many other sets a set links."""
-    ends = links.select(F.col("a").alias("set"), F.col("b").alias("other")).union(links.select("b", "a"))
-    inside = stored(poor.select("set").distinct().join(labels.withColumnRenamed("v", "set"), "set"), "join-inside")
-    if inside.isEmpty():
-        return ends.groupBy("set").agg(F.count("*").alias("n_links"))
-    # Of two poor sets not all pairs were sought, so those found are not counted here.
-    mark = lambda c: maybe_broadcast(inside.select(F.col("set").alias(c), F.lit(True).alias(f"{c}_poor")), IDS_TO_BROADCAST)
-    known = ends.join(mark("set"), "set", "left").join(mark("other"), "other", "left").where("set_poor IS NULL OR other_poor IS NULL")
-    counts = known.groupBy("set").agg(F.count("*").alias("n_links")).union(links_in_components(inside, sets, docs))
-    return counts.groupBy("set").agg(F.sum("n_links").alias("n_links"))
-
-
-def poor_sets(members: DataFrame, sets: DataFrame) -> DataFrame:
-    """(set, bit) of the members of large groups that may have partners in those only."""
-    counts = members.groupBy("set", F.col("sig").bitwiseAND(1).alias("bit")).agg(F.count("*").alias("_large"))
-    return stored(counts.join(sets.select("set", "spare"), "set").where(F.col("_large") > F.get("spare", F.col("bit").cast("int"))).select("set", "bit"), "join-poor")
-
-
-def pairs_of_rest(members: DataFrame, poor: DataFrame, labels: DataFrame, sets: DataFrame, docs: DataFrame) -> DataFrame | None:
-    """Candidates (a, b) of the large groups that small groups don't give; None if there are none."""
-    left = members.withColumn("bit", F.col("sig").bitwiseAND(1)).join(poor, ["set", "bit"], "left_semi")
-    left = stored(left.join(labels.withColumnRenamed("v", "set"), "set", "left").select("sig", "set", "bit", F.coalesce("comp", "set").alias("comp")), "join-left")
-    left = stored(across(left), "join-across")
-    if left.isEmpty():
-        return None
-    wanted = stored(left.select("set").distinct(), "join-wanted")
-    features = stored(features_by_set(wanted, sets, docs).mapInPandas(exploded, "set long, feature long"), "join-exploded")
-    common = stored(features.groupBy("feature").agg(F.count("*").alias("n")).where(F.col("n") > COMMON).select("feature"), "join-common")
-    rare = features.join(common, "feature", "left_anti").groupBy("set").agg(F.collect_list("feature").alias("rare"))
-    signed_again = stored(rare.join(sets.select("set", "n"), "set").select("set", "n", "rare").mapInPandas(rare_signatures, "sig long, bit long, set long"), "join-rare")
-    enough = signed_again.where("sig IS NULL").select("set", "bit")
-    meeting = neighbours(signed_again.where("sig IS NOT NULL").select("sig", "set")).mapInPandas(pairs_of_runs(COMMON), "sig long, a long, b long").where("sig IS NULL").select("a", "b")
-    # Features that no other set left holds can't be in an intersection.
-    lone = features.join(features.groupBy("feature").agg(F.count("*").alias("n")).where("n = 1").select("feature"), "feature", "left_semi").groupBy("set").agg(F.count("*").alias("lone"))
-    room = sets.select("set", "n").join(lone, "set", "left").select("set", "n", (F.col("n") - F.coalesce("lone", F.lit(0))).alias("most"))
-    rest = across(left.join(enough, ["set", "bit"], "left_anti")).join(room, "set")
-    # The intersection must be (n + n') PERCENT / (100 + PERCENT); of two sets of which
-    # each can't reach that with a partner of its own size, neither reaches it.
-    rest = stored(rest.withColumn("light", (100 + PERCENT) * F.col("most") >= 2 * PERCENT * F.col("n")), "join-rest")
-    reach = (100 + PERCENT) * F.least("x.most", "y.most") >= PERCENT * (F.col("x.n") + F.col("y.n"))
-    once = ~F.col("y.light") | (F.col("x.set") < F.col("y.set"))
-    crossing = rest.where("light").alias("x").join(rest.alias("y"), (F.col("x.sig") == F.col("y.sig")) & (F.col("x.comp") != F.col("y.comp")) & once & reach)
-    crossing = crossing.select(F.least("x.set", "y.set").alias("a"), F.greatest("x.set", "y.set").alias("b")).distinct()
-    return stored(meeting.union(crossing).distinct(), "join-more")
-
-
-def similarity_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", count_links: bool = True) -> DataFrame:
-    """Per row of ``docs``: id, n_shingles, set (class of equal sets), n_links, component_id and text_md5.
-
-    n_links is the number of other sets with which its set links. Without ``count_links`` it is left out.
-    """
+def similarity_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Per row of ``docs``: id, n_shingles, set (class of equal sets), component_id and text_md5."""
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
-    known = stored(rows.mapInPandas(described, f"_id {kind}, key binary, set long, n long, spare array<int>, hist binary"), "join-rows")
-    sets = stored(known.where("n > 0").groupBy("set").agg(F.first("n").alias("n"), F.first("spare").alias("spare"), F.first("hist").alias("hist"), F.count("*").alias("copies"), F.min("_id").alias("first_id")), "join-sets")
+    known = stored(rows.mapInPandas(described, f"_id {kind}, key binary, set binary, n long, hist binary"), "join-rows")
+    classes = known.where("n > 0").groupBy("set").agg(F.first("n").alias("n"), F.first("hist").alias("hist"), F.count("*").alias("copies"), F.min("_id").alias("first_id"))
+    name = F.conv(F.hex(F.substring("set", 1, 8)), 16, -10).cast("long")
+    sets = stored(classes.withColumns({"num": F.monotonically_increasing_id(), "name": name}), "join-sets")
     least = max(HOT_LEAST, HOT_SHARE * known.count())
-    hot = {r["set"]: r["first_id"] for r in sets.where(F.col("copies") >= least).select("set", "first_id").toLocalIterator()}
+    hot = {bytes(r["set"]): r["first_id"] for r in sets.where(F.col("copies") >= least).select("set", "first_id").toLocalIterator()}
 
-    found = stored(neighbours(rows.mapInPandas(signed(hot), "sig long, set long")).mapInPandas(pairs_of_runs(SMALL_GROUP), "sig long, a long, b long").distinct(), "join-found")
-    pairs = found.where("sig IS NULL").select("a", "b")
-    links = verified(pairs, sets, rows)
+    found = stored(neighbours(rows.mapInPandas(signed(hot), "sig long, name long")).mapInPandas(pairs_of_runs, "sig long, a long, b long").distinct(), "join-found")
+    pairs = not_refuted(found.where("sig IS NULL").select("a", "b"), sets)
+    links = verified(nearest(pairs), sets, rows)
     labels = connected_components(links)
-    members = found.where("sig IS NOT NULL").select("sig", F.col("a").alias("set"))
-    poor = poor_sets(members, sets)
-    more = pairs_of_rest(members, poor, labels, sets, rows)
-    if more is not None:
-        links = stored(links.union(verified(more.join(pairs, ["a", "b"], "left_anti"), sets, rows)), "join-links")
-        labels = connected_components(links)
-
-    comps = sets.join(labels.withColumnRenamed("v", "set"), "set", "left").select("set", "first_id", F.coalesce("comp", "set").alias("comp"))
+    for candidates in (lambda: pairs, lambda: pairs_of_rest(found.where("sig IS NOT NULL").select("sig", F.col("a").alias("name"), F.col("b").alias("centre")), labels, sets, rows)):
+        more = candidates()
+        crossing = across(more.select("a", "b"), labels) if more is not None else None
+        if crossing is not None and not crossing.isEmpty():
+            links = stored(links.union(verified(crossing, sets, rows)), "join-links")
+            labels = connected_components(links)
+
+    comps = with_components(sets.select("set", "num", "first_id"), labels, "num", "comp")
     lows = stored(comps.groupBy("comp").agg(F.min("first_id").alias("component_id")), "join-lows")
-    of_set = comps.join(lows, "comp").select("set", "component_id")
-    if count_links:
-        counts = stored(link_counts(links, poor, labels, sets, rows), "join-counts")
-        of_set = of_set.join(counts, "set", "left").select("set", "component_id", F.coalesce("n_links", F.lit(0)).alias("n_links"))
-    of_set = stored(of_set, "join-sets-done")
+    of_set = stored(comps.join(lows, "comp").select("set", "component_id"), "join-sets-done")
     return known.select("_id", "key", "n", "set").join(of_set, "set", "left").select(
         F.col("_id").alias(id_col),
         F.col("n").alias("n_shingles"),
         F.when(F.col("n") > 0, F.col("set")).alias("set"),
-        *[F.coalesce("n_links", F.lit(0)).alias("n_links")] * count_links,
         F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("_id")).alias("component_id"),
         F.col("key").alias("text_md5"),
     )
@@ -498,7 +499,7 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
     Of rows that repeat an id and a set of features the least one stays.
     """
-    found = similarity_join(docs, id_col, text_col, count_links=False).where(F.col(id_col).eqNullSafe(F.col("component_id")))
+    found = similarity_join(docs, id_col, text_col).where(F.col(id_col).eqNullSafe(F.col("component_id")))
     found = stored(found.select(F.col(id_col).alias("_id"), F.col("text_md5").alias("_md5"), F.col("set").alias("_set")), "join-kept")
     own = F.unhex(F.md5(F.coalesce(F.col(text_col), F.lit("")).cast("binary")))
     rows = docs.select(F.struct(*docs.columns).alias("_row"), F.col(id_col).alias("_own"), own.alias("_key"))

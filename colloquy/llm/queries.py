@@ -53,7 +53,7 @@ def op3_word_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return similarity_join(documents(spark, sf_dir)).select("doc_id", "n_shingles", "component_id", "n_links")
+    return similarity_join(documents(spark, sf_dir)).select("doc_id", "n_shingles", "component_id")
 
 
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

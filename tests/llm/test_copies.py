@@ -106,27 +106,68 @@ def test_ngram_join_of_a_large_family_and_a_common_passage(spark):
     check_join(ngram_join.similarity_join(spark.createDataFrame(rows, "doc_id long, text string")).collect(), rows)
 
 
-def check_links(got, rows):
-    sets = {s for s in (shingles(t) for _, t, *_ in rows) if s}
-    links = {a: sum(a != b and 100 * len(a & b) >= 80 * len(a | b) for b in sets) for a in sets}
-    assert Counter((r["doc_id"], r["n_links"]) for r in got) == Counter((d, links.get(shingles(t), 0)) for d, t, *_ in rows)
-
-
-def test_ngram_join_counts_all_links(spark, monkeypatch):
-    import random
-
-    r = random.Random(5)
-    word = lambda: "".join(r.choice("abcdefghij") for _ in range(5))
-    base, made = [word() for _ in range(150)], []
-    for i in range(60):  # a family of several sizes, not all of which link
-        words = base + [word() for _ in range(r.choice([0, 0, 10, 30, 45, 60]))]
-        for _ in range(r.randint(0, 3)):
-            words[r.randrange(len(words))] = word()
-        made.append((i, " ".join(words)))
-    family = spark.createDataFrame(made, "doc_id long, text string")
-    check_links(ngram_join.similarity_join(family).collect(), made)
-    monkeypatch.setattr(ngram_join, "BLOCK_FEATURES", 1000)  # many sizes and blocks
-    check_links(ngram_join.similarity_join(family).collect(), made)
+def test_ngram_join_of_a_family_about_the_threshold(spark, monkeypatch):
+    """A family of 1 200 near copies of which many pairs are just under or just over 80 %, in small blocks."""
+    r = np.random.RandomState(6)
+    base = r.randint(0, 10**6, 150)
+    rows = []
+    for i in range(1200):
+        words = base.copy()
+        words[r.choice(150, r.choice([1, 2, 3, 4, 6]), replace=False)] = r.randint(0, 10**6)
+        rows.append((i, " ".join(map(str, words))))
+    sets = [shingles(t) for _, t in rows]
+    place = {x: i for i, x in enumerate(sorted(set().union(*sets)))}
+    held = np.zeros((len(rows), len(place)), np.float32)
+    for i, s in enumerate(sets):
+        held[i, [place[x] for x in s]] = 1
+    both = held @ held.T
+    sizes = held.sum(axis=1)
+    link = 100 * both >= 80 * (sizes[:, None] + sizes - both)
+    low = np.arange(len(rows))
+    for _ in rows:
+        low, was = np.where(link, low, len(rows)).min(axis=1), low
+        if (low == was).all():
+            break
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    monkeypatch.setattr(ngram_join, "BLOCK", 50)
+    got = {x["doc_id"]: x["component_id"] for x in ngram_join.similarity_join(docs).collect()}
+    assert got == dict(enumerate(low.tolist()))
+    assert 1 < len(set(low)) < len(rows)
+
+
+def test_pairs_of_signatures_do_not_depend_on_batches():
+    import pandas as pd
+
+    r = np.random.RandomState(3)
+    sizes = r.choice([1, 2, 3, 6, 7, 8, 40], 60)
+    groups = [(sig, sorted(set(r.randint(0, 50, n).tolist()))) for sig, n in enumerate(sizes)]
+    frame = pd.DataFrame([(s, x) for s, names in groups for x in names for _ in range(r.randint(1, 3))], columns=["sig", "name"])
+
+    def read(step):
+        out = pd.concat(ngram_join.pairs_of_runs(frame.iloc[i : i + step] for i in range(0, len(frame), step)))
+        pairs = {(a, b) for s, a, b in out.itertuples(index=False) if pd.isna(s)}
+        return pairs, {(s, a, b) for s, a, b in out.itertuples(index=False) if not pd.isna(s)}
+
+    pairs, members = set(), set()
+    for s, names in groups:
+        large = len(names) > ngram_join.SMALL_GROUP
+        pairs |= {(a, b) for i, a in enumerate(names[:1] if large else names) for b in names[i + 1 :]}
+        members |= {(s, x, names[0]) for x in names if large}
+    for step in (1, 2, 5, 17, len(frame)):
+        assert read(step) == (pairs, members)
+
+
+def test_sets_that_link_share_a_signature():
+    r = np.random.RandomState(8)
+    bands = ngram_join.Bands()
+    for n in [*range(4, 40), 100, 300, 1000]:
+        for _ in range(5):
+            pool = np.unique(r.randint(0, 1 << 62, 3 * n).astype(np.uint64))
+            a = np.sort(r.choice(pool, n, replace=False))
+            k = n // 5  # a larger set may hold n / 4 more, a smaller one lack n / 5
+            for b in (np.sort(r.choice(a, n - k, replace=False)), np.sort(np.concatenate([a, np.setdiff1d(pool, a)[: n // 4]]))):
+                values = [set(ngram_join.Signatures(x, np.array([0, len(x)]), bands).values.tolist()) for x in (a, b)]
+                assert values[0] & values[1] or len(a) == len(b)
 
 
 def removed(rows, length):
