@@ -20,8 +20,9 @@ What large groups may hide is settled next, for centres whose groups hold sets o
 1. A set is done with if it has so few signatures in those groups that each partner must meet it elsewhere.
 2. Sets that link share all but a fifth of their features. A set whose rarest features, a fifth and one more,
    have few holders each gives its pairs with those holders and is done with.
-3. What remains (sets made almost wholly of common features, not yet connected) is compared by
-   sizes and histograms, in blocks of bounded size, and only what these can't refute leaves a task.
+3. What remains (sets made almost wholly of common features, not yet connected) is compared family by family,
+   in blocks of bounded size: by components, sizes, histograms and features, in this order. Only links that join
+   components leave a task.
 
 Sets are known by 128-bit hashes; signatures carry 64 bits of them as a name, and names lead back to all sets
 that bear them, so that equal names cost a verification and merge nothing. Features are 64-bit hashes.
@@ -68,8 +69,8 @@ HOT_SHARE, HOT_LEAST = 1e-5, 16
 IDS_TO_BROADCAST = 1_000_000
 #: Characters of text that are turned into features at a time.
 CHUNK_CHARS = 1_000_000
-#: Sets in a block of those that are compared with each other.
-BLOCK = 4_096
+#: Features in a block of the sets that are compared with each other.
+BLOCK_FEATURES = 2_000_000
 CACHED_WORDS = 200_000
 
 U = np.uint64
@@ -319,30 +320,30 @@ def features_of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame({"set": [set_id(x) for x in held], "features": [x.tobytes() for x in held]})
 
 
+def link(x: np.ndarray, y: np.ndarray) -> bool:
+    both = np.concatenate([x, y])
+    both.sort()
+    shared = np.count_nonzero(both[1:] == both[:-1])
+    return 100 * shared >= PERCENT * (len(both) - shared)
+
+
 def linked(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for b in batches:
-        ok = []
-        for x, y in zip(b["features_a"], b["features_b"], strict=True):
-            x, y = np.frombuffer(x, U), np.frombuffer(y, U)
-            both = np.concatenate([x, y])
-            both.sort()
-            shared = np.count_nonzero(both[1:] == both[:-1])
-            ok.append(100 * shared >= PERCENT * (len(both) - shared))
+        ok = [link(np.frombuffer(x, U), np.frombuffer(y, U)) for x, y in zip(b["features_a"], b["features_b"], strict=True)]
         yield b.loc[np.array(ok, bool), ["a", "b"]]
 
 
-def features_by_number(wanted: DataFrame, sets: DataFrame, docs: DataFrame) -> DataFrame:
-    """(num, features) of the sets in ``wanted`` (num); only texts of their first ids are read. A set has a row for each row with that id."""
-    listed = stored(wanted.join(sets.select("num", "set", "first_id"), "num"), "join-listed")
-    ids = maybe_broadcast(listed.select(F.col("first_id").alias("_first")).distinct(), IDS_TO_BROADCAST)
+def with_features(wanted: DataFrame, docs: DataFrame) -> DataFrame:
+    """``wanted`` (set, first_id and more) with features, one row for each row with that id and set; only texts of first ids are read."""
+    ids = maybe_broadcast(wanted.select(F.col("first_id").alias("_first")).distinct(), IDS_TO_BROADCAST)
     near = docs.join(ids, F.col("_id").eqNullSafe(F.col("_first")), "left_semi").select("_text")
-    texts = near.mapInPandas(features_of, "set binary, features binary").join(maybe_broadcast(listed.select("num", "set"), IDS_TO_BROADCAST), "set")
-    return stored(texts.select("num", "features"), "join-features")
+    return near.mapInPandas(features_of, "set binary, features binary").join(maybe_broadcast(wanted.drop("first_id"), IDS_TO_BROADCAST), "set")
 
 
 def verified(pairs: DataFrame, sets: DataFrame, docs: DataFrame) -> DataFrame:
     """The pairs that link, out of distinct pairs (a, b) of numbers."""
-    held = features_by_number(pairs.select(F.col("a").alias("num")).union(pairs.select("b")).distinct(), sets, docs)
+    wanted = pairs.select(F.col("a").alias("num")).union(pairs.select("b")).distinct().join(sets.select("num", "set", "first_id"), "num")
+    held = stored(with_features(stored(wanted, "join-wanted"), docs).select("num", "features"), "join-features")
     side = lambda x: held.select(F.col("num").alias(x), F.col("features").alias(f"features_{x}"))
     return stored(pairs.select("a", "b").join(side("a"), "a").join(side("b"), "b").mapInPandas(linked, "a long, b long").distinct(), "join-links")
 
@@ -377,82 +378,104 @@ def several(rows: DataFrame, key: str) -> DataFrame:
     return stored(rows.join(stored(open_, "join-several"), key, "left_semi"), "join-left")
 
 
-def exploded(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """(num, feature) of the sets that have too many signatures in open groups; ``large_0`` and ``large_1`` count these by instance."""
+def hidden(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The sets (num, features) with too many signatures in open groups; ``large_0`` and ``large_1`` count these by instance."""
     bands = Bands()
     for b in batches:
-        for num, features, large in zip(b["num"], b["features"], zip(b["large_0"], b["large_1"], strict=True), strict=True):
-            features = np.frombuffer(features, U)
-            own = Signatures(features, np.array([0, len(features)]), bands)
-            if any(large[bit] > max(spare, 0) for bit, spare in zip(own.bit.tolist(), own.spare.tolist(), strict=True)):
-                yield pd.DataFrame({"num": num, "feature": features.view(np.int64)})
+        ok = []
+        for features, *large in zip(b["features"], b["large_0"], b["large_1"], strict=True):
+            own = Signatures(np.frombuffer(features, U), np.array([0, len(features) // 8]), bands)
+            ok.append(any(large[bit] > max(spare, 0) for bit, spare in zip(own.bit.tolist(), own.spare.tolist(), strict=True)))
+        yield b.loc[np.array(ok, bool), ["num", "features"]]
+
 
+def exploded(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for b in batches:
+        for num, features in zip(b["num"], b["features"], strict=True):
+            yield pd.DataFrame({"num": num, "feature": np.frombuffer(features, np.int64)})
 
-def blocks_met(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Pairs of sets of several components that may link, from rows in which those of two blocks to compare are neighbours."""
+
+def root(up: dict[int, int], x: int) -> int:
+    while up.get(x, x) != x:
+        up[x] = x = up.get(up[x], up[x])
+    return x
+
+
+def links_of_blocks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Links that join components, from rows in which the sets of two blocks to compare are neighbours; no more than there are sets."""
     key, held = None, []
 
-    def met() -> pd.DataFrame:
-        rows = pd.concat(held, ignore_index=True).sort_values("n", kind="stable")
-        n, num, comp, second, hist = rows["n"].to_numpy(), rows["num"].to_numpy(), rows["comp"].to_numpy(), rows["second"].to_numpy(), histograms(rows["hist"])
+    def links() -> pd.DataFrame:
+        rows = pd.concat(held, ignore_index=True)
+        rows = rows.assign(n=rows["features"].str.len() // 8).sort_values("n", kind="stable")
+        n, num, second = rows["n"].to_numpy(), rows["num"].to_numpy(), rows["second"].to_numpy()
+        comps, comp = np.unique(rows["comp"].to_numpy(), return_inverse=True)
+        features = [np.frombuffer(x, U) for x in rows["features"]]
+        hist = np.array([np.bincount((x & U(HISTOGRAM - 1)).astype(np.int64), minlength=HISTOGRAM) for x in features]).astype(np.int16)
         one = key[1] == key[2]
+        up: dict[int, int] = {}
         found = []
         for x in np.flatnonzero(~second):
             low, high = np.searchsorted(n, -(-PERCENT * n[x] // 100), "left"), np.searchsorted(n, 100 * n[x] // PERCENT, "right")
             other = low + np.flatnonzero((comp[low:high] != comp[x]) & ((num[low:high] > num[x]) if one else second[low:high]))
-            if len(other):
-                other = other[may_link(n[x], n[other], apart(hist[x], hist[other]))]
-                found.append((np.minimum(num[other], num[x]), np.maximum(num[other], num[x])))
-        a, b = (np.concatenate([f[i] for f in found] or [np.zeros(0, np.int64)]) for i in (0, 1))
-        return pd.DataFrame({"a": a, "b": b})
+            for y in other[may_link(n[x], n[other], apart(hist[x], hist[other]))].tolist():
+                a, b = root(up, int(comp[x])), root(up, int(comp[y]))
+                if a != b and link(features[x], features[y]):
+                    up[a] = b
+                    found.append((min(num[x], num[y]), max(num[x], num[y])))
+        return pd.DataFrame(found, columns=["a", "b"], dtype=np.int64)
 
     for b in batches:
-        keys = b[["centre", "low", "high"]].to_numpy()
+        keys = b[["family", "low", "high"]].to_numpy()
         for a, z in edges(np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1, len(b)):
             if tuple(keys[a]) != key:
                 if held:
-                    yield met()
+                    yield links()
                 key, held = tuple(keys[a]), []
             held.append(b.iloc[a:z])
     if held:
-        yield met()
+        yield links()
 
 
-def pairs_of_rest(members: DataFrame, labels: DataFrame, sets: DataFrame, docs: DataFrame) -> DataFrame | None:
-    """Candidates (a, b) of numbers that large groups hide; None if there are none. ``members``: (sig, name, centre)."""
-    named_ = members.join(sets.select("name", "num"), "name").select("sig", "num", "centre")
-    left = several(with_components(named_, labels, "num", "comp"), "centre")
+def links_of_rest(rest: DataFrame, poor: DataFrame) -> DataFrame:
+    """Links (a, b) across components out of (family, num, comp): sets of a family are compared with each other, block by block."""
+    rest = rest.join(poor.select("num", (F.length("features") / 8).alias("n")), "num")
+    rest = stored(rest, "join-rest")
+    count = stored(rest.groupBy("family").agg(F.ceil(F.sum("n") / BLOCK_FEATURES).cast("int").alias("blocks")), "join-blocks")
+    own = F.pmod(F.xxhash64("num"), F.col("blocks")).cast("int")
+    dealt = rest.join(maybe_broadcast(count, IDS_TO_BROADCAST), "family").withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = dealt.select("family", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), (F.col("own") > F.col("other")).alias("second"), "num", "comp")
+    dealt = dealt.join(poor, "num").repartition("family", "low", "high").sortWithinPartitions("family", "low", "high")
+    return dealt.mapInPandas(links_of_blocks, "a long, b long")
+
+
+def links_hidden(members: DataFrame, labels: DataFrame, sets: DataFrame, docs: DataFrame) -> DataFrame | None:
+    """Links (a, b) of numbers, enough to join components, that large groups hide; None if there are none. ``members``: (sig, name, centre)."""
+    numbers = lambda c, to: sets.select(F.col("name").alias(c), F.col("num").alias(to))
+    named_ = members.join(numbers("name", "num"), "name").join(numbers("centre", "centre_num"), "centre").select("sig", "num", "centre_num")
+    # Groups of centres in one component are a family.
+    labelled = with_components(with_components(named_, labels, "num", "comp"), labels, "centre_num", "family").drop("centre_num")
+    left = several(labelled, "family")
     if left.isEmpty():
         return None
-    of_bit = lambda bit: F.count(F.when(F.col("sig").bitwiseAND(1) == bit, 1)).alias(f"large_{bit}")
-    large = stored(left.groupBy("num").agg(of_bit(0), of_bit(1)), "join-large")
-    features = stored(features_by_number(large.select("num"), sets, docs).dropDuplicates(["num"]).join(large, "num").mapInPandas(exploded, "num long, feature long"), "join-exploded")
-    holders = stored(features.groupBy("feature").agg(F.count("*").alias("holders")).where("holders > 1"), "join-holders")
-
-    sizes = features.groupBy("num").agg(F.count("*").alias("n"))
-    shared = features.join(holders.where(F.col("holders") <= COMMON), "feature")
-    of_set = shared.groupBy("num").agg(F.array_sort(F.collect_list(F.struct("holders", "feature"))).alias("rare"))
-    common = features.join(holders.where(F.col("holders") > COMMON).select("feature"), "feature", "left_semi").groupBy("num").agg(F.count("*").alias("common"))
+    of_bit = lambda bit: F.count_distinct(F.when(F.col("sig").bitwiseAND(1) == bit, F.col("sig"))).alias(f"large_{bit}")
+    large = stored(left.groupBy("num").agg(of_bit(0), of_bit(1)).join(sets.select("num", "set", "first_id"), "num"), "join-large")
+    poor = stored(with_features(large, docs).mapInPandas(hidden, "num long, features binary").dropDuplicates(["num"]), "join-poor")
+
+    features = poor.mapInPandas(exploded, "num long, feature long")
+    holders = stored(features.groupBy("feature").agg(F.count("*").alias("holders")).where(F.col("holders") <= COMMON), "join-holders")
+    few = features.join(holders, "feature").groupBy("num").agg(F.count("*").alias("few"), F.array_sort(F.collect_list(F.when(F.col("holders") > 1, F.struct("holders", "feature")))).alias("rare"))
     # floor((100 - PERCENT) n / 100) + 1 features of a set: one of them is in each set it links to.
-    need = F.floor((100 - PERCENT) * F.col("n") / 100) + 1
-    ranked = sizes.join(common, "num", "left").join(of_set, "num", "left").select(
-        "num",
-        (F.col("n") - F.coalesce("common", F.lit(0)) >= need).alias("enough"),
-        F.slice("rare", F.lit(1), F.greatest(F.lit(0), need - (F.col("n") - F.coalesce("common", F.lit(0)) - F.size(F.coalesce("rare", F.array())))).cast("int")).alias("rare"),
-    )
+    need = F.floor((100 - PERCENT) * F.length("features") / 800) + 1
+    lone = F.col("few") - F.size("rare")
+    ranked = poor.join(few.where("few > 0"), "num").where(F.col("few") >= need).select("num", F.slice("rare", F.lit(1), F.greatest(F.lit(0), need - lone).cast("int")).alias("rare"))
     ranked = stored(ranked, "join-ranked")
-    asked = ranked.where("enough").select(F.col("num").alias("x"), F.explode("rare.feature").alias("feature"))
-    found = asked.join(shared.select("feature", F.col("num").alias("y")), "feature").where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    asked = stored(ranked.select(F.col("num").alias("x"), F.explode("rare.feature").alias("feature")), "join-asked")
+    met = features.select("feature", F.col("num").alias("y")).join(maybe_broadcast(asked, IDS_TO_BROADCAST), "feature").where("x <> y")
+    found = across(met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), labels)
 
-    rest = left.join(ranked.where("NOT enough").select("num"), "num", "left_semi").select("centre", "num", "comp").distinct()
-    rest = several(rest, "centre")
-    count = stored(rest.groupBy("centre").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")), "join-blocks")
-    own = F.pmod(F.xxhash64("num"), F.col("blocks")).cast("int")
-    dealt = rest.join(maybe_broadcast(count, IDS_TO_BROADCAST), "centre").withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.select("centre", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), (F.col("own") > F.col("other")).alias("second"), "num", "comp")
-    dealt = dealt.join(sets.select("num", "n", "hist"), "num")
-    met = dealt.repartition("centre", "low", "high").sortWithinPartitions("centre", "low", "high").mapInPandas(blocks_met, "a long, b long")
-    return stored(found.union(met).distinct(), "join-more")
+    rest = left.join(poor.select("num"), "num", "left_semi").join(ranked.select("num"), "num", "left_anti").select("family", "num", "comp").distinct()
+    return stored(verified(found, sets, docs).union(links_of_rest(several(rest, "family"), poor)).distinct(), "join-hidden")
 
 
 def neighbours(sigs: DataFrame) -> DataFrame:
@@ -475,12 +498,13 @@ def similarity_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     pairs = not_refuted(found.where("sig IS NULL").select("a", "b"), sets)
     links = verified(nearest(pairs), sets, rows)
     labels = connected_components(links)
-    for candidates in (lambda: pairs, lambda: pairs_of_rest(found.where("sig IS NOT NULL").select("sig", F.col("a").alias("name"), F.col("b").alias("centre")), labels, sets, rows)):
-        more = candidates()
-        crossing = across(more.select("a", "b"), labels) if more is not None else None
-        if crossing is not None and not crossing.isEmpty():
-            links = stored(links.union(verified(crossing, sets, rows)), "join-links")
-            labels = connected_components(links)
+    more = across(pairs.select("a", "b"), labels)
+    if not more.isEmpty():
+        links = stored(links.union(verified(more, sets, rows)), "join-links")
+        labels = connected_components(links)
+    hidden_ = links_hidden(found.where("sig IS NOT NULL").select("sig", F.col("a").alias("name"), F.col("b").alias("centre")), labels, sets, rows)
+    if hidden_ is not None and not hidden_.isEmpty():
+        labels = connected_components(links.union(hidden_))
 
     comps = with_components(sets.select("set", "num", "first_id"), labels, "num", "comp")
     lows = stored(comps.groupBy("comp").agg(F.min("first_id").alias("component_id")), "join-lows")

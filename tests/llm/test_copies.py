@@ -129,7 +129,7 @@ def test_ngram_join_of_a_family_about_the_threshold(spark, monkeypatch):
         if (low == was).all():
             break
     docs = spark.createDataFrame(rows, "doc_id long, text string")
-    monkeypatch.setattr(ngram_join, "BLOCK", 50)
+    monkeypatch.setattr(ngram_join, "BLOCK_FEATURES", 8_000)
     got = {x["doc_id"]: x["component_id"] for x in ngram_join.similarity_join(docs).collect()}
     assert got == dict(enumerate(low.tolist()))
     assert 1 < len(set(low)) < len(rows)
