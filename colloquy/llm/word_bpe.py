@@ -4,8 +4,11 @@ Method: documents are split into words block by block; a block keeps each of
 its words once and its documents as positions in that list. Words are then
 dealt by hash, so that each distinct word of the corpus meets in one place and
 is encoded once; its ids go back to every block that asked and take the places
-of the positions. Decoding joins ids to their pieces for each word of a block
-and the pieces to documents by position.
+of the positions. For decoding the ids of a block's words are joined to the table of ids and
+pieces (as large as the vocabulary), and the pieces take the places of the words.
+
+A block is of bounded size, and words stream past a table of bounded size (a word that
+has left it is encoded anew), so no task holds more than these.
 
 The result equals the tokenizers library's encode(text, add_special_tokens=False)
 and decode(ids, skip_special_tokens=False). Words of common Latin text are split
@@ -38,9 +41,13 @@ from pyspark.sql import functions as F
 from .common import stored
 
 #: Characters of text that make one block; a longer document is a block of its own.
-BLOCK_CHARS = 6_000_000
+BLOCK_CHARS = 12_000_000
+#: Words of the documents that are put together at a time.
+RUN_WORDS = 200_000
 #: Words that are encoded in one call of the library.
-ENCODE_BATCH = 1_000
+ENCODE_BATCH = 5_000
+#: Words of a bucket that a task remembers before it starts anew.
+REMEMBERED = 500_000
 
 #: Texts of these characters alone need neither the library's NFC nor its Unicode
 #: tables: ASCII and the Latin letters up to U+024F, less the dotted capital I,
@@ -73,7 +80,7 @@ class Splitter:
 
 
 class Encoder:
-    """Ids of single words, and the piece of each id."""
+    """Ids of single words, and the table of ids and pieces."""
 
     def __init__(self, path: str) -> None:
         # Tasks fill the cores already; the library's own threads would only compete.
@@ -84,15 +91,17 @@ class Encoder:
         self.tokenizer.normalizer = None
         self.tokenizer.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
         pieces = self.tokenizer.get_vocab(with_added_tokens=True)
-        self.pieces = [""] * (max(pieces.values()) + 1)
-        for piece, i in pieces.items():
-            self.pieces[i] = piece
+        self.vocabulary = pd.DataFrame({"id": np.fromiter(pieces.values(), np.int64), "piece": pd.Series(list(pieces), dtype=object)})
 
-    def ids(self, words: list[str]) -> list[list[int]]:
-        out = []
+    def ids(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all words, one after the other, and how many each has."""
+        ids, sizes = [np.zeros(0, np.uint32)], [np.zeros(0, np.int64)]
         for at in range(0, len(words), ENCODE_BATCH):
-            out += [e.ids for e in self.tokenizer.encode_batch_fast(words[at : at + ENCODE_BATCH], add_special_tokens=False)]
-        return out
+            part = words[at : at + ENCODE_BATCH]
+            e = self.tokenizer.encode(part, is_pretokenized=True, add_special_tokens=False)
+            ids.append(np.array(e.ids, np.uint32))
+            sizes.append(np.bincount(np.array(e.word_ids, np.int64), minlength=len(part)))
+        return np.concatenate(ids), np.concatenate(sizes)
 
 
 @functools.cache
@@ -115,16 +124,29 @@ def unpack(data: bytes) -> np.ndarray:
     return np.ascontiguousarray(raw.reshape(4, -1).T).view("<u4").ravel()
 
 
+def pack_codes(codes: np.ndarray) -> bytes:
+    """Numbers of which most are small: a byte for each, 255 standing for those that follow in full."""
+    small = zstandard.compress(np.minimum(codes, 255).astype(np.uint8).tobytes())
+    return len(small).to_bytes(4, "little") + small + pack(codes[codes >= 255])
+
+
+def unpack_codes(data: bytes) -> np.ndarray:
+    size = int.from_bytes(data[:4], "little")
+    codes = np.frombuffer(zstandard.decompress(data[4 : 4 + size]), np.uint8).astype(np.uint32)
+    codes[codes == 255] = unpack(data[4 + size :])
+    return codes
+
+
 def to_blocks(path: str, buckets: int) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
-    """Rows of documents (id, codes) and of words (bucket, words, slots) of each block."""
+    """Rows of documents (ids, counts, codes) and of words (bucket, words, slots) of each block."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         split, task, n = splitter(path), TaskContext.get().partitionId(), count()
 
-        def close(ids: list, codes: list[np.ndarray], table: dict[str, int]) -> Iterator[pd.DataFrame]:
+        def close(ids: list, codes: list[np.ndarray], table: dict[str, int]) -> pd.DataFrame:
             # Frequent words get low numbers, which pack best.
-            uses = sum((np.bincount(c, minlength=len(table)) for c in codes), np.zeros(len(table), np.int64))
-            order = np.argsort(-uses, kind="stable")
+            flat = np.concatenate(codes)
+            order = np.argsort(-np.bincount(flat, minlength=len(table)), kind="stable")
             rank = np.empty(len(table), np.uint32)
             rank[order] = np.arange(len(table), dtype=np.uint32)
             found = list(table)
@@ -133,12 +155,14 @@ def to_blocks(path: str, buckets: int) -> Callable[[Iterator[pd.DataFrame]], Ite
                 own = parts.setdefault(zlib.crc32(found[at].encode()) % buckets, ([], []))
                 own[0].append(found[at])
                 own[1].append(code)
-            block = (task << 32) + next(n)
-            yield pd.DataFrame({"block": block, "_id": pd.Series(ids, dtype=object), "codes": [pack(rank[c]) for c in codes], "bucket": None, "words": None, "slots": None})
-            if parts:
-                words = [zstandard.compress("\n".join(w).encode()) for w, _ in parts.values()]
-                slots = [pack(np.diff(s, prepend=0)) for _, s in parts.values()]
-                yield pd.DataFrame({"block": block, "_id": None, "codes": None, "bucket": list(parts), "words": words, "slots": slots})
+            counts = np.fromiter(map(len, codes), np.int64)
+            turn = np.cumsum(counts) // RUN_WORDS
+            rows = []
+            for at in np.split(np.arange(len(ids)), np.flatnonzero(np.diff(turn)) + 1):
+                first, last = int(counts[: at[0]].sum()), int(counts[: at[-1] + 1].sum())
+                rows.append((ids[at[0] : at[-1] + 1], pack(counts[at]), pack_codes(rank[flat[first:last]]), None, None, None))
+            rows += [(None, None, None, bucket, zstandard.compress("\n".join(w).encode()), pack(np.diff(s, prepend=0))) for bucket, (w, s) in parts.items()]
+            return pd.DataFrame(rows, columns=["_ids", "counts", "codes", "bucket", "words", "slots"]).assign(block=(task << 32) + next(n))[BLOCK]
 
         ids, codes, chars = [], [], 0
         table: dict[str, int] = defaultdict(count().__next__)
@@ -146,35 +170,40 @@ def to_blocks(path: str, buckets: int) -> Callable[[Iterator[pd.DataFrame]], Ite
             for ident, text in zip(batch["_id"], batch["_text"], strict=True):
                 text = text or ""
                 if ids and chars + len(text) > BLOCK_CHARS:
-                    yield from close(ids, codes, table)
+                    yield close(ids, codes, table)
                     ids, codes, chars, table = [], [], 0, defaultdict(count().__next__)
                 words = split(text)
                 ids.append(None if pd.isna(ident) else ident)
                 codes.append(np.fromiter(map(table.__getitem__, words), np.uint32, len(words)))
                 chars += len(text)
         if ids:
-            yield from close(ids, codes, table)
+            yield close(ids, codes, table)
 
     return run
 
 
-def encode_bucket(path: str) -> Callable[[pd.DataFrame], pd.DataFrame]:
-    """Each distinct word of a bucket is encoded once, for all blocks that hold it."""
+BLOCK = ["block", "_ids", "counts", "codes", "bucket", "words", "slots"]
 
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        held = [zstandard.decompress(x).decode().split("\n") for x in rows["words"]]
-        place: dict[str, int] = defaultdict(count().__next__)
-        at = [np.fromiter(map(place.__getitem__, words), np.int64, len(words)) for words in held]
-        found = encoder(path).ids(list(place))
-        sizes = np.fromiter(map(len, found), np.int64, len(found))
-        flat = np.fromiter((i for ids in found for i in ids), np.uint32, int(sizes.sum()))
-        starts = np.cumsum(sizes) - sizes
-        return pd.DataFrame({
-            "block": rows["block"],
-            "bucket": rows["bucket"],
-            "sizes": [pack(sizes[a]) for a in at],
-            "ids": [pack(flat[runs(starts[a], sizes[a])]) for a in at],
-        })
+
+def encode_words(path: str) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+    """From rows (block, bucket, words) with those of a bucket side by side: sizes and ids of the words."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        bucket, place, flat, sizes = None, {}, np.zeros(0, np.uint32), np.zeros(0, np.int64)
+        for b in batches:
+            rows = []
+            for block, own, packed in zip(b["block"], b["bucket"], b["words"], strict=True):
+                words = zstandard.decompress(packed).decode().split("\n")
+                if own != bucket or len(place) > REMEMBERED:
+                    bucket, place, flat, sizes = own, {}, np.zeros(0, np.uint32), np.zeros(0, np.int64)
+                new = [w for w in words if w not in place]
+                place.update(zip(new, range(len(place), len(place) + len(new)), strict=True))
+                ids, n = encoder(path).ids(new)
+                flat, sizes = np.concatenate([flat, ids]), np.concatenate([sizes, n])
+                at = np.fromiter(map(place.__getitem__, words), np.int64, len(words))
+                ids = flat[runs((np.cumsum(sizes) - sizes)[at], sizes[at])]
+                rows.append((block, own, pack(sizes[at]), pack(ids)))
+            yield pd.DataFrame(rows, columns=["block", "bucket", "sizes", "word_ids"])
 
     return run
 
@@ -185,29 +214,46 @@ def runs(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts - (ends - sizes), sizes)
 
 
-def assemble(path: str, kind: str) -> Callable[[pd.DataFrame, pd.DataFrame], pd.DataFrame]:
-    """Documents of a block from positions, with the ids of the block's words."""
+def assemble(path: str) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+    """Documents from the rows of blocks: those of a block are neighbours, its words before its documents.
+
+    A block's words are held, and documents are put together a run at a time.
+    """
 
-    def run(docs: pd.DataFrame, words: pd.DataFrame) -> pd.DataFrame:
-        listed = docs["bucket"].notna()
-        words = words.merge(docs.loc[listed, ["bucket", "slots"]], on="bucket")
-        docs = docs[~listed]
-        column = lambda c, f: np.concatenate([f(unpack(x)) for x in words[c]] or [np.zeros(0)]).astype(np.int64)
-        slots, sizes, ids = column("slots", np.cumsum), column("sizes", np.asarray), column("ids", np.asarray)
+    def words_of(rows: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[str]]:
+        """Where the ids of each word begin, how many it has, the ids, and the text of each word."""
+        both = rows.dropna(subset=["slots"])[["bucket", "slots"]].merge(rows.dropna(subset=["sizes"])[["bucket", "sizes", "word_ids"]], on="bucket")
+        column = lambda c, f: np.concatenate([f(unpack(x)) for x in both[c]] or [np.zeros(0)]).astype(np.int64)
+        slots, sizes, ids = column("slots", np.cumsum), column("sizes", np.asarray), column("word_ids", np.asarray)
         starts = np.cumsum(sizes) - sizes
         start_of, size_of = np.zeros(len(slots), np.int64), np.zeros(len(slots), np.int64)
         start_of[slots], size_of[slots] = starts, sizes
-        pieces = encoder(path).pieces
-        joined = [pieces[i] for i in ids]
+        pieces = pd.DataFrame({"id": ids}).merge(encoder(path).vocabulary, on="id", how="left")["piece"].tolist()
         text_of = [""] * len(slots)
         for slot, a, n in zip(slots.tolist(), starts.tolist(), sizes.tolist(), strict=True):
-            text_of[slot] = " ".join(joined[a : a + n])
+            text_of[slot] = " ".join(pieces[a : a + n])
+        return start_of, size_of, ids, text_of
+
+    def documents(idents: list, counts: bytes, codes: bytes, words: tuple) -> pd.DataFrame:
+        start_of, size_of, ids, text_of = words
         out_ids, texts = [], []
-        for packed in docs["codes"]:
-            codes = unpack(packed)
-            out_ids.append(ids[runs(start_of[codes], size_of[codes])].astype("<u4").tobytes())
-            texts.append(" ".join(map(text_of.__getitem__, codes.tolist())))
-        return pd.DataFrame({"_id": docs["_id"], "n_tokens": [len(x) // 4 for x in out_ids], "ids": out_ids, "decoded": texts})
+        for own in np.split(unpack_codes(codes), np.cumsum(unpack(counts).astype(np.int64))[:-1]):
+            out_ids.append(ids[runs(start_of[own], size_of[own])].astype("<u4").tobytes())
+            texts.append(" ".join(map(text_of.__getitem__, own.tolist())))
+        return pd.DataFrame({"_id": pd.Series(list(idents), dtype=object), "n_tokens": [len(x) // 4 for x in out_ids], "ids": out_ids, "decoded": texts})
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        block, held, words = None, [], None
+        for b in batches:
+            for i in range(len(b)):
+                row = b.iloc[i : i + 1]
+                if row["block"].iat[0] != block:
+                    block, held, words = row["block"].iat[0], [], None
+                if row["documents"].iat[0]:
+                    words = words or words_of(pd.concat(held) if held else row)
+                    yield documents(row["_ids"].iat[0], row["counts"].iat[0], row["codes"].iat[0], words)
+                else:
+                    held.append(row)
 
     return run
 
@@ -217,11 +263,10 @@ def encode_decode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col:
     spark = docs.sparkSession
     kind = docs.schema[id_col].dataType.simpleString()
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    blocks = stored(
-        docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).mapInPandas(to_blocks(path, buckets), f"block long, _id {kind}, codes binary, bucket int, words binary, slots binary"),
-        "bpe-blocks",
-    )
-    encoded = blocks.where("bucket IS NOT NULL").select("block", "bucket", "words").groupBy("bucket").applyInPandas(encode_bucket(path), "block long, bucket int, sizes binary, ids binary")
-    texts = blocks.select("block", "_id", "codes", "bucket", "slots")
-    out = texts.groupBy("block").cogroup(encoded.groupBy("block")).applyInPandas(assemble(path, kind), f"_id {kind}, n_tokens long, ids binary, decoded string")
+    rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
+    blocks = stored(rows.mapInPandas(to_blocks(path, buckets), f"block long, _ids array<{kind}>, counts binary, codes binary, bucket int, words binary, slots binary"), "bpe-blocks")
+    words = blocks.where("bucket IS NOT NULL").select("block", "bucket", "words").repartition("bucket").sortWithinPartitions("bucket")
+    encoded = words.mapInPandas(encode_words(path), "block long, bucket int, sizes binary, word_ids binary")
+    parts = blocks.drop("words").unionByName(encoded, allowMissingColumns=True).withColumn("documents", F.col("codes").isNotNull())
+    out = parts.repartition("block").sortWithinPartitions("block", "documents").mapInPandas(assemble(path), f"_id {kind}, n_tokens long, ids binary, decoded string")
     return out.withColumnRenamed("_id", id_col)
