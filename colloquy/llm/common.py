@@ -46,6 +46,11 @@ def maybe_broadcast(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if small_enough(df, rows) else df
 
 
+def whole_row(df: DataFrame) -> Column:
+    """All columns of ``df``, whatever their names, as one."""
+    return F.struct(*[F.col(f"`{c}`") for c in df.columns])
+
+
 def words_in(text: Column) -> Column:
     """Number of words in ``text``; null counts as empty."""
     return F.regexp_count(F.coalesce(text, F.lit("")), F.lit(WORD)).cast("long")

@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import maybe_broadcast, stored
+from .common import maybe_broadcast, stored, whole_row
 
 #: Hashes of groups are sent to all executors (24 bytes each) up to this many;
 #: beyond it the texts are joined with them by a shuffle.
@@ -102,7 +102,7 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ke
         return pd.Series([hashlib.sha256(normalise(x)).hexdigest() for x in texts])
 
     copies = stored(find_copies(docs, id_col, text_col, keep).select(F.col(id_col).alias("_id"), F.col("text_sha256").alias("_sha"), "kept"), "exact-copies")
-    rows = docs.select(F.struct(*docs.columns).alias("_row"), F.col(id_col).alias("_own"), digest(text_col).alias("_digest"))
+    rows = docs.select(whole_row(docs).alias("_row"), F.col(id_col).alias("_own"), digest(text_col).alias("_digest"))
     found = rows.join(copies.where("kept").drop("kept"), F.col("_own").eqNullSafe(F.col("_id")) & (F.col("_digest") == F.col("_sha")), "left_semi")
     if copies.groupBy("_id", "_sha").count().where("count > 1").isEmpty():
         return found.select("_row.*")  # no id is repeated with its text, so every row found stays

@@ -6,8 +6,8 @@ language whose dictionary gives the fewest bytes over all blocks is chosen. Text
 and dictionaries are lower-cased words of letters only, so that case, marks and
 numbers, which languages share, don't decide. A prediction whose margin over the runner-up is narrow is marked as not accepted.
 
-Fitting reads a bounded sample: at most SAMPLE labelled texts a language, until
-DICTIONARY_BYTES are gathered. Prediction reads every whole text.
+Fitting reads a bounded sample: the LANGUAGES with most labels, of each at most SAMPLE
+labelled texts, and of each text no more characters than a dictionary has bytes (DICTIONARY_BYTES). Prediction reads every whole text.
 
 Defined results: ``und`` with score 0 if the text is null or has no letter, or if no
 language was learned. Equal sizes go to the language with more labels, then by code point.
@@ -26,7 +26,10 @@ import zstandard
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Bounds of the fitting sample.
+from .common import stored
+
+#: Bounds of the fitting sample: the languages with most labels, and texts of each.
+LANGUAGES = 500
 SAMPLE = 200
 DICTIONARY_BYTES = 1 << 17
 #: Bytes of text that are compressed at a time.
@@ -57,7 +60,7 @@ def fit_dictionaries(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     rows = docs.where(F.col(lang_col).isNotNull() & ~held_out(F.col(id_col)) & (F.length(text_col) > 0)).select(
         F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), F.xxhash64(F.col(id_col)).alias("draw")
     )
-    counts = rows.groupBy("lang").count()
+    counts = stored(rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES), "language-counts")
     rate = F.least(F.lit(1.0), F.lit(2.0 * SAMPLE) / F.col("count"))
     near = rows.join(F.broadcast(counts), "lang").where(F.pmod("draw", F.lit(1 << 20)) < rate * (1 << 20))
     ordered = Window.partitionBy("lang").orderBy("draw", "text")

@@ -7,7 +7,7 @@ one more time if a hash of its id falls below the fraction of the rate.
 Defined results: a null text has size 0. Sources rank by code point, null last,
 and take the weights in turn. A source without words has target 0 and rate 0.
 Rows that repeat an id draw alike. An empty table gives an empty result. Only
-the columns named below are read for the decision; all columns pass through.
+the id, the text and the source decide; rows come back whole, so that columns of any name pass through.
 """
 
 from __future__ import annotations
@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import maybe_broadcast, stored, with_running_totals, words_in
+from .common import maybe_broadcast, stored, whole_row, with_running_totals, words_in
 
 WEIGHTS = (1, 2, 3)
 MAX_RATE = 3
@@ -67,20 +67,18 @@ def draw(ident: Column, seed: str = SEED) -> Column:
 
 
 def plan_mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: str = SEED) -> DataFrame:
-    """``docs`` with _size, _source_size, _target, _rate and _copies of each row."""
-    sized = docs.withColumn("_size", words_in(F.col(text_col)))
-    sizes = stored(sized.groupBy(F.col(source_col).alias("source")).agg(F.sum("_size").alias("source_size")), "mix-sizes")
-    targets = source_targets(sizes).select(F.col("source").alias("_source"), F.col("source_size").alias("_source_size"), F.col("target").alias("_target"))
-    rate = F.when(F.col("_source_size") > 0, F.col("_target") / F.col("_source_size")).otherwise(0.0)
-    return (
-        sized.join(maybe_broadcast(targets, SOURCES_TO_BROADCAST), F.col(source_col).eqNullSafe(F.col("_source")))
-        .drop("_source")
-        .withColumn("_rate", rate)
-        .withColumn("_copies", (F.floor("_rate") + (draw(F.col(id_col), seed) < F.col("_rate") - F.floor("_rate")).cast("long")).cast("int"))
-    )
+    """(row, size, source_size, target, rate, copies): each row of ``docs`` as it is, and how often the mix takes it."""
+    col = lambda c: F.col(f"`{c}`")
+    sized = docs.select(whole_row(docs).alias("row"), words_in(col(text_col)).alias("size"), col(source_col).alias("source"), col(id_col).alias("id"))
+    sizes = stored(sized.groupBy("source").agg(F.sum("size").alias("source_size")), "mix-sizes")
+    targets = source_targets(sizes).select(F.col("source").alias("of"), "source_size", "target")
+    rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
+    planned = sized.join(maybe_broadcast(targets, SOURCES_TO_BROADCAST), F.col("source").eqNullSafe(F.col("of"))).withColumn("rate", rate)
+    copies = F.floor("rate") + (draw(F.col("id"), seed) < F.col("rate") - F.floor("rate")).cast("long")
+    return planned.select("row", "size", "source_size", "target", "rate", copies.cast("int").alias("copies"))
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: str = SEED) -> DataFrame:
     """The mix itself: the columns of ``docs``, each row as often as its rate says."""
-    planned = plan_mix(docs, id_col, text_col, source_col, seed).where("_copies > 0")
-    return planned.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*docs.columns)
+    planned = plan_mix(docs, id_col, text_col, source_col, seed).where("copies > 0")
+    return planned.select("row", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("row.*")

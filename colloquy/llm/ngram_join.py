@@ -46,7 +46,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import maybe_broadcast, stored
+from .common import maybe_broadcast, stored, whole_row
 from .components import connected_components
 
 SHINGLE = 5
@@ -180,29 +180,29 @@ class Signatures:
         self.set, band, k, parts = np.array(listed, np.int64).reshape(-1, 4).T
         sizes = np.diff(bounds)[self.set]
         at = ranges(bounds[self.set], sizes)
-        spread, weight = mixed(features ^ FACTORS[0]), mixed(features ^ FACTORS[1])
-        part = ((spread[at] >> U(32)) * np.repeat(parts.astype(U), sizes)) >> U(32)
-        cell = ((spread[at] & U(0xFFFFFFFF)) * U(CELLS)) >> U(32)
+        own = features[at]
+        part = ((own >> U(32)) * np.repeat(parts.astype(U), sizes)) >> U(32)
+        cell = ((own & U(0xFFFFFFFF)) * U(CELLS)) >> U(32)
         first = np.cumsum(parts) - parts
         slot = (np.repeat(first, sizes) + part.astype(np.int64)) * CELLS + cell.astype(np.int64)
         content = np.zeros(int(parts.sum()) * CELLS, U)
-        np.add.at(content, slot, weight[at])
+        np.add.at(content, slot, own)
         content = content.reshape(-1, CELLS)
         full = content != 0
         row = np.repeat(np.arange(len(parts)), parts)
         #: Parts that may be missed, all others being enough; below zero where empty cells count.
         self.spare = np.bincount(row, full.sum(axis=1) > 1, len(parts)).astype(np.int64) - (k // 2 + 1)
         self.bit = band & 1
-        whose = mixed(ranges(np.zeros(len(parts), np.int64), parts).astype(U) * FACTORS[2] + (band[row] + 1).astype(U) * FACTORS[3])
+        whose = ranges(np.zeros(len(parts), np.int64), parts).astype(U) * FACTORS[2] + (band[row] + 1).astype(U) * FACTORS[3]
         empty_too = (self.spare < 0)[row]
         values, rows = [], []
         for left_out in range(CELLS):
             cells = [c for c in range(CELLS) if c != left_out]
             value = whose + np.array([left_out], U) * FACTORS[4]
             for j, c in enumerate(cells):
-                value = mixed(value + content[:, c] * FACTORS[j])
+                value = value + content[:, c] * FACTORS[j]
             given = full[:, cells].any(axis=1) | empty_too
-            values.append(value[given])
+            values.append(mixed(value[given]))
             rows.append(row[given])
         at = np.concatenate(rows)
         self.values = ((np.concatenate(values) & ~U(1)) | self.bit[at].astype(U)).view(np.int64)
@@ -526,7 +526,7 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     found = similarity_join(docs, id_col, text_col).where(F.col(id_col).eqNullSafe(F.col("component_id")))
     found = stored(found.select(F.col(id_col).alias("_id"), F.col("text_md5").alias("_md5"), F.col("set").alias("_set")), "join-kept")
     own = F.unhex(F.md5(F.coalesce(F.col(text_col), F.lit("")).cast("binary")))
-    rows = docs.select(F.struct(*docs.columns).alias("_row"), F.col(id_col).alias("_own"), own.alias("_key"))
+    rows = docs.select(whole_row(docs).alias("_row"), F.col(id_col).alias("_own"), own.alias("_key"))
     both = rows.join(found.distinct(), F.col("_own").eqNullSafe(F.col("_id")) & (F.col("_key") == F.col("_md5")))
     if found.groupBy("_id").count().where("count > 1").isEmpty():
         return both.select("_row.*")  # no id is repeated, so every row found stays

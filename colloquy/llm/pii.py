@@ -66,6 +66,12 @@ def luhn(digits: str) -> bool:
     return total % 10 == 0
 
 
+def is_byte(digits: str) -> bool:
+    """Whether a number of any length is at most 255."""
+    significant = digits.lstrip("0")
+    return len(significant) <= 3 and int(significant or "0") <= 255
+
+
 def mod97(iban: str) -> bool:
     moved = iban[4:] + iban[:4]
     return int("".join(str(int(c, 36)) for c in moved)) % 97 == 1
@@ -97,7 +103,7 @@ class Parsers:
         """A digit is tried once for each kind, where a run of digits begins or the last match ended."""
         first = at == 0 or self.text[at - 1] not in DIGITS
         if at >= self.done["ip"] and (first or at == self.done["ip"]) and (m := QUAD.match(self.text, at)):
-            self.take("ip", at, m.end(), all(int(p) <= 255 for p in m[0].split(".")))
+            self.take("ip", at, m.end(), all(map(is_byte, m[0].split("."))))
         if at >= self.done["card"] and (m := NUMBER.match(self.text, at)):
             digits = re.sub(r"[\x20-]", "", m[0])
             self.take("card", at, m.end(), 14 <= len(digits) <= 19 and luhn(digits))

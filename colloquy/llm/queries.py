@@ -31,9 +31,8 @@ def tokenizer_path(name: str) -> str:
 
 
 def op1_line_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return apply_line_rules(documents(spark, sf_dir)).select(
-        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_removed_lines", "n_removed_words"
-    )
+    columns = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_removed_lines", "n_removed_words")
+    return apply_line_rules(documents(spark, sf_dir)).select("row.doc_id", *[f"rules.{c}" for c in columns])
 
 
 #: The id that ends each document.
@@ -90,13 +89,7 @@ def op9_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return plan_mix(documents(spark, sf_dir).select("doc_id", "text", "source")).select(
-        "doc_id",
-        F.col("_size").alias("size"),
-        F.col("_source_size").alias("source_size"),
-        F.col("_target").alias("target"),
-        (F.col("_size") * F.col("_copies")).alias("taken"),
-    )
+    return plan_mix(documents(spark, sf_dir)).select("row.doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -2,7 +2,7 @@
 
 Method: logistic regression over the words of a text and their beginnings. In
 sentences of labelled texts that name a group, the group's term is swapped for the
-others of its kind; the squared change of the score that a swap makes is added to
+others of its language and kind; the squared change of the score of the whole text that a swap makes is added to
 the loss, so that neutral mentions of a group don't move the score.
 
 Fitting reads a bounded sample: at most SAMPLE labelled rows, taken by a hash of
@@ -21,6 +21,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import islice
 
 import numpy as np
 import pandas as pd
@@ -44,17 +45,41 @@ THRESHOLD = 0.3
 WORDS = re.compile(r"[^\W\d_]+")
 SENTENCES = re.compile(r"[.!?\n]+")
 
-#: Fixed list of terms that name groups, by kind; a swap stays within a kind.
+#: Fixed lists of terms that name groups, by language and kind; a swap stays within both.
 IDENTITY_TERMS = {
-    "gender": ("woman", "man", "women", "men", "female", "male", "transgender", "nonbinary"),
-    "religion": ("muslim", "christian", "jewish", "hindu", "buddhist", "atheist", "catholic"),
-    "origin": ("african", "american", "asian", "european", "arab", "mexican", "immigrant"),
-    "colour": ("black", "white", "brown"),
-    "orientation": ("gay", "lesbian", "straight", "bisexual", "queer"),
-    "age": ("old", "young", "elderly", "teenage"),
-    "ability": ("blind", "deaf", "disabled", "autistic"),
+    "en gender": ("woman", "man", "women", "men", "female", "male", "transgender", "nonbinary"),
+    "en religion": ("muslim", "christian", "jewish", "hindu", "buddhist", "atheist", "catholic"),
+    "en origin": ("african", "american", "asian", "european", "arab", "mexican", "immigrant"),
+    "en colour": ("black", "white", "brown"),
+    "en orientation": ("gay", "lesbian", "straight", "bisexual", "queer"),
+    "en age": ("old", "young", "elderly", "teenage"),
+    "en ability": ("blind", "deaf", "disabled", "autistic"),
+    "fr gender": ("femme", "homme", "femmes", "hommes", "transgenre"),
+    "fr religion": ("musulman", "chrétien", "juif", "hindou", "bouddhiste", "athée", "catholique"),
+    "fr origin": ("africain", "américain", "asiatique", "européen", "arabe", "mexicain", "immigré"),
+    "fr orientation": ("homosexuel", "lesbienne", "hétérosexuel", "bisexuel"),
+    "fr ability": ("aveugle", "sourd", "handicapé", "autiste"),
+    "de gender": ("frau", "mann", "frauen", "männer", "transgender"),
+    "de religion": ("muslim", "christ", "jude", "hindu", "buddhist", "atheist", "katholik"),
+    "de origin": ("afrikaner", "amerikaner", "asiate", "europäer", "araber", "mexikaner", "einwanderer"),
+    "de orientation": ("schwul", "lesbisch", "heterosexuell", "bisexuell"),
+    "de ability": ("blind", "taub", "behindert", "autistisch"),
+    "es gender": ("mujer", "hombre", "mujeres", "hombres", "transgénero"),
+    "es religion": ("musulmán", "cristiano", "judío", "hindú", "budista", "ateo", "católico"),
+    "es origin": ("africano", "americano", "asiático", "europeo", "árabe", "mexicano", "inmigrante"),
+    "es orientation": ("homosexual", "lesbiana", "heterosexual", "bisexual"),
+    "es ability": ("ciego", "sordo", "discapacitado", "autista"),
 }
-KIND_OF = {term: kind for kind, terms in IDENTITY_TERMS.items() for term in terms}
+#: Swaps that a labelled text gives at most.
+SWAPS_PER_TEXT = 50
+
+
+def others_of(term: str) -> list[str]:
+    """What a term is swapped for: the other terms of each of its kinds."""
+    return list(dict.fromkeys(x for terms in IDENTITY_TERMS.values() if term in terms for x in terms if x != term))
+
+
+OTHERS = {term: others_of(term) for terms in IDENTITY_TERMS.values() for term in terms}
 
 
 def features_of_word(word: str) -> list[str]:
@@ -65,18 +90,28 @@ def features_of(text: str | None) -> set[str]:
     return {f for w in set(WORDS.findall((text or "").lower())) for f in features_of_word(w)}
 
 
-def terms_of(text: str | None) -> list[str]:
-    """Group terms of a text, one for each sentence that names it."""
-    found = []
-    for sentence in SENTENCES.split((text or "").lower()):
-        found += sorted(KIND_OF.keys() & set(WORDS.findall(sentence)))
-    return found
+def swapped(text: str | None) -> Iterator[str]:
+    """The text with one group term of one sentence swapped for another, at every place of that sentence; SWAPS_PER_TEXT at most."""
+
+    def all_swaps() -> Iterator[str]:
+        at, low = 0, (text or "").lower()
+        for sentence in SENTENCES.split(low):
+            at = low.index(sentence, at)
+            for term in sorted(OTHERS.keys() & set(WORDS.findall(sentence))):
+                for other in OTHERS[term]:
+                    yield low[:at] + WORDS.sub(lambda m: other if m[0] == term else m[0], sentence) + low[at + len(sentence) :]  # noqa: B023
+            at += len(sentence)
+
+    return islice(all_swaps(), SWAPS_PER_TEXT)
 
 
 @dataclass
 class Model:
+    """``swaps``: how many swaps the fit used."""
+
     bias: float = -20.0
     weights: dict[str, float] = field(default_factory=dict)
+    swaps: int = 0
 
     def score(self, text: str | None) -> float:
         weights = self.weights
@@ -91,37 +126,27 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: s
     return docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).join(F.broadcast(few), "_id").select("_text", "toxic")
 
 
-def swap_rows(terms: dict[str, int], place: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
-    """Feature changes of all swaps, and how often each can be made."""
-    rows, counts = [], []
-    for term, n in terms.items():
-        for other in IDENTITY_TERMS[KIND_OF[term]]:
-            if other != term:
-                row = np.zeros(len(place))
-                for word, sign in ((term, 1.0), (other, -1.0)):
-                    for f in features_of_word(word):
-                        if f in place:
-                            row[place[f]] += sign
-                rows.append(row)
-                counts.append(n)
-    return np.array(rows).reshape(-1, len(place)), np.array(counts, float)
-
-
-def fit_weights(texts: list[list[int]], toxic: np.ndarray, size: int, swaps: np.ndarray, counts: np.ndarray, swap_weight: float = SWAP_WEIGHT) -> tuple[float, np.ndarray]:
-    """Bias and weights by accelerated full-batch gradient steps (Adam)."""
+def fit_weights(texts: list[list[int]], toxic: np.ndarray, size: int, swaps: list[list[int]], swap_weight: float = SWAP_WEIGHT) -> tuple[float, np.ndarray]:
+    """Bias and weights by accelerated full-batch gradient steps (Adam).
+
+    A swap is the features that it brings (place + 1) and takes away (-place - 1).
+    """
+    swap_of = np.repeat(np.arange(len(swaps)), [len(x) for x in swaps])
+    moved = np.fromiter((f for x in swaps for f in x), np.int64)
+    swap_at, sign = np.abs(moved) - 1, np.sign(moved).astype(float)
     of = np.repeat(np.arange(len(texts)), [len(t) for t in texts])
     at = np.fromiter((f for t in texts for f in t), np.int64)
     n = len(texts)
     w = np.zeros(size + 1)
     w[-1] = np.log(max(toxic.mean(), 1e-6) / max(1 - toxic.mean(), 1e-6))
-    share = counts / counts.sum() if len(counts) else counts
     mean, square = np.zeros(size + 1), np.zeros(size + 1)
     for step in range(1, STEPS + 1):
         z = w[-1] + np.bincount(of, w[at], minlength=n)
         left = 1 / (1 + np.exp(-np.clip(z, -30, 30))) - toxic
         grad = np.append(np.bincount(at, left[of], minlength=size) / n + RIDGE * w[:-1], left.mean())
-        if len(share):
-            grad[:-1] += 2 * swap_weight * swaps.T @ (share * (swaps @ w[:-1]))
+        if len(swaps):
+            change = np.bincount(swap_of, sign * w[swap_at], minlength=len(swaps))
+            grad[:-1] += 2 * swap_weight * np.bincount(swap_at, sign * change[swap_of], minlength=size) / len(swaps)
         mean, square = 0.9 * mean + 0.1 * grad, 0.999 * square + 0.001 * grad**2
         w -= RATE * (mean / (1 - 0.9**step)) / (np.sqrt(square / (1 - 0.999**step)) + 1e-8)
     return float(w[-1]), w[:-1]
@@ -148,24 +173,24 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     apart = F.abs(F.col("a") / float(ones) - (F.col("n") - F.col("a")) / float(zeros)) / F.sqrt(share * (1.0 - share) + 1e-9)
     kept = [r["feature"] for r in counted.select("feature", apart.alias("apart")).orderBy(F.desc("apart"), "feature").limit(FEATURES).collect()]
     # Group terms are features in any case, so that swaps have a score to change.
-    place = {f: i for i, f in enumerate(dict.fromkeys([*kept, *(f for t in KIND_OF for f in features_of_word(t))]))}
+    place = {f: i for i, f in enumerate(dict.fromkeys([*kept, *(f for t in OTHERS for f in features_of_word(t))]))}
 
     def coded(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            yield pd.DataFrame({
-                "features": [sorted(place[f] for f in features_of(t) if f in place) for t in b["_text"]],
-                "terms": [terms_of(t) for t in b["_text"]],
-                "one": (b["toxic"] > 0).astype(int),
-            })
-
-    texts, toxic, terms = [], [], {}
-    for r in sample.mapInPandas(coded, "features array<int>, terms array<string>, one int").toLocalIterator():
+            rows = []
+            for text, one in zip(b["_text"], b["toxic"] > 0, strict=True):
+                own = {place[f] for f in features_of(text) if f in place}
+                new = [{place[f] for f in features_of(t) if f in place} for t in swapped(text)]
+                rows.append((sorted(own), [[*(x + 1 for x in n - own), *(-x - 1 for x in own - n)] for n in new], int(one)))
+            yield pd.DataFrame(rows, columns=["features", "swaps", "one"])
+
+    texts, toxic, swaps = [], [], []
+    for r in sample.mapInPandas(coded, "features array<int>, swaps array<array<int>>, one int").toLocalIterator():
         texts.append(r["features"])
         toxic.append(r["one"])
-        for t in r["terms"]:
-            terms[t] = terms.get(t, 0) + 1
-    bias, weights = fit_weights(texts, np.array(toxic, float), len(place), *swap_rows(terms, place), swap_weight)
-    return Model(bias, {f: float(weights[i]) for f, i in place.items() if weights[i]})
+        swaps += r["swaps"]
+    bias, weights = fit_weights(texts, np.array(toxic, float), len(place), swaps, swap_weight)
+    return Model(bias, {f: float(weights[i]) for f, i in place.items() if weights[i]}, len(swaps))
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
