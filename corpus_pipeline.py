@@ -21,8 +21,9 @@ from colloquy.llm.word_bpe import encode_decode
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the rules, without lines that are frequent at their host."""
-    kept = apply_line_rules(docs).where("kept")
-    return kept.withColumns({"text": F.col("clean_text"), "n_chars": F.char_length("clean_text").cast("long")}).select(*docs.columns)
+    kept = apply_line_rules(docs).where("rules.kept")
+    changed = {"text": F.col("rules.clean_text"), "n_chars": F.char_length("rules.clean_text").cast("long")}
+    return kept.select(*[changed.get(c, F.col("row")[c]).alias(c) for c in docs.columns])
 
 
 def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
