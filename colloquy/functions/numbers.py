@@ -37,10 +37,15 @@ def coarse_label(p: Column) -> Column:
     return F.when(p >= 0.6, "mostly me").when(p <= 0.4, "mostly other").otherwise("similar")
 
 
+def shown(x: Column) -> Column:
+    """A number as it is written: whole ones without a fraction."""
+    return F.regexp_replace(x.cast("double").cast("string"), r"\.0$", "")
+
+
 def rate_display(x: Column, n: Column, need: int) -> Column:
-    """A percentage, or a coarse label where the sample is below 1.5 times what is needed."""
+    """A percentage to one place, or a coarse label where the sample is below 1.5 times what is needed."""
     p = shrunk_rate(x, n)
-    return F.when(n < need * 1.5, coarse_label(p)).otherwise(half_up(p * 1000).cast("long").cast("string"))
+    return F.when(n < need * 1.5, coarse_label(p)).otherwise(shown(half_up(p * 1000) / 10))
 
 
 def nearest_rank(values: Column, p: float) -> Column:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .numbers import shown
+
 #: Fixed code-point ranges of the Unicode property Extended_Pictographic.
 PICTOGRAPHIC = (
     "A9 AE 203C 2049 2122 2139 2194-2199 21A9-21AA 231A-231B 2328 2388 23CF 23E9-23F3 23F8-23FA 24C2 25AA-25AB 25B6 25C0 25FB-25FE "
@@ -62,8 +64,9 @@ def with_particle(word: Column, after_consonant: str, after_vowel: str) -> Colum
 
 
 def mask_text(text: Column) -> Column:
-    """First character, then one dot for each other one."""
-    return F.when(F.length(text) <= 0, text).otherwise(F.concat(F.left(text, F.lit(1)), F.repeat(F.lit("●"), F.length(text) - 1)))
+    """First character of the trimmed text, then one dot for each other one."""
+    t = trim(text)
+    return F.when(F.length(t) <= 0, t).otherwise(F.concat(F.left(t, F.lit(1)), F.repeat(F.lit("●"), F.length(t) - 1)))
 
 
 def sentence_count(text: Column) -> Column:
@@ -71,17 +74,15 @@ def sentence_count(text: Column) -> Column:
 
 
 def numbers_in(text: Column) -> Column:
-    """Numbers of a text as written."""
-    return F.regexp_extract_all(text, F.lit(r"(\d+(?:\.\d+)?)"), F.lit(1))
+    """Numbers of a text as written, with their signs."""
+    return F.regexp_extract_all(text, F.lit(r"(-?\d+(?:\.\d+)?)"), F.lit(1))
 
 
 def number_forms(x: Column) -> Column:
-    """How a number may be written: itself, rounded, to one place, and as a percentage."""
-    as_int = lambda v: F.floor(v + 0.5).cast("long").cast("string")
-    one = lambda v: (F.floor(v * 10 + 0.5) / 10).cast("double")
-    plain = lambda v: F.regexp_replace(v.cast("string"), r"\.0$", "")
-    a = F.abs(x)
-    return F.array_distinct(F.array(plain(a), as_int(a), plain(one(a)), plain(a * 100), as_int(a * 100), plain(one(a * 100))))
+    """How a number may be written: itself, rounded, as a rounded percentage, to one place, and the first two without a sign."""
+    whole = lambda v: F.floor(v + 0.5).cast("long")
+    text = lambda v: v.cast("string")
+    return F.array_distinct(F.array(shown(x), text(whole(x)), text(whole(x * 100)), F.format_string("%.1f", x), text(F.abs(whole(x))), shown(F.abs(x))))
 
 
 def unknown_numbers(text: Column, allowed: Column) -> Column:

@@ -44,11 +44,16 @@ def side(lines: DataFrame) -> DataFrame:
 def column_of(lines: DataFrame, edge: str = "x0") -> DataFrame:
     """The densest column of left edges of each page: its upper median; the right one on ties."""
     tolerance = F.greatest(F.lit(20.0), 0.05 * F.col("width"))
-    of_page = lines.select("page", F.col(edge).alias("x"), tolerance.alias("tol"))
-    near = of_page.groupBy("page").agg(F.array_sort(F.collect_list("x")).alias("xs"), F.first("tol").alias("tol"))
-    groups = F.transform("xs", lambda x: F.filter("xs", lambda v: (v >= x) & (v <= x + F.col("tol"))))
-    best = F.array_max(F.transform(groups, lambda g: F.struct(F.size(g).alias("n"), F.get(g, F.lit(0)).alias("low"), g.alias("g"))))
-    return near.select("page", best["n"].alias("lines"), F.get(best["g"], F.floor(best["n"] / 2).cast("int")).alias("column"))
+    by_x = Window.partitionBy("page").orderBy("x")
+    points = lines.select("page", F.col(edge).alias("x"), tolerance.alias("tol"))
+    points = points.withColumns({"below": F.rank().over(by_x) - 1, "place": F.row_number().over(by_x) - 1})
+    # A sweep over edges and the ends of their reach counts the edges within reach of each.
+    ends = points.select("page", (F.col("x") + F.col("tol")).alias("at"), F.lit(1).alias("end"), "x", "below")
+    swept = points.select("page", F.col("x").alias("at"), F.lit(0).alias("end"), "x", "below").union(ends)
+    upto = F.sum(1 - F.col("end")).over(Window.partitionBy("page").orderBy("at", "end").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    best = swept.withColumn("n", upto - F.col("below")).where("end = 1").groupBy("page").agg(F.max(F.struct("n", "x", "below")).alias("best"))
+    middle = best.select("page", F.col("best.n").cast("int").alias("lines"), (F.col("best.below") + F.floor(F.col("best.n") / 2)).alias("place"))
+    return middle.join(points.select("page", "place", F.col("x").alias("column")), ["page", "place"]).select("page", "lines", "column")
 
 
 def with_dates(lines: DataFrame) -> DataFrame:
@@ -95,18 +100,37 @@ def message_key(who: Column, text: Column, kind: Column, time: Column) -> Column
 
 
 def page_overlaps(paged: DataFrame) -> DataFrame:
-    """From (chat, page, seq, key): how many messages each page repeats from the end of the one before.
+    """From (chat, page, seq, key): how many messages each page repeats from the end of all that came before.
 
-    The longest run of 15 to 2 messages that ends one page and begins the next; a single
-    message is no overlap.
+    The longest run of 15 to 2 messages that ends the pages so far, repeats left out, and begins the next; a
+    single message is no overlap. The first page of a chat has no row. Of a page no more than its
+    ends are carried along.
     """
-    listed = paged.groupBy("chat", "page").agg(F.transform(F.array_sort(F.collect_list(F.struct("seq", "key"))), lambda x: x["key"]).alias("keys"))
-    before = F.lag("keys").over(Window.partitionBy("chat").orderBy("page"))
-    both = listed.withColumn("_before", before).where("_before IS NOT NULL")
-    longest = F.least(F.lit(MOST_OVERLAP), F.size("keys"), F.size("_before"))
-    sizes = F.when(longest >= LEAST_OVERLAP, F.sequence(longest, F.lit(LEAST_OVERLAP), F.lit(-1))).otherwise(F.array().cast("array<int>"))
-    fits = F.filter(sizes, lambda k: F.slice("_before", -k, k) == F.slice("keys", F.lit(1), k))
-    return both.select("chat", "page", F.coalesce(F.get(fits, F.lit(0)), F.lit(0)).alias("overlap"))
+    ordered = paged.groupBy("chat", "page").agg(F.transform(F.array_sort(F.collect_list(F.struct("seq", "key"))), lambda x: x["key"]).alias("keys"))
+    first, last = F.slice("keys", F.lit(1), F.lit(MOST_OVERLAP)), F.slice("keys", F.lit(-MOST_OVERLAP), F.lit(MOST_OVERLAP))
+    ends = F.when(F.size("keys") > 2 * MOST_OVERLAP, F.concat(first, last)).otherwise(F.col("keys"))
+    pages = ordered.groupBy("chat").agg(F.array_sort(F.collect_list(F.struct("page", ends.alias("keys")))).alias("pages"))
+
+    def repeated(tail: Column, keys: Column) -> Column:
+        longest = F.least(F.lit(MOST_OVERLAP), F.size(keys), F.size(tail))
+        sizes = F.when(longest >= LEAST_OVERLAP, F.sequence(longest, F.lit(LEAST_OVERLAP), F.lit(-1))).otherwise(F.array().cast("array<int>"))
+        return F.coalesce(F.get(F.filter(sizes, lambda k: F.slice(tail, -k, k) == F.slice(keys, F.lit(1), k)), F.lit(0)), F.lit(0))
+
+    def add(state: Column, page: Column) -> Column:
+        k = repeated(state["tail"], page["keys"])
+        grown = F.concat(state["tail"], F.slice(page["keys"], k + 1, F.size(page["keys"])))
+        tail = F.when(F.size(grown) > MOST_OVERLAP, F.slice(grown, F.lit(-MOST_OVERLAP), F.lit(MOST_OVERLAP))).otherwise(grown)
+        return F.struct(tail.alias("tail"), F.concat(state["found"], F.array(F.struct(page["page"].alias("page"), k.alias("overlap")))).alias("found"))
+
+    kind = ordered.schema["page"].dataType.simpleString()
+    start = F.struct(F.array().cast("array<string>").alias("tail"), F.array().cast(f"array<struct<page:{kind},overlap:int>>").alias("found"))
+    found = pages.select("chat", F.aggregate("pages", start, add)["found"].alias("found"))
+    return found.select("chat", F.inline(F.slice("found", F.lit(2), F.greatest(F.size("found"), F.lit(1)))))
+
+
+def page_gaps(paged: DataFrame) -> DataFrame:
+    """(chat, page) of the pages that repeat nothing of what came before: something may be missing there."""
+    return page_overlaps(paged).where("overlap = 0").select("chat", "page")
 
 
 def merged_pages(paged: DataFrame) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.numbers import half_up
 from ..functions.text import BLANK
+from ..storage import stored
 
 #: Fixed list of endings and particles that say nothing about a side.
 STOPWORDS = (
@@ -19,19 +20,34 @@ SIZES = (2, 3, 4)
 PRIOR, LEAST_TOTAL, SUBSET, TOP = 0.01, 10, 0.8, 8
 
 
-def ngrams(messages: DataFrame) -> DataFrame:
-    """(chat, who, seq, n, i, gram): n-grams of code points without white space or end marks."""
+def runs(messages: DataFrame) -> DataFrame:
+    """Text messages with ``runs``: what stands between white space and end marks."""
     texts = messages.where((F.col("type") == "text") & F.col("text").isNotNull())
-    s = texts.withColumn("s", F.trim(F.regexp_replace("text", f"[{BLANK}]+", " ")))
-    of = lambda n: F.transform(F.sequence(F.lit(1), F.length("s") - n + 1), lambda i: F.struct(F.lit(n).alias("n"), i.alias("i"), F.substring(F.col("s"), i, F.lit(n)).alias("gram")))
-    listed = F.flatten(F.array(*[F.when(F.length("s") >= n, of(n)).otherwise(F.array().cast("array<struct<n:int,i:int,gram:string>>")) for n in SIZES]))
-    return s.select("chat", "who", "seq", F.explode(listed).alias("g")).select("chat", "who", "seq", "g.*").where(~F.col("gram").rlike(f"[{BLANK}.,!?~]"))
+    return texts.select("chat", "who", "seq", F.split("text", f"[{BLANK}.,!?~]+").alias("runs"))
+
+
+def ngrams(messages: DataFrame) -> DataFrame:
+    """(chat, who, seq, n, run, i, gram): n-grams of code points without white space or end marks."""
+
+    def of(run: Column, at: Column, n: int) -> Column:
+        cut = F.transform(F.sequence(F.lit(1), F.length(run) - n + 1), lambda i: F.struct(F.lit(n).alias("n"), at.alias("run"), i.alias("i"), F.substring(run, i, F.lit(n)).alias("gram")))
+        return F.when(F.length(run) >= n, cut).otherwise(F.array().cast("array<struct<n:int,run:int,i:int,gram:string>>"))
+
+    listed = F.flatten(F.transform("runs", lambda run, at: F.flatten(F.array(*[of(run, at, n) for n in SIZES]))))
+    return runs(messages).select("chat", "who", "seq", F.inline(listed))
+
+
+def gram_totals(messages: DataFrame) -> DataFrame:
+    """How many n-grams each side has, from the lengths of the runs alone."""
+    own = F.aggregate("runs", F.lit(0), lambda s, run: s + sum((F.greatest(F.length(run) - n + 1, F.lit(0)) for n in SIZES), F.lit(0)))
+    mine = F.col("who") == "me"
+    return runs(messages).groupBy("chat").agg(*[F.coalesce(F.sum(F.when(who, own)), F.lit(0)).alias(c) for c, who in (("na", mine), ("nb", ~mine))])
 
 
 def ngram_counts(grams: DataFrame) -> DataFrame:
     """Counts by side, with the place of a gram's first use by me."""
     mine = F.col("who") == "me"
-    return grams.groupBy("chat", "gram").agg(F.count_if(mine).alias("fa"), F.count_if(~mine).alias("fb"), F.min(F.when(mine, F.struct("seq", "n", "i"))).alias("first"))
+    return grams.groupBy("chat", "gram").agg(F.count_if(mine).alias("fa"), F.count_if(~mine).alias("fb"), F.min(F.when(mine, F.struct("seq", "n", "run", "i"))).alias("first"))
 
 
 def candidates(counts: DataFrame) -> DataFrame:
@@ -53,10 +69,8 @@ def drop_subsets(keys: DataFrame) -> DataFrame:
 
 def phrase_gap(messages: DataFrame, top: int = TOP) -> DataFrame:
     """The top phrases of each side by log odds; ties go to the phrase used first."""
-    grams = ngrams(messages)
-    mine = F.col("who") == "me"
-    totals = grams.groupBy("chat").agg(F.count_if(mine).alias("na"), F.count_if(~mine).alias("nb"))
-    kept = drop_subsets(candidates(ngram_counts(grams)))
+    keys = stored(candidates(ngram_counts(ngrams(messages))), "phrase-keys")
+    kept, totals = drop_subsets(keys), gram_totals(messages)
     kinds = kept.groupBy("chat").agg(F.count("*").alias("v"))
     odds = lambda f, n: F.ln((F.col(f) + PRIOR) / (F.col(n) + PRIOR * F.col("v") - F.col(f) - PRIOR))
     scored = kept.join(totals, "chat").join(kinds, "chat").withColumn("z", half_up((odds("fa", "na") - odds("fb", "nb")) * 1000) / 1000).where("z <> 0")

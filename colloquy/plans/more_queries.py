@@ -52,14 +52,17 @@ register(
 )
 
 #: A speaker for each event type, with days that may or may not overlap.
-SPEAKERS = "SELECT *, row_number() OVER (PARTITION BY chat ORDER BY messages DESC, name) AS place FROM (SELECT user_id // 3 AS chat, event_type AS name, count(*) AS messages, strftime(min(ts), '%Y-%m-%d') AS first_date, strftime(max(ts), '%Y-%m-%d') AS last_date FROM events WHERE (event_type = 'signup') = (day(ts) <= 10) GROUP BY ALL)"
+SPEAKERS = "SELECT *, row_number() OVER (PARTITION BY chat ORDER BY messages DESC, name) AS place FROM (SELECT user_id // 3 AS chat, spoken AS name, count(*) AS messages, strftime(min(ts), '%Y-%m-%d') AS first_date, strftime(max(ts), '%Y-%m-%d') AS last_date FROM (SELECT *, event_type || CASE WHEN day(ts) <= 10 THEN ' early' WHEN day(ts) <= 20 THEN '' ELSE ' late' END AS spoken FROM events) GROUP BY ALL)"
 
 
 def speakers(spark: SparkSession, d: str) -> DataFrame:
+    """A speaker for each kind of event in each third of the month, so that days of some don't overlap."""
     from pyspark.sql import Window
 
-    e = spark.read.parquet(f"{d}/events.parquet").where((F.col("event_type") == "signup") == (F.dayofmonth("ts") <= 10))
-    each = e.groupBy(F.floor(F.col("user_id") / 3).cast("long").alias("chat"), F.col("event_type").alias("name")).agg(
+    e = spark.read.parquet(f"{d}/events.parquet")
+    day = F.dayofmonth("ts")
+    name = F.concat("event_type", F.when(day <= 10, " early").when(day <= 20, "").otherwise(" late"))
+    each = e.groupBy(F.floor(F.col("user_id") / 3).cast("long").alias("chat"), name.alias("name")).agg(
         F.count("*").alias("messages"), F.date_format(F.min("ts"), "yyyy-MM-dd").alias("first_date"), F.date_format(F.max("ts"), "yyyy-MM-dd").alias("last_date")
     )
     return each.withColumn("place", F.row_number().over(Window.partitionBy("chat").orderBy(F.desc("messages"), "name")))
@@ -97,19 +100,29 @@ register("text_lengths", lengths, f"SELECT doc_id, length_grapheme(t) AS graphem
 register(
     "mask_text",
     lambda spark, d: spark.read.parquet(f"{d}/conversations.parquet").select("conv_id", "turn", T.mask_text(F.col("text")).alias("masked")),
-    "SELECT conv_id, turn, text[1:1] || repeat('●', length(text) - 1) AS masked FROM conversations",
+    r"SELECT conv_id, turn, CASE WHEN t = '' THEN t ELSE t[1:1] || repeat('●', length(t) - 1) END AS masked FROM (SELECT *, regexp_replace(text, '^\s+|\s+$', '', 'g') AS t FROM conversations)",
 )
+#: Sentences about an order line: its discount as a percentage, its quantity, its price to one place, and a difference.
+LINE_NOTE = "'off ' || cast(cast(floor(l_discount * 100 + 0.5) AS int) AS string) || ', ' || cast(cast(l_quantity AS int) AS string) || ' at ' || cast(l_extendedprice AS string) || ' or ' || cast(cast(l_quantity AS int) - 25 AS string) || ', 2 of 87.5'"
+
+
+def verify_numbers(spark: SparkSession, d: str) -> DataFrame:
+    lines = spark.read.parquet(f"{d}/lineitem.parquet").withColumn("note", F.expr(LINE_NOTE))
+    known = F.array(F.col("l_discount").cast("double"), F.col("l_quantity").cast("double"), -F.col("l_quantity").cast("double"), F.lit(87.45))
+    return lines.select("l_orderkey", "l_linenumber", F.array_join(T.unknown_numbers(F.col("note"), known), ",").alias("unknown"))
+
+
+FORM = "list_transform([x.d, x.q, -x.q, 87.45::DOUBLE], lambda v: [regexp_replace(v::VARCHAR, '\\.0$', ''), floor(v + 0.5)::BIGINT::VARCHAR, floor(v * 100 + 0.5)::BIGINT::VARCHAR, printf('%.1f', v), abs(floor(v + 0.5))::BIGINT::VARCHAR, regexp_replace(abs(v)::VARCHAR, '\\.0$', '')])"
 register(
     "verify_numbers",
-    lambda spark, d: spark.read.parquet(f"{d}/part.parquet").select(
-        "p_partkey", F.array_join(T.unknown_numbers(F.concat(F.lit("about "), F.col("p_size").cast("string"), F.lit(" of 87 or 2")), F.array(F.col("p_size").cast("double"), F.lit(0.317))), ",").alias("unknown")
-    ),
-    "SELECT p_partkey, CASE WHEN p_size = 87 THEN '' ELSE '87' END AS unknown FROM part",
+    verify_numbers,
+    f"""SELECT l_orderkey, l_linenumber, array_to_string(list_filter(found, lambda n: NOT list_contains(list_concat(flatten({FORM}), ['0', '1', '2', '3']), n)), ',') AS unknown
+FROM (SELECT *, regexp_extract_all(note, '-?[0-9]+(?:\\.[0-9]+)?') AS found FROM (SELECT l_orderkey, l_linenumber, l_discount::DOUBLE AS d, l_quantity::DOUBLE AS q, {LINE_NOTE} AS note FROM lineitem)) x""",
 )
 register(
     "rate_display",
     lambda spark, d: spark.read.parquet(f"{d}/lineitem.parquet").groupBy("l_orderkey").agg(F.count_if(F.col("l_quantity") > 25).alias("x"), F.count("*").alias("n")).select("l_orderkey", rate_display(F.col("x"), F.col("n"), 4).alias("shown")),
-    f"SELECT l_orderkey, CASE WHEN n < 6 THEN CASE WHEN p >= 0.6 THEN 'mostly me' WHEN p <= 0.4 THEN 'mostly other' ELSE 'similar' END ELSE {O.up('p * 1000')}::BIGINT::VARCHAR END AS shown FROM (SELECT l_orderkey, count(*) AS n, (count(*) FILTER (l_quantity > 25) + 4.0::DOUBLE) / (count(*) + 8) AS p FROM lineitem GROUP BY 1)",
+    f"SELECT l_orderkey, CASE WHEN n < 6 THEN CASE WHEN p >= 0.6 THEN 'mostly me' WHEN p <= 0.4 THEN 'mostly other' ELSE 'similar' END ELSE regexp_replace(({O.up('p * 1000')} / 10)::DOUBLE::VARCHAR, '\\.0$', '') END AS shown FROM (SELECT l_orderkey, count(*) AS n, (count(*) FILTER (l_quantity > 25) + 4.0::DOUBLE) / (count(*) + 8) AS p FROM lineitem GROUP BY 1)",
 )
 
 
@@ -218,7 +231,7 @@ register(
     "stream_sessions",
     lambda spark, d: L.run_once(L.session_counts(L.event_stream(spark, d)), spark).select("chat", "messages", F.unix_millis("first_at").alias("first_ms"), F.unix_millis("last_at").alias("last_ms")),
     O.q(
-        "SELECT chat, count(*) AS messages, min(t) AS first_ms, max(t) AS last_ms FROM (SELECT *, sum(CASE WHEN t - p >= 21600000 THEN 1 ELSE 0 END) OVER (PARTITION BY chat ORDER BY t, id) AS g FROM (SELECT *, lag(t) OVER (PARTITION BY chat ORDER BY t, id) AS p FROM tt)) GROUP BY chat, g",
+        "SELECT chat, count(*) AS messages, min(t) AS first_ms, max(t) AS last_ms FROM (SELECT *, sum(CASE WHEN t - p >= 21600000 THEN 1 ELSE 0 END) OVER (PARTITION BY chat ORDER BY t, id) AS g FROM (SELECT *, lag(t) OVER (PARTITION BY chat ORDER BY t, id) AS p FROM tt)) GROUP BY chat, g HAVING max(t) + 21600000 <= (SELECT max(t) FROM tt) - 86400000",
         "tt AS (SELECT user_id // 3 AS chat, epoch_ms(date_trunc('minute', ts)) AS t, event_id AS id FROM events)",
     ),
 )

@@ -288,12 +288,19 @@ def further(rows: DataFrame, vectors: DataFrame | None, counters: DataFrame | No
     return out
 
 
-def report(rows: DataFrame, vectors: DataFrame | None = None, counters: DataFrame | None = None) -> DataFrame:
-    """One JSON document a chat, with gates and the values of all metrics whose gate is open."""
+def report(rows: DataFrame, vectors: DataFrame | None = None, counters: DataFrame | None = None, gaps: DataFrame | None = None) -> DataFrame:
+    """One JSON document a chat: mode, gates, the values of all metrics whose gate is open, and the gaps of (chat, gap).
+
+    A chat below the floor has no more than its units and the one fact that is certain.
+    """
     gates = metric_status(rows, vectors).groupBy("chat").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("metric", "status")))).alias("status"))
-    units = M.info_units(rows).select("chat", "info_units")
+    units = single_fact(rows).join(rows.groupBy("chat").agg(F.when(F.bool_and(F.col("ts").isNotNull()), "txt").otherwise("capture").alias("mode")), "chat")
+    if gaps is not None:
+        units = units.join(gaps.groupBy("chat").agg(F.array_sort(F.collect_set("gap")).alias("gaps")), "chat", "left")
     all_ = reported(rows, vectors).join(gates, "chat").join(units, "chat")
     for key, frame in further(rows, vectors, counters).items():
         names = [c for c in frame.columns if c != "chat"]
         all_ = all_.join(frame, "chat", "left").withColumns({c: F.when(F.col("status")[key] == "OK", F.col(c)) for c in names})
-    return all_.select("chat", F.to_json(F.struct(*[c for c in all_.columns if c != "chat"])).alias("report"))
+    low = F.to_json(F.struct(F.lit("hard_floor").alias("kind"), "info_units", F.col("fact").alias("single_fact")))
+    whole = F.to_json(F.struct(*[c for c in all_.columns if c not in ("chat", "below_floor", "fact")]))
+    return all_.select("chat", F.when(F.col("below_floor"), low).otherwise(whole).alias("report"))

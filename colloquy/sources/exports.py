@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions.display import WEEKDAYS
 from ..functions.text import countable_length, trim
 
 #: Fixed patterns of the layouts. Java's $ would allow a last line break, so \z ends them.
@@ -164,19 +165,40 @@ def group_check(found: DataFrame, merges: DataFrame) -> DataFrame:
     return left.groupBy("chat").agg(F.count_if(F.col("same_as").isNull()).alias("speakers")).withColumn("is_group", F.col("speakers") > MAX_SPEAKERS)
 
 
-def resolved_sides(found: DataFrame, titles: DataFrame) -> DataFrame:
-    """(chat, name, who): me is the first speaker who isn't named by the title. Group chats and chats without a title have no rows."""
+def resolved_sides(found: DataFrame, titles: DataFrame, chosen: DataFrame | None = None) -> DataFrame:
+    """(chat, name, who): me is the first speaker who isn't named by the title, or the one whom ``chosen`` (chat, name) names.
+
+    Group chats have no rows, nor have chats without a title or choice, or in which nobody has the name that was chosen.
+    """
     merges = merge_suggestions(found)
     pairs = group_check(found, merges).where("NOT is_group").select("chat")
-    mine = found.join(titles.where(F.col("title").isNotNull()), "chat").where("name <> title").groupBy("chat").agg(F.min_by("name", "place").alias("mine"))
+    titled = titles.where(F.col("title").isNotNull())
+    if chosen is not None:
+        titled = titled.join(chosen.select("chat"), "chat", "left_anti")
+    mine = found.join(titled, "chat").where("name <> title").groupBy("chat").agg(F.min_by("name", "place").alias("mine"))
+    if chosen is not None:
+        mine = mine.union(found.join(chosen, ["chat", "name"], "left_semi").select("chat", F.col("name").alias("mine")))
     sides = found.join(pairs, "chat").join(mine, "chat").join(merges, ["chat", "name"], "left")
     return sides.select("chat", "name", F.when(F.coalesce("same_as", "name") == F.col("mine"), "me").otherwise("other").alias("who"))
 
 
-def messages_of(exports: DataFrame) -> DataFrame:
-    """Message rows of all exports whose sides can be told; names don't go any further."""
-    raw = raw_messages(exports)
-    sides = resolved_sides(speakers(raw), parse_stats(exports).select("chat", "title"))
+def titles_of(exports: DataFrame) -> DataFrame:
+    """(chat, title): the first title line of each export; null if there is none."""
+    rows = records(exports)
+    rows = rows.join(layout_of(rows), "chat")
+    is_title = (F.col("rec").rlike(TITLE) | ((F.col("layout") == "ios") & F.col("rec").rlike(IOS_SAVED))) & ~F.col("rec").rlike(DAY_DIVIDER)
+    title = F.coalesce(F.nullif(F.regexp_extract("rec", TITLE, 1), F.lit("")), trim(F.regexp_extract("rec", IOS_SAVED, 1)))
+    return rows.groupBy("chat").agg(F.min_by(title, F.when(is_title, F.col("pos"))).alias("title"))
+
+
+def messages_of(exports: DataFrame, chosen: DataFrame | None = None) -> DataFrame:
+    """Message rows of all exports whose sides can be told, by their titles or by ``chosen`` (chat, name)."""
+    return message_rows(raw_messages(exports), titles_of(exports), chosen)
+
+
+def message_rows(raw: DataFrame, titles: DataFrame, chosen: DataFrame | None = None) -> DataFrame:
+    """Rows of the message schema out of (chat, pos, name, ts, date, time, type, text); names don't go any further."""
+    sides = resolved_sides(speakers(raw), titles, chosen)
     order = Window.partitionBy("chat").orderBy("pos")
     return raw.join(sides, ["chat", "name"]).select(
         "chat",
@@ -206,7 +228,7 @@ def rendered(messages: DataFrame, layout: str, me: str = "나야", other: str =
     y, m, d = (f(stamp).cast("string") for f in (F.year, F.month, F.day))
     new_day = F.lag("date").over(Window.partitionBy("chat").orderBy("seq"))
     if layout == "pc":
-        divider = F.when(new_day.isNull() | (new_day != F.col("date")), F.concat(F.lit("--------------- "), y, F.lit("년 "), m, F.lit("월 "), d, F.lit("일 월요일 ---------------\r\n"))).otherwise("")
+        divider = F.when(new_day.isNull() | (new_day != F.col("date")), F.concat(F.lit("--------------- "), y, F.lit("년 "), m, F.lit("월 "), d, F.lit("일 "), F.element_at(F.array(*map(F.lit, WEEKDAYS)), F.weekday(stamp) + 1), F.lit(" ---------------\r\n"))).otherwise("")
         line = F.concat(divider, F.lit("["), name, F.lit("] ["), clock, F.lit("] "), body)
         head = f"{other} 님과 카카오톡 대화\r\n저장한 날짜 : 2025. 1. 1.\r\n\r\n"
     elif layout == "android":

@@ -4,9 +4,11 @@ import datetime as dt
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from colloquy.operators import metrics, pages, sequence
+from colloquy.operators import pages as G
 from colloquy.operators.semantic import mulberry
 from colloquy.plans import report
 from colloquy.plans.queries import REGISTERED, highlights
@@ -188,3 +190,27 @@ def test_lines_that_are_not_of_the_conversation(spark):
     got = {r["line"]: r["dropped"] for r in pages.prepared(df).collect()}
     assert got == {0: "top", 1: "control", 2: None, 3: None, 4: None, 5: None, 6: "sticker", 7: "column", 8: None, 9: None}
     assert [r["text"] for r in pages.name_labels(df).collect()] == ["지연"]
+
+
+def test_pages_overlap_with_all_that_came_before(spark):
+    """A short page between two others is no gap."""
+    pages = {0: ["abcdefgh", "gh", "fghij"], 1: ["abc", "xyz", "yzq"], 2: ["a", "ab"], 3: ["x" * 40, "x" * 20]}
+    rows = [(chat, page, seq, key) for chat, texts in pages.items() for page, text in enumerate(texts) for seq, key in enumerate(text)]
+    paged = spark.createDataFrame(rows, "chat long, page long, seq long, key string")
+    got = {}
+    for r in G.merged_pages(paged).orderBy("chat", "seq").collect():
+        got[r["chat"]] = got.get(r["chat"], "") + r["key"]
+    assert got == {0: "abcdefghij", 1: "abcxyzq", 2: "aab", 3: "x" * 45}
+    assert {tuple(r) for r in G.page_gaps(paged).collect()} == {(1, 1), (2, 1)}
+
+
+def test_late_messages_do_not_open_a_session_again(spark, tmp_path):
+    from colloquy.streaming import sessions
+
+    days = [["2024-01-01 10:00", "2024-01-01 11:00", "2024-01-05 10:00"], ["2024-01-01 12:00", "2024-01-09 10:00", "2024-01-09 10:30"], ["2024-01-20 00:00"]]
+    for part, stamps in enumerate(days):
+        frame = spark.createDataFrame([(1, t) for t in stamps], "chat long, t string").select("chat", F.to_timestamp("t").alias("at"))
+        frame.coalesce(1).write.mode("append").parquet(str(tmp_path / f"in/part={part}"))
+    stream = spark.readStream.schema("chat long, at timestamp").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in/*"))
+    got = sessions.run_once(sessions.session_counts(stream), spark).orderBy("first_at").collect()
+    assert [r["messages"] for r in got] == [2, 1, 2]

@@ -4,8 +4,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from colloquy.functions import text as T
+from colloquy.functions.numbers import rate_display
 from colloquy.operators.narrative import verified
-from colloquy.sources.tables import find_column, DATE_NAMES, parse_stamp, read_csv
+from colloquy.sources.tables import DATE_NAMES, csv_message_rows, csv_messages, csv_rows, csv_stats, find_column, parse_stamp
 from colloquy.streaming.window import last_window
 
 
@@ -35,10 +36,54 @@ def test_stamps_and_csv(spark, tmp_path):
     df = spark.createDataFrame([("2018. 6. 25. 오후 8:23",), ("2018-06-25 20:23:59",), ("x",), ("2018-13-45 20:23",)], "t string")
     got = [r[0] for r in df.select(parse_stamp(F.col("t"))).collect()]
     assert got[0] == got[1] is not None and got[2:] == [None, None]
-    path = tmp_path / "a.csv"
-    path.write_text('Date,User,Message\n2024-01-01 09:00,a,"one, ""two""\nthree"\n', encoding="utf-8")
-    assert [tuple(r) for r in read_csv(spark, str(path)).collect()] == [("2024-01-01 09:00", "a", 'one, "two"\nthree')]
-    assert find_column(["보낸 날짜", "x"], DATE_NAMES) == 0
+
+
+def test_csv_files_become_messages(spark, tmp_path):
+    """Columns are found by the order of names, not of the header; without a header by the values of the first row."""
+    files = {
+        "named.csv": 'time,Date,speaker,msg\nx,2024-01-01 09:00,a,"one, ""two""\nthree"\n,2024-01-01 00:30,b,삭제된 메시지입니다.\ny,2024-01-01 00:10,b,zero\nz,bad,b,lost\n',
+        "bare.csv": "안녕하세요 반갑습니다,2018. 6. 25. 오후 8:23,나\n네,2018. 6. 25. 오후 8:24,하늘이\n",
+        "short.csv": "Date,User,Message\n",
+        "undated.csv": "a,b,c\nd,e,f\n",
+    }
+    for name, content in files.items():
+        (tmp_path / name).write_text(content, encoding="utf-8")
+    rows = csv_rows(spark, str(tmp_path)).withColumn("chat", F.regexp_extract("chat", r"([a-z]+)\.csv$", 1)).cache()
+    got = [tuple(r) for r in csv_messages(rows).orderBy("chat", "pos").select("chat", "pos", "name", "date", "time", "text").collect()]
+    assert got == [
+        ("bare", 0, "나", "2018-06-25", "20:23", "안녕하세요 반갑습니다"),
+        ("bare", 1, "하늘이", "2018-06-25", "20:24", "네"),
+        ("named", 0, "b", "2024-01-01", "00:10", "zero"),
+        ("named", 1, "a", "2024-01-01", "09:00", 'one, "two"\nthree'),
+    ]
+    stats = {r["chat"]: (r["messages"], r["unparsed"], r["deleted"], r["multiline"], r["midnight"], r["failure"]) for r in csv_stats(rows).collect()}
+    assert stats == {"named": (2, 1, 1, 1, 1, None), "bare": (2, 0, 0, 0, 0, None), "short": (0, 0, 0, 0, 0, "too few rows"), "undated": (0, 0, 0, 0, 0, "no date column")}
+    me = spark.createDataFrame([("bare", "나"), ("named", "nobody")], "chat string, name string")
+    assert [(r["chat"], r["seq"], r["who"]) for r in csv_message_rows(rows, me).orderBy("seq").collect()] == [("bare", 0, "me"), ("bare", 1, "other")]
+
+
+def test_columns_are_found_by_whole_names_first(spark):
+    df = spark.createDataFrame([(["보낸 날짜", "x"],), (["datetime", "Date (UTC)", "time"],), (["x"],)], "h array<string>")
+    assert [r[0] for r in df.select(find_column(F.col("h"), DATE_NAMES)).collect()] == [1, 3, None]
+
+
+@pytest.mark.parametrize(("text", "masked"), [(" ab", "a●"), ("", ""), ("  ", ""), ("안녕", "안●")])
+def test_masks(spark, text, masked):
+    assert spark.createDataFrame([(text,)], "t string").select(T.mask_text(F.col("t"))).first()[0] == masked
+
+
+@pytest.mark.parametrize(
+    ("value", "text", "unknown"),
+    [(5.0, "5.0 or 5", []), (0.317, "32 but not 31.7", ["31.7"]), (-4.0, "-4 or 4 but not -5", ["-5"]), (0.317, "0.3 and 0.317", []), (31.74, "31.7", []), (31.74, "-31", ["-31"])],
+)
+def test_forms_of_numbers(spark, value, text, unknown):
+    df = spark.createDataFrame([(text, [value])], "t string, v array<double>")
+    assert df.select(T.unknown_numbers(F.col("t"), F.col("v"))).first()[0] == unknown
+
+
+@pytest.mark.parametrize(("x", "n", "shown"), [(30, 60, "50"), (60, 60, "94.1"), (0, 60, "5.9"), (5, 5, "mostly me"), (0, 5, "mostly other"), (2, 5, "similar")])
+def test_rates_are_percentages_to_one_place(spark, x, n, shown):
+    assert spark.range(1).select(rate_display(F.lit(x), F.lit(n), 20)).first()[0] == shown
 
 
 def test_streamed_window_equals_the_batch_one(spark, tmp_path):
