@@ -2,38 +2,44 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+import ctypes
+import gc
+from collections.abc import Callable, Iterator
 
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..storage import shared_folder, stored  # noqa: F401  the operators take them from here
+
 #: A word, as every operator counts it, and the white space between words.
 WORD = r"[^\x20\x09-\x0D]+"
 SPACE = r"[\x20\x09-\x0D]"
+#: Bytes of text that are sent to Python at a time.
+TEXT_BATCH_BYTES = 8 << 20
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``.
+def bounded_batches(spark: SparkSession) -> None:
+    """Let batches of texts be of at most TEXT_BATCH_BYTES, whatever the lengths of the texts."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = spark.conf.get(name, "64m").strip().lower().rstrip("b")
+    size = int(now.rstrip("kmg")) << {"k": 10, "m": 20, "g": 30}.get(now[-1:], 0)
+    if not 0 < size <= TEXT_BATCH_BYTES:
+        spark.conf.set(name, str(TEXT_BATCH_BYTES))
 
-    A temporary folder takes its place only where the setting is absent, as in
-    a local test session.
-    """
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp(prefix="colloquy-")
-    return root.rstrip("/")
 
+def lean(f: Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+    """``f`` for mapInPandas, which gives memory back when its task ends: Python workers idle on for later tasks."""
 
-def stored(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` to the shared folder and return it as read back.
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        yield from f(batches)
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        if hasattr(libc := ctypes.CDLL(None), "malloc_trim"):
+            libc.malloc_trim(0)
 
-    This cuts lineage with files that outlive any executor, and keeps a step
-    with several readers from being computed for each of them.
-    """
-    path = f"{shared_folder(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return run
 
 
 def small_enough(df: DataFrame, rows: int) -> bool:
@@ -73,7 +79,7 @@ def with_running_totals(df: DataFrame, order: list[str], totals: dict[str, Colum
     )
     within = Window.partitionBy("_range").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     out = (
-        ranged.join(F.broadcast(bases), "_range")
+        ranged.join(F.broadcast(bases), "_range")  # one row a partition
         .withColumns({k: F.col(f"_base_{k}") + F.coalesce(F.sum(f"_{k}").over(within), F.lit(0)) for k in totals})
         .drop(*[f"_{k}" for k in totals], *[f"_base_{k}" for k in totals])
     )

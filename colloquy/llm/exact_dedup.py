@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import maybe_broadcast, stored, whole_row
+from .common import bounded_batches, lean, maybe_broadcast, stored, whole_row
 
 #: Hashes of groups are sent to all executors (24 bytes each) up to this many;
 #: beyond it the texts are joined with them by a shuffle.
@@ -52,9 +52,10 @@ def find_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             data = [normalise(x) for x in b["_text"]]
             yield pd.DataFrame({"_id": b["_id"], "_hash": [hasher(x) for x in data], "_bytes": data, "text_sha256": [hashlib.sha256(x).hexdigest() for x in data]})
 
+    bounded_batches(docs.sparkSession)
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
-    hashed = rows.mapInPandas(digests, f"_id {kind}, _hash binary, text_sha256 string")
+    hashed = rows.mapInPandas(lean(digests), f"_id {kind}, _hash binary, text_sha256 string")
     best = F.max if keep == "max" else F.min
 
     # Rows that agree in id and text are counted as one line from here on.
@@ -64,7 +65,7 @@ def find_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     # Bytes are compared wherever a hash has more than one line: each text with
     # one text of its group.
     many = maybe_broadcast(groups.where("_lines > 1").select("_hash", "keep_id"), GROUPS_TO_BROADCAST)
-    full = rows.mapInPandas(texts, f"_id {kind}, _hash binary, _bytes binary, text_sha256 string")
+    full = rows.mapInPandas(lean(texts), f"_id {kind}, _hash binary, _bytes binary, text_sha256 string")
     chosen = full.join(many, "_hash").where(F.col("_id").eqNullSafe(F.col("keep_id"))).groupBy("_hash").agg(F.min("_bytes").alias("_kept_bytes"))
     compared = full.join(many.select("_hash"), "_hash", "left_semi").join(stored(chosen, "exact-chosen"), "_hash")
     # Stored before they are grouped, so that the join may split the rows of one hash.

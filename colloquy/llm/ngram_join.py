@@ -46,7 +46,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import maybe_broadcast, stored, whole_row
+from .common import bounded_batches, lean, maybe_broadcast, stored, whole_row
 from .components import connected_components
 
 SHINGLE = 5
@@ -337,7 +337,7 @@ def with_features(wanted: DataFrame, docs: DataFrame) -> DataFrame:
     """``wanted`` (set, first_id and more) with features, one row for each row with that id and set; only texts of first ids are read."""
     ids = maybe_broadcast(wanted.select(F.col("first_id").alias("_first")).distinct(), IDS_TO_BROADCAST)
     near = docs.join(ids, F.col("_id").eqNullSafe(F.col("_first")), "left_semi").select("_text")
-    return near.mapInPandas(features_of, "set binary, features binary").join(maybe_broadcast(wanted.drop("first_id"), IDS_TO_BROADCAST), "set")
+    return near.mapInPandas(lean(features_of), "set binary, features binary").join(maybe_broadcast(wanted.drop("first_id"), IDS_TO_BROADCAST), "set")
 
 
 def verified(pairs: DataFrame, sets: DataFrame, docs: DataFrame) -> DataFrame:
@@ -345,7 +345,7 @@ def verified(pairs: DataFrame, sets: DataFrame, docs: DataFrame) -> DataFrame:
     wanted = pairs.select(F.col("a").alias("num")).union(pairs.select("b")).distinct().join(sets.select("num", "set", "first_id"), "num")
     held = stored(with_features(stored(wanted, "join-wanted"), docs).select("num", "features"), "join-features")
     side = lambda x: held.select(F.col("num").alias(x), F.col("features").alias(f"features_{x}"))
-    return stored(pairs.select("a", "b").join(side("a"), "a").join(side("b"), "b").mapInPandas(linked, "a long, b long").distinct(), "join-links")
+    return stored(pairs.select("a", "b").join(side("a"), "a").join(side("b"), "b").mapInPandas(lean(linked), "a long, b long").distinct(), "join-links")
 
 
 def not_refuted(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -460,7 +460,8 @@ def links_hidden(members: DataFrame, labels: DataFrame, sets: DataFrame, docs: D
         return None
     of_bit = lambda bit: F.count_distinct(F.when(F.col("sig").bitwiseAND(1) == bit, F.col("sig"))).alias(f"large_{bit}")
     large = stored(left.groupBy("num").agg(of_bit(0), of_bit(1)).join(sets.select("num", "set", "first_id"), "num"), "join-large")
-    poor = stored(with_features(large, docs).mapInPandas(hidden, "num long, features binary").dropDuplicates(["num"]), "join-poor")
+    near = stored(with_features(large, docs), "join-near")  # on its own, so that no task has two Python workers
+    poor = stored(near.mapInPandas(lean(hidden), "num long, features binary").dropDuplicates(["num"]), "join-poor")
 
     features = poor.mapInPandas(exploded, "num long, feature long")
     holders = stored(features.groupBy("feature").agg(F.count("*").alias("holders")).where(F.col("holders") <= COMMON), "join-holders")
@@ -485,16 +486,17 @@ def neighbours(sigs: DataFrame) -> DataFrame:
 
 def similarity_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row of ``docs``: id, n_shingles, set (class of equal sets), component_id and text_md5."""
+    bounded_batches(docs.sparkSession)
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
-    known = stored(rows.mapInPandas(described, f"_id {kind}, key binary, set binary, n long, hist binary"), "join-rows")
+    known = stored(rows.mapInPandas(lean(described), f"_id {kind}, key binary, set binary, n long, hist binary"), "join-rows")
     classes = known.where("n > 0").groupBy("set").agg(F.first("n").alias("n"), F.first("hist").alias("hist"), F.count("*").alias("copies"), F.min("_id").alias("first_id"))
     name = F.conv(F.hex(F.substring("set", 1, 8)), 16, -10).cast("long")
     sets = stored(classes.withColumns({"num": F.monotonically_increasing_id(), "name": name}), "join-sets")
     least = max(HOT_LEAST, HOT_SHARE * known.count())
     hot = {bytes(r["set"]): r["first_id"] for r in sets.where(F.col("copies") >= least).select("set", "first_id").toLocalIterator()}
 
-    found = stored(neighbours(rows.mapInPandas(signed(hot), "sig long, name long")).mapInPandas(pairs_of_runs, "sig long, a long, b long").distinct(), "join-found")
+    found = stored(neighbours(rows.mapInPandas(lean(signed(hot)), "sig long, name long")).mapInPandas(lean(pairs_of_runs), "sig long, a long, b long").distinct(), "join-found")
     pairs = not_refuted(found.where("sig IS NULL").select("a", "b"), sets)
     links = verified(nearest(pairs), sets, rows)
     labels = connected_components(links)

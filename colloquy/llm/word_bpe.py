@@ -38,7 +38,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import bounded_batches, lean, stored
 
 #: Characters of text that make one block; a longer document is a block of its own.
 BLOCK_CHARS = 12_000_000
@@ -261,12 +261,13 @@ def assemble(path: str) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFr
 def encode_decode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row of ``docs``: id, n_tokens, ids (little-endian unsigned 32-bit numbers) and decoded."""
     spark = docs.sparkSession
+    bounded_batches(spark)
     kind = docs.schema[id_col].dataType.simpleString()
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
-    blocks = stored(rows.mapInPandas(to_blocks(path, buckets), f"block long, _ids array<{kind}>, counts binary, codes binary, bucket int, words binary, slots binary"), "bpe-blocks")
+    blocks = stored(rows.mapInPandas(lean(to_blocks(path, buckets)), f"block long, _ids array<{kind}>, counts binary, codes binary, bucket int, words binary, slots binary"), "bpe-blocks")
     words = blocks.where("bucket IS NOT NULL").select("block", "bucket", "words").repartition("bucket").sortWithinPartitions("bucket")
-    encoded = words.mapInPandas(encode_words(path), "block long, bucket int, sizes binary, word_ids binary")
+    encoded = words.mapInPandas(lean(encode_words(path)), "block long, bucket int, sizes binary, word_ids binary")
     parts = blocks.drop("words").unionByName(encoded, allowMissingColumns=True).withColumn("documents", F.col("codes").isNotNull())
-    out = parts.repartition("block").sortWithinPartitions("block", "documents").mapInPandas(assemble(path), f"_id {kind}, n_tokens long, ids binary, decoded string")
+    out = parts.repartition("block").sortWithinPartitions("block", "documents").mapInPandas(lean(assemble(path)), f"_id {kind}, n_tokens long, ids binary, decoded string")
     return out.withColumnRenamed("_id", id_col)
