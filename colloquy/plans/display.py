@@ -9,7 +9,9 @@ from ..functions import display as D
 from ..functions.numbers import half_up
 from ..operators import metrics as M
 from ..operators import phrases as P
+from ..operators import screens as V
 from ..sources import tables as C
+from ..sources.adapters import from_events
 from . import oracle as O
 from . import report as R
 from .queries import over_events, over_orders, register
@@ -133,3 +135,29 @@ def csv_table(spark: SparkSession, d: str) -> DataFrame:
 CSV = "cv AS (SELECT user_id // 3 AS chat, event_id, date_trunc('minute', ts) AS t, event_id % 50 = 7 AND (user_id // 3) % 3 < 2 AS bad, event_id % 5 = 0 AS many FROM events)"
 register("csv_stats", lambda spark, d: C.csv_stats(csv_table(spark, d)).select("chat", "messages", "unparsed", "deleted", "multiline", "midnight"), O.q("SELECT chat, count(*) FILTER (NOT bad) AS messages, count(*) FILTER (bad) AS unparsed, 0 AS deleted, count(*) FILTER (many AND NOT bad) AS multiline, count(*) FILTER (hour(t) = 0 AND NOT bad) AS midnight FROM cv GROUP BY chat", CSV))
 register("csv_messages", lambda spark, d: C.csv_messages(csv_table(spark, d)).select("chat", "pos", "name", "ts", "time"), O.q("SELECT chat, row_number() OVER (PARTITION BY chat ORDER BY t, event_id) - 1 AS pos, 'n' || event_id % 2 AS name, epoch_ms(t) AS ts, strftime(t, '%H:%M') AS time FROM cv WHERE NOT bad", CSV))
+
+
+def screen_table(spark: SparkSession, d: str) -> DataFrame:
+    """Events as lines on a screen: a date, each message in two pieces with its time beside it, and the input field below."""
+    m = from_events(spark, d).select("chat", "seq", "who", "time", "date")
+    mine = F.col("who") == "me"
+    y = F.col("seq") * 60.0 + 60
+    page = F.col("chat").alias("page")
+    body = F.concat(F.lit("안녕하세요 반갑습니다"), (F.col("seq") % 10).cast("string"))
+    parts = F.array(*[F.struct(F.lit(i).alias("part"), F.split(body, " ").getItem(i).alias("text"), (F.when(mine, 330.0).otherwise(62.0) + 130 * i).alias("x0"), F.when(mine & F.lit(i == 1), 578.0).otherwise(F.when(mine, 330.0).otherwise(62.0) + 120 + 128 * i).alias("x1")) for i in (0, 1)])
+    pieces = m.select(page, "seq", y.alias("y0"), F.inline(parts)).select("page", (F.col("seq") * 4 + F.col("part")).alias("line"), "text", "x0", "y0", "x1", (F.col("y0") + 32).alias("y1"))
+    at = F.when(mine, 240.0).otherwise(330.0)
+    times = m.select(page, (F.col("seq") * 4 + 2).alias("line"), D.display_time(F.col("time")).alias("text"), at.alias("x0"), (y + 10).alias("y0"), (at + 70).alias("x1"), (y + 28).alias("y1"))
+    ends = m.groupBy("chat").agg(F.max("seq").alias("last"), F.min("date").alias("date"))
+    head = ends.select(page, F.lit(-2).cast("long").alias("line"), D.display_date(F.col("date")).alias("text"), F.lit(200.0).alias("x0"), F.lit(10.0).alias("y0"), F.lit(400.0).alias("x1"), F.lit(40.0).alias("y1"))
+    low = F.col("last") * 60.0 + 200
+    foot = ends.select(page, F.lit(-1).cast("long").alias("line"), F.lit("메시지 입력").alias("text"), F.lit(62.0).alias("x0"), low.alias("y0"), F.lit(200.0).alias("x1"), (low + 32).alias("y1"))
+    lines = pieces.union(times).union(head).union(foot).join(ends.select(page, (F.col("last") * 60.0 + 300).alias("height")), "page")
+    return lines.select("page", "line", "text", "x0", "y0", "x1", "y1", F.lit(0.9).alias("confidence"), F.lit(600.0).alias("width"), "height")
+
+
+register(
+    "screen_messages",
+    lambda spark, d: V.screen_messages(screen_table(spark, d)).select("page", "seq", "who", "date", "time", "text"),
+    O.on_events("SELECT chat AS page, seq, who, min(date) OVER (PARTITION BY chat) AS date, time, '안녕하세요 반갑습니다' || (seq % 10) AS text FROM m"),
+)
