@@ -207,10 +207,35 @@ def test_pages_overlap_with_all_that_came_before(spark):
 def test_late_messages_do_not_open_a_session_again(spark, tmp_path):
     from colloquy.streaming import sessions
 
-    days = [["2024-01-01 10:00", "2024-01-01 11:00", "2024-01-05 10:00"], ["2024-01-01 12:00", "2024-01-09 10:00", "2024-01-09 10:30"], ["2024-01-20 00:00"]]
+    days = [["2024-01-01 10:00", "2024-01-01 11:00", "2024-01-05 10:00"], ["2024-01-09 10:00", "2024-01-09 10:30"], ["2024-01-01 12:00", "2024-01-20 00:00"]]
     for part, stamps in enumerate(days):
         frame = spark.createDataFrame([(1, t) for t in stamps], "chat long, t string").select("chat", F.to_timestamp("t").alias("at"))
         frame.coalesce(1).write.mode("append").parquet(str(tmp_path / f"in/part={part}"))
     stream = spark.readStream.schema("chat long, at timestamp").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in/*"))
     got = sessions.run_once(sessions.session_counts(stream), spark).orderBy("first_at").collect()
     assert [r["messages"] for r in got] == [2, 1, 2]
+
+
+def test_lines_of_a_screen_become_messages(spark):
+    """A row in two pieces, a name label, times beside bubbles, a glyph and the input field."""
+    from colloquy.operators import screens
+
+    lines = [
+        ("2024년 3월 1일 금요일", 200, 10, 400, 40), ("지연", 62, 100, 120, 120), ("안녕하세요", 62, 130, 180, 160), ("반가워요", 190, 130, 300, 160), ("다음 줄이에요", 62, 168, 250, 198), ("오전 9:05", 310, 170, 370, 190),
+        ("네 안녕하세요", 400, 300, 578, 330), ("오전 9:07", 320, 306, 380, 326), ("지연", 62, 400, 120, 420), ("ㅇㅇ TT", 62, 430, 180, 460), ("오전 9:08", 190, 436, 250, 456), ("#", 560, 470, 578, 490), ("메시지 입력", 62, 600, 200, 630),
+    ]
+    rows = [(1, i, t, float(a), float(b), float(c), float(d), 0.9, 600.0, 700.0) for i, (t, a, b, c, d) in enumerate(lines)]
+    got = screens.screen_messages(spark.createDataFrame(rows, screens.LINE_SCHEMA)).orderBy("seq").collect()
+    assert [(r["who"], r["date"], r["time"], r["text"]) for r in got] == [
+        ("other", "2024-03-01", "09:05", "안녕하세요 반가워요\n다음 줄이에요"),
+        ("me", "2024-03-01", "09:07", "네 안녕하세요"),
+        ("other", "2024-03-01", "09:08", "ㅇㅇ ㅜㅜ"),
+    ]
+    assert screens.without_outliers([10.0, 500.0, 540.0, 585.0, 620.0]) == (500.0, 620.0)
+
+
+def test_a_report_below_the_floor_holds_one_fact(chat):
+    import json
+
+    got = json.loads(one(report.report(chat([message(i, "me" if i % 5 else "other", i, "ab") for i in range(20)])))["report"])
+    assert got == {"kind": "hard_floor", "info_units": 8.0, "single_fact": "me sends more"}
