@@ -41,7 +41,7 @@ def test_stamps_and_csv(spark, tmp_path):
 def test_csv_files_become_messages(spark, tmp_path):
     """Columns are found by the order of names, not of the header; without a header by the values of the first row."""
     files = {
-        "named.csv": 'time,Date,speaker,msg\nx,2024-01-01 09:00,a,"one, ""two""\nthree"\n,2024-01-01 00:30,b,삭제된 메시지입니다.\ny,2024-01-01 00:10,b,zero\nz,bad,b,lost\n',
+        "named.csv": 'time,Date,speaker,msg\nx,2024-01-01 09:00,a,"one, ""two""\nthree"\n,2024-01-01 00:30,b,half past\ny,2024-01-01 00:10,b,zero\nz,bad,b,lost\n',
         "bare.csv": "안녕하세요 반갑습니다,2018. 6. 25. 오후 8:23,나\n네,2018. 6. 25. 오후 8:24,하늘이\n",
         "short.csv": "Date,User,Message\n",
         "undated.csv": "a,b,c\nd,e,f\n",
@@ -54,10 +54,11 @@ def test_csv_files_become_messages(spark, tmp_path):
         ("bare", 0, "나", "2018-06-25", "20:23", "안녕하세요 반갑습니다"),
         ("bare", 1, "하늘이", "2018-06-25", "20:24", "네"),
         ("named", 0, "b", "2024-01-01", "00:10", "zero"),
-        ("named", 1, "a", "2024-01-01", "09:00", 'one, "two"\nthree'),
+        ("named", 1, "b", "2024-01-01", "00:30", "half past"),
+        ("named", 2, "a", "2024-01-01", "09:00", 'one, "two"\nthree'),
     ]
     stats = {r["chat"]: (r["messages"], r["unparsed"], r["deleted"], r["multiline"], r["midnight"], r["failure"]) for r in csv_stats(rows).collect()}
-    assert stats == {"named": (2, 1, 1, 1, 1, None), "bare": (2, 0, 0, 0, 0, None), "short": (0, 0, 0, 0, 0, "too few rows"), "undated": (0, 0, 0, 0, 0, "no date column")}
+    assert stats == {"named": (3, 1, 0, 1, 2, None), "bare": (2, 0, 0, 0, 0, None), "short": (0, 0, 0, 0, 0, "too few rows"), "undated": (0, 0, 0, 0, 0, "no date column")}
     me = spark.createDataFrame([("bare", "나"), ("named", "nobody")], "chat string, name string")
     assert [(r["chat"], r["seq"], r["who"]) for r in csv_message_rows(rows, me).orderBy("seq").collect()] == [("bare", 0, "me"), ("bare", 1, "other")]
 
