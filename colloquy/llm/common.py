@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import ctypes
-import gc
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -34,7 +33,6 @@ def lean(f: Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]) -> Calla
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield from f(batches)
-        gc.collect()
         pa.default_memory_pool().release_unused()
         if hasattr(libc := ctypes.CDLL(None), "malloc_trim"):
             libc.malloc_trim(0)
