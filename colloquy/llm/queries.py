@@ -9,12 +9,15 @@ from pyspark.sql import functions as F
 
 from . import sql
 from .exact_dedup import find_copies
+from .importance import resample
 from .language_id import fit_dictionaries, held_out, identify
+from .line_dedup import dedup_lines
 from .line_rules import apply_line_rules
 from .mixing import plan_mix
 from .ngram_join import similarity_join
 from .pii import BASE, KINDS, find_personal_data
 from .repeated_bytes import remove_repeats
+from .spelling import group_spellings
 from .token_store import new_folder, read_sums, write_store
 from .toxicity import THRESHOLD, fit, score
 from .word_bpe import encode_decode
@@ -92,6 +95,19 @@ def op10_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return plan_mix(documents(spark, sf_dir)).select("row.doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
 
 
+def op11_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ranked = resample(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return ranked.select(F.col("id").alias("doc_id"), "n_features", "weight", "score", "rank")
+
+
+def op12_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dedup_lines(documents(spark, sf_dir)).select("row.doc_id", "n_lines", "n_dropped", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))
+
+
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return group_spellings(documents(spark, sf_dir)).select("word", "n", "n_near", "form", "form_n", "root")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_line_frequency": op1_line_frequency,
@@ -104,8 +120,18 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_toxicity": op8_toxicity,
         "op9_personal_data": op9_personal_data,
         "op10_source_mix": op10_source_mix,
+        "op11_importance_resampling": op11_importance_resampling,
+        "op12_line_dedup": op12_line_dedup,
+        "op13_spelling_variants": op13_spelling_variants,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_line_frequency": sql.LINE_FREQUENCY, "op5_exact_dedup": sql.EXACT_DEDUP, "op10_source_mix": sql.SOURCE_MIX}
+    return {
+        "op1_line_frequency": sql.LINE_FREQUENCY,
+        "op5_exact_dedup": sql.EXACT_DEDUP,
+        "op10_source_mix": sql.SOURCE_MIX,
+        "op11_importance_resampling": sql.IMPORTANCE,
+        "op12_line_dedup": sql.LINE_DEDUP,
+        "op13_spelling_variants": sql.SPELLING,
+    }

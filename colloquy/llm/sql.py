@@ -61,3 +61,56 @@ WITH sized AS (SELECT doc_id, source, len(regexp_extract_all(coalesce("text", ''
 {source_targets("sized")},
 rated AS (SELECT s.doc_id, s.size, t.z AS source_size, t.target, CASE WHEN t.z > 0 THEN t.target / t.z ELSE 0 END AS rate FROM sized s JOIN target_ t ON t.source IS NOT DISTINCT FROM s.source)
 SELECT doc_id, size, source_size, target, (size * (floor(rate) + CASE WHEN {DRAW} < rate - floor(rate) THEN 1 ELSE 0 END))::BIGINT AS taken FROM rated"""
+
+LINE_DEDUP = rf"""
+WITH rows_ AS (SELECT row_number() OVER () AS rid, doc_id, coalesce("text", '') AS t FROM documents),
+line_ AS (SELECT rid, doc_id, u.ln, u.pos, trim(translate(u.ln, {LETTERS}), concat(' ', chr(9), chr(10), chr(11), chr(12), chr(13))) AS k
+  FROM rows_, unnest(string_split(t, chr(10))) WITH ORDINALITY AS u(ln, pos)),
+held_ AS (SELECT k, max(doc_id) AS holder FROM line_ WHERE length(k) >= 40 GROUP BY k HAVING count(DISTINCT doc_id) >= 5),
+marked AS (SELECT l.*, h.k IS NOT NULL AND l.doc_id IS DISTINCT FROM h.holder AS gone FROM line_ l LEFT JOIN held_ h ON h.k = l.k)
+SELECT any_value(doc_id) AS doc_id, count(*)::BIGINT AS n_lines, count(*) FILTER (WHERE gone)::BIGINT AS n_dropped,
+  sha256(coalesce(string_agg(ln, chr(10) ORDER BY pos) FILTER (WHERE NOT gone), '')) AS kept_sha256 FROM marked GROUP BY rid"""
+
+#: CRC-32 of texts, from its table of 256 entries: ``crc_of(source)`` is a CTE (w, crc) of the distinct w of ``source``.
+CRC_TABLE = """
+crc_table AS (SELECT list(v ORDER BY i) AS tab FROM (SELECT i, list_reduce(range(9)[2:], lambda v, k: CASE WHEN v & 1 = 1 THEN xor(v >> 1, 3988292384) ELSE v >> 1 END, i) AS v FROM (SELECT unnest(range(256))::BIGINT AS i)))"""
+
+
+def crc_of(source: str) -> str:
+    return f"""SELECT w, xor(list_reduce([('0x' || hex(encode(w))[2 * k + 1 : 2 * k + 2])::BIGINT FOR k IN range(octet_length(encode(w)))],
+    lambda c, b: xor(c >> 8, tab[(xor(c, b) & 255) + 1]), 4294967295), 4294967295) AS crc FROM (SELECT DISTINCT w FROM {source}), crc_table"""
+
+
+IMPORTANCE = rf"""
+WITH {CRC_TABLE},
+doc_ AS (SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(translate(coalesce("text", ''), {LETTERS}), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM documents),
+own_ AS (SELECT rid, w, count(*) AS n FROM (SELECT rid, unnest(ws) AS w FROM doc_) GROUP BY ALL),
+aim_ AS (SELECT w, count(*) AS n FROM (SELECT unnest(regexp_extract_all(translate(coalesce("text", ''), {LETTERS}), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS w FROM benchmark) GROUP BY ALL),
+all_ AS (SELECT w FROM own_ UNION SELECT w FROM aim_),
+bucket_ AS MATERIALIZED (SELECT w, crc % 10000 AS b FROM ({crc_of("all_")})),
+s_ AS (SELECT b, sum(n)::BIGINT AS s FROM own_ JOIN bucket_ USING (w) GROUP BY b), t_ AS (SELECT b, sum(n)::BIGINT AS t FROM aim_ JOIN bucket_ USING (w) GROUP BY b),
+sums_ AS (SELECT coalesce((SELECT sum(s) FROM s_), 0)::BIGINT AS ss, coalesce((SELECT sum(t) FROM t_), 0)::BIGINT AS tt),
+gain_ AS (SELECT b, floor(1000 * ln(((coalesce(t, 0) + 1) * (ss + 10000))::DOUBLE / ((s + 1) * (tt + 10000))::DOUBLE))::BIGINT AS g FROM s_ LEFT JOIN t_ USING (b), sums_),
+weight_ AS (SELECT rid, sum(n)::BIGINT AS n, sum(n * g)::BIGINT AS z FROM own_ JOIN bucket_ USING (w) JOIN gain_ USING (b) GROUP BY rid),
+scored AS (SELECT doc_id, len(ws)::BIGINT AS n_features, coalesce((z - ((z % n) + n) % n) // n, 0)::BIGINT AS weight,
+  floor(-1000 * ln(-ln((('0x' || sha256('2024:' || coalesce(doc_id::VARCHAR, 'null'))[1:8])::BIGINT + 0.5::DOUBLE) / 4294967296.0::DOUBLE)))::BIGINT AS noise FROM doc_ LEFT JOIN weight_ USING (rid)),
+ranked AS (SELECT *, weight + noise AS score, row_number() OVER (PARTITION BY n_features >= 20 ORDER BY weight + noise DESC, doc_id NULLS LAST, n_features) AS r,
+  count(*) FILTER (WHERE n_features >= 20) OVER () AS n FROM scored)
+SELECT doc_id, n_features, weight, score, CASE WHEN n_features >= 20 AND r <= 10 * n // 100 THEN r END AS rank FROM ranked"""
+
+SPELLING = rf"""
+WITH RECURSIVE {CRC_TABLE},
+run_ AS (SELECT doc_id, r, count(*) AS k FROM (SELECT doc_id, unnest(regexp_extract_all(translate(coalesce("text", ''), {LETTERS}), '[A-Za-z\x{{C0}}-\x{{FF}}]+')) AS r FROM documents) GROUP BY ALL),
+key_ AS (SELECT *, coalesce(doc_id::VARCHAR, 'null') || ':' || r AS w FROM run_ WHERE length(r) >= 5),
+hashed AS MATERIALIZED (SELECT r, k, crc FROM key_ JOIN ({crc_of("key_")}) USING (w)),
+made AS (SELECT CASE WHEN crc % 97 = 0 THEN r[1 : crc % length(r)] || r[crc % length(r) + 2 :] ELSE r END AS word, k FROM hashed),
+word_ AS MATERIALIZED (SELECT word, sum(k)::BIGINT AS n FROM made WHERE length(word) >= 5 GROUP BY word HAVING sum(k) >= 3),
+less AS MATERIALIZED (SELECT word, n, i, word[1 : i - 1] || word[i + 1 :] AS d FROM (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM word_)),
+near_ AS (SELECT a.word, b.word AS other, b.n AS m FROM less a JOIN less b ON a.d = b.d AND a.i = b.i AND a.word <> b.word
+  UNION SELECT a.word, b.word, b.n FROM less a JOIN word_ b ON a.d = b.word UNION SELECT b.word, a.word, a.n FROM less a JOIN word_ b ON a.d = b.word),
+best AS (SELECT word, count(*)::BIGINT AS n_near, max(m) AS m FROM near_ GROUP BY word),
+first_ AS (SELECT b.word, min(e.other) AS other FROM best b JOIN near_ e ON e.word = b.word AND e.m = b.m GROUP BY b.word),
+formed AS MATERIALIZED (SELECT w.word, w.n, coalesce(b.n_near, 0)::BIGINT AS n_near, CASE WHEN b.m >= 2 * w.n THEN f.other END AS form, CASE WHEN b.m >= 2 * w.n THEN b.m END AS form_n
+  FROM word_ w LEFT JOIN best b ON b.word = w.word LEFT JOIN first_ f ON f.word = w.word),
+path_ AS (SELECT word, word AS at FROM formed UNION ALL SELECT p.word, f.form FROM path_ p JOIN formed f ON f.word = p.at WHERE f.form IS NOT NULL)
+SELECT f.word, f.n, f.n_near, f.form, f.form_n, p.at AS root FROM formed f JOIN path_ p ON p.word = f.word JOIN formed z ON z.word = p.at AND z.form IS NULL"""
