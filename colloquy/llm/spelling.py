@@ -9,7 +9,7 @@ count if that is large enough, and forms are followed to their roots by pointer
 There are about 2 x alphabet x length candidates a word, nearly all of which are no word. Their
 64-bit hashes follow from hashes of the word's beginnings and ends, all at once, and
 a bit filter of the vocabulary's hashes (no word is ever missed) holds back
-those that can't join before strings are made and shuffled. The filter is built by Spark
+those that can't join, before strings are made and shuffled. The filter is built by Spark
 in segments and is of bounded size: a vocabulary beyond it is filtered in slices, each
 with a pass of its own.
 
@@ -43,7 +43,7 @@ DAMAGE = 97
 RUNS = bytes(b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 0xC0 else 32 for b in range(256))
 #: Distinct words that a task counts before it hands them on.
 COUNTED = 300_000
-#: Filter: bits a word at least, and bits in all at most (64 MB), as powers of 2.
+#: Filter: bits a word at least, and bits in all at most (64 MB; no less than 15), as powers of 2.
 WORD_BITS = 6
 MOST_BITS = 29
 #: Candidates whose hashes are computed at a time, and words of a task.
@@ -55,7 +55,15 @@ WORDS_TO_BROADCAST = 100_000
 #: Hash of a word: sum of VALUE[code point] * BASE ** (code points after it), modulo 2 ** 64.
 VALUE = np.random.default_rng(2024).integers(1 << 60, 1 << 63, 256, dtype=np.uint64)
 BASE = np.uint64(0x9E3779B97F4A7C15)
-FIRST, SECOND, SLICE = np.uint64(0xD6E8FEB86659FD93), np.uint64(0xA0761D6478BD642F), np.uint64(0xE7037ED1A0B428DB)
+#: Odd factors that make a hash's bits of the filter, and its slice.
+PROBES = (np.uint64(0xD6E8FEB86659FD93), np.uint64(0xA0761D6478BD642F), np.uint64(0x8EBC6AF09C88C6E3), np.uint64(0x589965CC75374CC3))
+SLICE = np.uint64(0xE7037ED1A0B428DB)
+#: Words beyond this length look first whether the vocabulary has any word of the lengths next to theirs,
+#: if it has no more different lengths than this (16 bytes each).
+LONG = 64
+LENGTHS_TO_SEND = 100_000
+#: Code points of candidates that are made into strings at a time.
+HANDED = 4 << 20
 
 
 def count_into(total: dict[bytes, int], ident: int | None, text: str | None, min_chars: int) -> None:
@@ -83,7 +91,8 @@ def vocabulary(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 if len(total) > COUNTED:
                     yield handed()
                     total.clear()
-        yield handed()
+        if total:
+            yield handed()
 
     bounded_batches(docs.sparkSession)
     rows = docs.select(F.col(f"`{id_col}`").cast("string").alias("id"), F.col(f"`{text_col}`").alias("_text"))
@@ -117,7 +126,7 @@ def by_length(words: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
 
 
 class Filter:
-    """Two bits for each word of the vocabulary; a word that lacks one of them is not in it."""
+    """Four bits for each word of the vocabulary; a word that lacks one of them is not in it."""
 
     def __init__(self, bits: int, slices: int):
         self.bits, self.slices = bits, slices
@@ -127,9 +136,8 @@ class Filter:
         wanted = max(15, (words << WORD_BITS).bit_length())
         return Filter(min(wanted, MOST_BITS), max(0, wanted - MOST_BITS))
 
-    def places(self, hashed: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        shift = np.uint64(64 - self.bits)
-        return (hashed * FIRST) >> shift, ((hashed ^ (hashed >> np.uint64(32))) * SECOND) >> shift
+    def place(self, hashed: np.ndarray, probe: np.uint64) -> np.ndarray:
+        return ((hashed ^ (hashed >> np.uint64(32))) * probe) >> np.uint64(64 - self.bits)
 
     def slice_of(self, hashed: np.ndarray) -> np.ndarray:
         return (hashed * SLICE) >> np.uint64(64 - self.slices) if self.slices else np.zeros(hashed.shape, np.uint64)
@@ -141,8 +149,8 @@ class Filter:
             for b in batches:
                 for _, codes in by_length(list(b["word"])):
                     hashed = ends(codes)[1][:, 0]
-                    a, z = self.places(hashed)
-                    yield pd.DataFrame({"slice": np.tile(self.slice_of(hashed), 2).astype(np.int64), "place": np.concatenate([a, z]).astype(np.int64) + 1})
+                    places = np.concatenate([self.place(hashed, p) for p in PROBES]).astype(np.int64) + 1
+                    yield pd.DataFrame({"slice": np.tile(self.slice_of(hashed), len(PROBES)).astype(np.int64), "place": places})
 
         bits = words.select("word").mapInPandas(lean(run), "slice long, place long")
         return bits.groupBy("slice", F.bitmap_bucket_number("place").alias("segment")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("place")).alias("bits"))
@@ -156,23 +164,26 @@ class Filter:
 
     def passing(self, hashed: np.ndarray, held: np.ndarray, number: int) -> np.ndarray:
         """Indexes of those hashes that may be of words in slice ``number``."""
-        has = lambda place: (held[place >> np.uint64(3)] >> (place & np.uint64(7)).astype(np.uint8)) & 1
-        at = np.flatnonzero(has((hashed * FIRST) >> np.uint64(64 - self.bits)))
-        rest = hashed[at]
-        ok = has(self.places(rest)[1]).astype(bool)
-        if self.slices:
-            ok &= self.slice_of(rest) == number
-        return at[ok]
+        at = None
+        for probe in PROBES:
+            place = self.place(hashed, probe)
+            found = np.flatnonzero((held[place >> np.uint64(3)] >> (place & np.uint64(7)).astype(np.uint8)) & 1)
+            at, hashed = found if at is None else at[found], hashed[found]
+        return at[self.slice_of(hashed) == number] if self.slices else at
 
 
-def neighbourhood(codes: np.ndarray, alphabet: np.ndarray) -> Iterator[tuple[int, int, int, np.ndarray]]:
+def neighbourhood(codes: np.ndarray, alphabet: np.ndarray, lengths: dict[int, int] | None = None) -> Iterator[tuple[int, int, int, np.ndarray]]:
     """All deletions, replacements and insertions of words of one length: how many code points are taken
-    and added, the first place, and hashes by word, place and letter (one for a deletion)."""
+    and added, the first place, and hashes by word, place and letter (one for a deletion). Changes that lead
+    to a long word are left out if ``lengths``, numbers of words by length, has no other of its length."""
     n, length = codes.shape
     first, rest = ends(codes)
     power, letters = powers(length + 1), VALUE[alphabet]
     step = max(1, CELLS // (n * max(len(letters), 1)))
     for taken, added in ((1, 0), (1, 1), (0, 1)):
+        made = length - taken + added
+        if lengths is not None and made > LONG and lengths.get(made, 0) <= (made == length):
+            continue
         for lo in range(0, length + 1 - taken, step):
             i = np.arange(lo, min(lo + step, length + 1 - taken))
             after = length - i - taken
@@ -180,16 +191,17 @@ def neighbourhood(codes: np.ndarray, alphabet: np.ndarray) -> Iterator[tuple[int
             yield taken, added, lo, base + power[after][:, None] * letters if added else base
 
 
-def candidates(words: DataFrame, alphabet: np.ndarray, test: Filter, held: Broadcast, number: int) -> DataFrame:
+def candidates(words: DataFrame, alphabet: np.ndarray, test: Filter, held: Broadcast, number: int, lengths: dict[int, int] | None) -> DataFrame:
     """(word, n, near): the neighbours of each word that pass a slice of the filter, each once."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         bits, letters = held.value, alphabet.tobytes().decode("latin-1")
         for b in batches:
             words, counts = list(b["word"]), b["n"].to_numpy()
+            near, of, room = [], [], HANDED
+            handed = lambda: pd.DataFrame({"word": [words[r] for r in of], "n": counts[of], "near": near})
             for which, codes in by_length(words):
-                near, of = [], []
-                for taken, added, lo, hashed in neighbourhood(codes, alphabet):
+                for taken, added, lo, hashed in neighbourhood(codes, alphabet, lengths):
                     row, rest = np.divmod(test.passing(hashed.ravel(), bits, number), hashed.shape[1] * hashed.shape[2])
                     at, k = lo + rest // hashed.shape[2], rest % hashed.shape[2]
                     # Of changes with one result the first stands, and a letter isn't replaced by itself.
@@ -200,7 +212,12 @@ def candidates(words: DataFrame, alphabet: np.ndarray, test: Filter, held: Broad
                         w = words[r]
                         near.append(w[:i] + (letters[c] if added else "") + w[i + taken :])
                         of.append(r)
-                yield pd.DataFrame({"word": [words[r] for r in of], "n": counts[of], "near": near})
+                        room -= len(w)
+                        if room < 0:
+                            yield handed()
+                            near, of, room = [], [], HANDED
+            if of:
+                yield handed()
 
     return words.mapInPandas(lean(run), "word string, n long, near string")
 
@@ -226,6 +243,8 @@ def group_spellings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     # At most the code points that a word may hold, whatever the vocabulary's size.
     letters = words.select(F.explode(F.array_distinct(F.split("word", ""))).alias("c")).distinct().where("c != ''").collect()
     alphabet = np.frombuffer("".join(sorted(r["c"] for r in letters)).encode("latin-1"), np.uint8)
+    by_size = words.where(F.char_length("word") > LONG).groupBy(F.char_length("word").alias("length")).count()
+    lengths = {r["length"]: r["count"] for r in by_size.collect()} if small_enough(by_size, LENGTHS_TO_SEND) else None
     test = Filter.of_size(total)
     segments = stored(test.built(words), "spelling-filter")
     dealt = words.repartition(max(1, -(-total // TASK_WORDS)), "word")
@@ -233,7 +252,7 @@ def group_spellings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     found = []
     for number in range(1 << test.slices):
         held = spark.sparkContext.broadcast(test.loaded(segments, number))
-        found.append(stored(candidates(dealt, alphabet, test, held, number).join(targets, "near"), "spelling-near"))
+        found.append(stored(candidates(dealt, alphabet, test, held, number, lengths).join(targets, "near"), "spelling-near"))
         held.destroy()
     pairs = reduce(DataFrame.unionByName, found)
     best = pairs.groupBy("word").agg(F.count("*").alias("n_near"), F.min(F.struct((-F.col("near_n")).alias("neg"), "near")).alias("best"))
