@@ -5,7 +5,9 @@ A line is (page, line, text, x0, y0, x1, y1, confidence, width, height).
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections import defaultdict
+from collections.abc import Callable
+from functools import cache
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -13,6 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import trim
 from ..sources.exports import hour24
+from .intervals import upper_median
 
 TIME_LABEL = r"\A(?:(오전|오후)\s*)?([01]?\d|2[0-3]):([0-5]\d)\z"
 DATE_LABEL = r"\A(\d{4})년\s*(\d{1,2})월\s*(\d{1,2})일(\s*[월화수목금토일]요일)?\s*[>›»〉]?\z"
@@ -62,21 +65,44 @@ def with_dates(lines: DataFrame) -> DataFrame:
     return lines.withColumn("date", F.last(date_label(F.col("text")), ignorenulls=True).over(order))
 
 
-def bubbles(lines: DataFrame) -> DataFrame:
-    """Lines of one side that follow closely and align with the bubble so far make one bubble."""
+#: A box around lines that were joined; ``n`` counts them.
+BOX = "struct<line:bigint,text:string,x0:double,y0:double,x1:double,y1:double,confidence:double,n:bigint>"
+
+
+def boxes_of(lines: Column, fits: Callable[[Column, Column], Column], glue: Callable[[Column, Column], Column]) -> Column:
+    """Fold an array of boxes: one that fits the box so far is joined to it, any other begins a new one."""
+    joined = lambda a, b: F.struct(a["line"].alias("line"), glue(a["text"], b["text"]).alias("text"), F.least(a["x0"], b["x0"]).alias("x0"), F.least(a["y0"], b["y0"]).alias("y0"), F.greatest(a["x1"], b["x1"]).alias("x1"), F.greatest(a["y1"], b["y1"]).alias("y1"), F.least(a["confidence"], b["confidence"]).alias("confidence"), (a["n"] + b["n"]).alias("n"))
+
+    def step(done: Column, box: Column) -> Column:
+        last = F.get(done, F.size(done) - 1)
+        joins = (F.size(done) > 0) & fits(last, box)
+        return F.when(joins, F.concat(F.slice(done, F.lit(1), F.size(done) - 1), F.array(joined(last, box)))).otherwise(F.concat(done, F.array(box)))
 
-    def fold(page: pd.DataFrame) -> pd.DataFrame:
-        out: list[dict] = []
-        for r in page.sort_values(["y0", "x0", "line"]).itertuples():
-            last = out[-1] if out else None
-            tall = r.y1 - r.y0
-            if last and last["who"] == r.who and r.y0 - last["y1"] <= LINE_GAP * tall and abs(r.x0 - last["x0"]) <= ALIGN:
-                last.update(text=f"{last['text']}\n{r.text}", x0=min(last["x0"], r.x0), x1=max(last["x1"], r.x1), y1=max(last["y1"], r.y1), lines=last["lines"] + 1)
-            else:
-                out.append({"page": r.page, "bubble": len(out), "who": r.who, "text": r.text, "x0": r.x0, "y0": r.y0, "x1": r.x1, "y1": r.y1, "lines": 1})
-        return pd.DataFrame(out)
+    return F.aggregate(lines, F.array().cast(f"array<{BOX}>"), step)
 
-    return side(lines).groupBy("page").applyInPandas(fold, "page long, bubble long, who string, text string, x0 double, y0 double, x1 double, y1 double, lines long")
+
+def box(text: Column) -> Column:
+    return F.struct(F.col("line").cast("long").alias("line"), text.alias("text"), *[F.col(c).cast("double").alias(c) for c in ("x0", "y0", "x1", "y1")], F.col("confidence").cast("double").alias("confidence"), F.lit(1).cast("long").alias("n"))
+
+
+def bubbles(lines: DataFrame) -> DataFrame:
+    """Lines of one side that follow closely and align with the bubble so far make one bubble.
+
+    Windows part the lines of a page wherever the side changes or a line stands too far below all
+    that came before on its side; only within such a short stretch left edges are followed line by line.
+    """
+    order = Window.partitionBy("page").orderBy("y0", "x0", "line")
+    turn = F.coalesce(F.col("who") != F.lag("who").over(order), F.lit(True))
+    turned = side(lines).withColumn("_run", F.sum(turn.cast("int")).over(order))
+    above = Window.partitionBy("page", "_run").orderBy("y0", "x0", "line").rowsBetween(Window.unboundedPreceding, -1)
+    tall = F.col("y1") - F.col("y0")
+    far = F.coalesce(F.col("y0") - F.max("y1").over(above) > LINE_GAP * tall, F.lit(True))
+    parts = turned.withColumn("_far", far.cast("int")).withColumn("_part", F.sum("_far").over(order))
+    sorted_ = F.transform(F.array_sort(F.collect_list(F.struct("y0", "x0", "line", box(trim(F.col("text"))).alias("box")))), lambda x: x["box"])
+    fits = lambda last, b: (b["y0"] - last["y1"] <= LINE_GAP * (b["y1"] - b["y0"])) & (F.abs(b["x0"] - last["x0"]) <= ALIGN)
+    made = parts.groupBy("page", "_part").agg(F.first("who").alias("who"), sorted_.alias("_lines")).select("page", "_part", "who", F.posexplode(boxes_of(F.col("_lines"), fits, lambda a, b: F.concat(a, F.lit("\n"), b))).alias("_at", "b"))
+    place = F.row_number().over(Window.partitionBy("page").orderBy("_part", "_at")) - 1
+    return made.select("page", place.cast("long").alias("bubble"), "who", "b.text", "b.x0", "b.y0", "b.x1", "b.y1", F.col("b.n").alias("lines"), "b.confidence")
 
 
 def without_duplicates(lines: DataFrame) -> DataFrame:
@@ -152,40 +178,123 @@ def hangul_share(text: Column) -> Column:
     return F.when(F.length(plain) == 0, 0.0).otherwise(F.regexp_count(plain, F.lit("[가-힣ㄱ-ㅎㅏ-ㅣ]")) / F.length(plain))
 
 
+def is_control(text: Column) -> Column:
+    return F.exists(F.array(*map(F.lit, CONTROLS)), lambda c: F.startswith(trim(text), c))
+
+
+def columns_kept(rows: DataFrame) -> Column:
+    """Whether a line stands where bubbles do: the other's begin in one column, mine end in another or before it."""
+    tolerance = F.greatest(F.lit(20.0), 0.05 * F.col("width"))
+    top = (F.col("y0") + F.col("y1")) / 2 <= F.col("height") * TOP_SHARE
+    mine = F.when(top, F.abs(F.col("x1") - F.col("_right")) <= tolerance).otherwise(F.col("x1") <= F.col("_right") + tolerance)
+    theirs = F.abs(F.col("x0") - F.col("_left")) <= tolerance
+    return F.coalesce(F.when(F.col("who") == "other", theirs).otherwise(mine), F.lit(True))
+
+
 def prepared(lines: DataFrame) -> DataFrame:
     """Lines of (page, ..., height of the page) that belong to the conversation, with the reason of those that don't.
 
-    Controls go; of the top of a page only labels and Korean text stay; text much taller than
-    the page's upper median is a sticker's; and lines must begin in the other's column or end in mine.
+    Three steps, each over what the one before left: lines must begin in the other's column or end in mine;
+    text much taller than the upper median of the rest is a sticker's; of the top of a page only labels
+    and Korean text stay. Controls of the app count in the columns and go at the end.
     """
-    label = time_label(F.col("text")).isNotNull() | date_label(F.col("text")).isNotNull()
-    middle, tall = (F.col("y0") + F.col("y1")) / 2, F.col("y1") - F.col("y0")
-    tolerance = F.greatest(F.lit(20.0), 0.05 * F.col("width"))
-    rows = side(lines).withColumns({"_label": label, "_tall": tall, "_tol": tolerance})
+    text, tall = F.col("text"), F.col("y1") - F.col("y0")
+    rows = side(lines).withColumns({"_time": time_label(text).isNotNull(), "_label": time_label(text).isNotNull() | date_label(text).isNotNull()})
     body = rows.where("NOT _label")
-    upper = body.groupBy("page").agg(F.array_sort(F.collect_list("_tall")).alias("h")).select("page", F.get("h", F.floor(F.size("h") / 2).cast("int")).alias("_median"))
     left = column_of(body.where("who = 'other'"), "x0").select("page", F.col("column").alias("_left"))
     right = column_of(body.where("who = 'me'"), "x1").select("page", F.col("column").alias("_right"))
-    rows = rows.join(upper, "page", "left").join(left, "page", "left").join(right, "page", "left")
-    t, top = trim(F.col("text")), middle <= F.col("height") * TOP_SHARE
-    reason = (
-        F.when(F.exists(F.array(*map(F.lit, CONTROLS)), lambda c: F.startswith(t, c)), "control")
-        .when(F.col("_label"), None)
-        .when(top & (hangul_share(F.col("text")) < LEAST_HANGUL), "top")
-        .when((F.col("_median") > 0) & (F.col("_tall") > F.col("_median") * STICKER), "sticker")
-        .when((F.col("who") == "other") & (F.abs(F.col("x0") - F.col("_left")) > F.col("_tol")), "column")
-        .when((F.col("who") == "me") & top & (F.abs(F.col("x1") - F.col("_right")) > F.col("_tol")), "column")
-        .when((F.col("who") == "me") & (F.col("x1") > F.col("_right") + F.col("_tol")), "column")
-    )
-    return rows.withColumn("dropped", reason).drop("_label", "_tall", "_tol", "_median", "_left", "_right")
+    rows = rows.join(left, "page", "left").join(right, "page", "left")
+    rows = rows.withColumn("_in", F.col("_label") | columns_kept(rows))
+    middle = rows.groupBy("page").agg(upper_median(F.when(F.col("_in") & ~F.col("_time"), tall)).alias("_median"))
+    rows = rows.join(middle, "page", "left")
+    sticker = ~F.col("_time") & (F.col("_median") > 0) & (tall > F.col("_median") * STICKER)
+    top = ~F.col("_label") & ((F.col("y0") + F.col("y1")) / 2 <= F.col("height") * TOP_SHARE) & (hangul_share(text) < LEAST_HANGUL)
+    reason = F.when(~F.col("_in"), "column").when(sticker, "sticker").when(top, "top").when(is_control(text), "control")
+    return rows.withColumn("dropped", reason).drop("_time", "_label", "_in", "_median", "_left", "_right")
 
 
 def name_labels(lines: DataFrame) -> DataFrame:
-    """(page, text) of short texts that repeat, only on the other's side, with a line of mine between: sender names."""
-    rows = side(lines).withColumn("_text", trim(F.col("text")))
-    order = Window.partitionBy("page").orderBy("y0", "x0", "line")
-    rows = rows.withColumn("_mine", F.sum((F.col("who") == "me").cast("int")).over(order))
-    found = rows.where(F.length("_text").between(1, 12) & time_label(F.col("_text")).isNull() & date_label(F.col("_text")).isNull()).groupBy("page", "_text").agg(
-        F.count("*").alias("n"), F.bool_and(F.col("who") == "other").alias("theirs"), F.count_distinct("_mine").alias("turns")
-    )
-    return found.where("n > 1 AND theirs AND turns > 1").select("page", F.col("_text").alias("text"))
+    """(page, text) of short texts that repeat, only on the other's side, with a line of mine between: sender names.
+
+    Between means by centres, strictly, and a time label is no line of mine: beside the other's
+    bubble it stands on my side.
+    """
+    rows = side(lines).withColumns({"_text": trim(F.col("text")), "_y": (F.col("y0") + F.col("y1")) / 2})
+    rows = rows.withColumn("_mine", ((F.col("who") == "me") & time_label(F.col("_text")).isNull()).cast("int"))
+    upto = F.sum("_mine").over(Window.partitionBy("page").orderBy("_y").rangeBetween(Window.unboundedPreceding, Window.currentRow))
+    rows = rows.withColumn("_upto", upto).withColumn("_above", F.col("_upto") - F.sum("_mine").over(Window.partitionBy("page", "_y")))
+    short = rows.where(F.length("_text").between(1, 12) & time_label(F.col("_text")).isNull() & date_label(F.col("_text")).isNull() & ~is_control(F.col("_text")))
+    between = F.col("_above") > F.lag("_upto").over(Window.partitionBy("page", "_text").orderBy("_y"))
+    found = short.withColumn("_turn", F.coalesce(between, F.lit(False))).groupBy("page", "_text").agg(F.bool_and(F.col("who") == "other").alias("theirs"), F.bool_or("_turn").alias("turned"))
+    return found.where("theirs AND turned").select("page", F.col("_text").alias("text"))
+
+
+def page_links(paged: DataFrame) -> DataFrame:
+    """(chat, a, b, overlap) of pages of (chat, page, seq, key): messages at the end of a that begin b, 2 to 15.
+
+    Hashes of the ends and of the beginnings of each length are joined, so that only pages
+    which do overlap are met.
+    """
+    keys = paged.groupBy("chat", "page").agg(F.transform(F.array_sort(F.collect_list(F.struct("seq", "key"))), lambda x: x["key"]).alias("keys"))
+    sizes = F.sequence(F.lit(LEAST_OVERLAP), F.least(F.lit(MOST_OVERLAP), F.size("keys")))
+    sized = keys.where(F.size("keys") >= LEAST_OVERLAP).select("chat", "page", "keys", F.explode(sizes).alias("k"))
+    digest = lambda part: F.md5(F.to_json(F.struct(part.alias("part"))).cast("binary"))
+    ends = sized.select("chat", "k", digest(F.slice("keys", -F.col("k"), F.col("k"))).alias("run"), F.col("page").alias("a"))
+    starts = sized.select("chat", "k", digest(F.slice("keys", F.lit(1), F.col("k"))).alias("run"), F.col("page").alias("b"))
+    return ends.join(starts, ["chat", "k", "run"]).where("a <> b").groupBy("chat", "a", "b").agg(F.max("k").alias("overlap"))
+
+
+#: Up to so many pages of a chat every order is weighed; beyond, pages are chained by their largest overlaps.
+ALL_ORDERS = 8
+
+
+def best_order(n: int, links: dict[tuple[int, int], int]) -> list[int]:
+    """The order of pages 0 to n - 1 with the largest sum of overlaps of neighbours; the given one unless another beats it."""
+    score = lambda order: sum(links.get(x, 0) for x in zip(order, order[1:], strict=False))
+    given = list(range(n))
+    if n <= ALL_ORDERS:
+
+        @cache
+        def rest(last: int, left: int) -> int:
+            """The most that the pages in the bits of ``left`` can add behind ``last``."""
+            return max((links.get((last, j), 0) + rest(j, left & ~(1 << j)) for j in range(n) if left >> j & 1), default=0)
+
+        order, left = [], (1 << n) - 1
+        while left:
+            add = lambda j: (links.get((order[-1], j), 0) if order else 0) + rest(j, left & ~(1 << j))  # noqa: B023, E731
+            order.append(max((j for j in given if left >> j & 1), key=lambda j: (add(j), -j)))
+            left &= ~(1 << order[-1])
+    else:
+        into, out = [0] * n, defaultdict(list)
+        for (a, b), k in links.items():
+            into[b] = max(into[b], k)
+            out[a].append((-k, b))
+        order, left = [into.index(min(into))], dict.fromkeys(given)
+        left.pop(order[0])
+        while left:
+            order.append(min((x for x in out[order[-1]] if x[1] in left), default=(0, next(iter(left))))[1])
+            left.pop(order[-1])
+    return order if score(order) > score(given) else given
+
+
+def page_order(paged: DataFrame) -> DataFrame:
+    """(chat, page, place): pages of (chat, page, seq, key) in the order that their overlaps tell, else as they are.
+
+    Only a chat's pages and its overlapping pairs meet in one task.
+    """
+    kind = paged.schema["chat"].dataType.simpleString(), paged.schema["page"].dataType.simpleString()
+
+    def placed(rows: pd.DataFrame) -> pd.DataFrame:
+        pages = sorted(rows.loc[rows["overlap"].isna(), "a"])
+        at = {p: i for i, p in enumerate(pages)}
+        linked = rows[rows["overlap"].notna()]
+        order = best_order(len(pages), {(at[a], at[b]): int(k) for a, b, k in zip(linked["a"], linked["b"], linked["overlap"], strict=True)})
+        return pd.DataFrame({"chat": rows["chat"].iloc[0], "page": [pages[i] for i in order], "place": range(len(order))})
+
+    pages = paged.select("chat", F.col("page").alias("a")).distinct().withColumns({"b": F.col("a"), "overlap": F.lit(None).cast("int")})
+    return pages.unionByName(page_links(paged)).groupBy("chat").applyInPandas(placed, f"chat {kind[0]}, page {kind[1]}, place long")
+
+
+def reordered(paged: DataFrame) -> DataFrame:
+    """Pages of (chat, page, seq, key) numbered anew, in the order of ``page_order``."""
+    return paged.join(page_order(paged), ["chat", "page"]).select("chat", F.col("place").alias("page"), "seq", "key")

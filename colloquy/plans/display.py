@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,12 +11,12 @@ from ..functions import display as D
 from ..functions.numbers import half_up
 from ..operators import metrics as M
 from ..operators import phrases as P
-from ..operators import screens as V
+from ..operators import sequence as S
 from ..sources import tables as C
 from ..sources.adapters import from_events
 from . import oracle as O
 from . import report as R
-from .queries import over_events, over_orders, register
+from .queries import VARIETY, over_events, over_orders, over_pooled, register
 
 
 def evidence_badge(rows: DataFrame) -> DataFrame:
@@ -33,37 +35,86 @@ def evidence_badge(rows: DataFrame) -> DataFrame:
     return c.select("chat", F.when(F.col("timed"), whole).otherwise(text("메시지 ", F.col("n").cast("string"), "개 · 캡처 구간")).alias("badge"))
 
 
-def card(metric: str, kind: str, me: Column | None = None, other: Column | None = None, value: Column | None = None, unit: str = "", note: Column | str | None = None) -> Column:
-    number = lambda c: (F.lit(None) if c is None else c).cast("double")
-    note = note if isinstance(note, Column) else F.lit(note)
-    return F.struct(F.lit(metric).alias("metric"), F.lit(kind).alias("kind"), number(me).alias("me"), number(other).alias("other"), number(value).alias("value"), F.lit(unit).alias("unit"), note.cast("string").alias("note"))
+#: Fixed notes and texts of the cards.
+QUESTION_NOTE, REPLY_NOTE, SILENT_NOTE = "질문이 담긴 차례의 비율", "5분 안에 답한 비율 · 표본 ", "말을 걸었는데 답이 안 온 비율"
+SYNC_NOTE, STYLE_NOTE = "무작위 짝 기준선을 뺀 값 · 높을수록 상대에게 맞춘다", "높을수록 서로 다르게 말해요"
+DELETED_NOTE, NOTHING_DELETED = "지웠다는 것만 남아 있어요", "지운 메시지가 없어요"
+SESSIONS_NOTE, NO_WAKE_NOTE = ("세션 ", "개 기준"), " · 기상 보정 미적용"
+AFFECT_NOTE, VARIETY_NOTE, PHRASE_NOTE = "−1(부정) ~ +1(긍정)", "같은 것만 반복하면 낮다", "상대는 안 쓰는데 나만 쓰는 말"
+NO_CHANGE, COOLED, HOTTEST = "뚜렷하게 식은 지점은 없어요", "월부터 줄었어요", ("가장 뜨거웠던 달은 ", "월 (", "건)")
+#: Phrases of a side on its card.
+CHIPS = 3
 
 
-def metric_cards(rows: DataFrame) -> DataFrame:
-    """(chat, metric, kind, me, other, value, unit, note): how the figures of the open gates are shown."""
-    r = R.reported(rows)
-    whole = lambda c: half_up(F.col(c) * 100)
-    replies = M.reply_distribution(rows)
-    fast = lambda w: F.when(F.col(f"{w}_n") == 0, 0).otherwise(half_up(F.col(f"{w}_fast") / F.col(f"{w}_n") * 100))
+def card(metric: str, kind: Column | str, me: Column | None = None, other: Column | None = None, value: Column | None = None, most: float | Column | None = None, unit: str = "", note: Column | str | None = None, text: Column | None = None, chips: tuple[Column, Column] | None = None) -> Column:
+    column = lambda c, to: (c if isinstance(c, Column) else F.lit(c)).cast(to)
+    numbers = [column(c, "double").alias(k) for k, c in (("me", me), ("other", other), ("value", value), ("max", most))]
+    lists = [column(c, "array<string>").alias(k) for k, c in zip(("chips_me", "chips_other"), chips or (None, None), strict=True)]
+    return F.struct(F.lit(metric).alias("metric"), column(kind, "string").alias("kind"), *numbers, column(unit, "string").alias("unit"), column(note, "string").alias("note"), column(text, "string").alias("text"), *lists)
+
+
+def phrase_lists(rows: DataFrame, most: int = CHIPS) -> DataFrame:
+    """(chat, chips_me, chips_other): the first phrases of each side; empty where a side has none."""
+    found = P.phrase_gap(rows).where(F.col("place") <= most)
+    of = lambda w: F.transform(F.array_sort(F.collect_list(F.when(F.col("side") == w, F.struct("place", "gram")))), lambda x: x["gram"]).alias(f"chips_{w}")
+    return found.groupBy("chat").agg(of("me"), of("other"))
+
+
+def shown_values(rows: DataFrame, vectors: DataFrame | None = None, counters: DataFrame | None = None) -> DataFrame:
+    """One row a chat with what the cards of all 14 metrics show, gates aside."""
+    pair = lambda df, name, me="me", other="other": df.select("chat", F.col(me).alias(f"{name}_me"), F.col(other).alias(f"{name}_other"))
+    opened = M.initiation(rows)
     months = M.monthly(rows).groupBy("chat").agg(F.max("span").alias("span"), F.min(F.struct((-F.col("messages")).alias("few"), "month")).alias("top"))
+    parts = [
+        pair(M.message_length(rows), "length"),
+        pair(M.question_rate(rows), "question"),
+        opened.select("chat", F.col("me").alias("initiation_me"), F.col("other").alias("initiation_other"), F.col("sessions").alias("initiation_sessions"), "wake_adjusted"),
+        pair(M.no_reply(rows), "noreply", "me_rate", "other_rate"),
+        M.reply_distribution(rows).select("chat", "me_fast", "me_n", "other_fast", "other_n"),
+        pair(M.emoji_affect(rows), "affect"),
+        pair(M.emoji_variety(rows), "variety"),
+        M.change_point(rows).select("chat", F.col("month").alias("change_month"), F.col("drop").alias("change_drop")),
+        months,
+        phrase_lists(rows),
+        R.deleted_count(rows, counters),
+    ]
+    if vectors is not None:
+        parts.append(R.semantic(rows, vectors).select("chat", "sync_me", "sync_other", "style_score"))
+    return reduce(lambda a, b: a.join(b, "chat", "left"), parts, pair(M.message_count(rows), "count"))
+
+
+def metric_cards(rows: DataFrame, vectors: DataFrame | None = None, counters: DataFrame | None = None) -> DataFrame:
+    """(chat, metric, kind, me, other, value, max, unit, note, text, chips_me, chips_other): how each metric with an open gate is shown.
+
+    A card is a pair of both sides, a single value (with a largest one for a bar), lists of
+    words, or a text where there is no value.
+    """
+    whole = lambda c: half_up(F.col(c) * 100)
+    round_ = lambda c: half_up(F.col(c))
+    fast = lambda w: F.when(F.coalesce(F.col(f"{w}_n"), F.lit(0)) == 0, 0).otherwise(half_up(F.col(f"{w}_fast") / F.col(f"{w}_n") * 100))
     month = lambda c: F.substring(c, 6, 2).cast("int").cast("string")
-    text = lambda *parts: F.concat(*[p if isinstance(p, Column) else F.lit(p) for p in parts])
-    variety = M.emoji_variety(rows).select("chat", F.col("me").alias("variety_me"), F.col("other").alias("variety_other"))
-    all_ = r.join(replies, "chat", "left").join(months, "chat", "left").join(variety, "chat", "left").join(R.deleted_count(rows), "chat", "left")
+    text = lambda *parts: F.concat(*[p.cast("string") if isinstance(p, Column) else F.lit(p) for p in parts])
+    nothing = F.array().cast("array<string>")
+    cooled = F.col("change_month").isNotNull()
     cards = [
         card("msgCount", "pair", F.col("count_me"), F.col("count_other"), unit="건"),
         card("msgLength", "pair", F.col("length_me"), F.col("length_other"), unit="자"),
-        card("questionRate", "pair", F.col("question_me"), F.col("question_other"), unit="%", note="질문이 담긴 차례의 비율"),
-        card("deletedCount", "single", value=F.col("deleted"), unit="건", note=F.when(F.col("deleted") > 0, "지웠다는 것만 남아 있어요").otherwise("지운 메시지가 없어요")),
-        card("initiation", "pair", half_up(F.col("initiation_me")), half_up(F.col("initiation_other")), unit="%", note="먼저 말을 건 비율"),
-        card("noReply", "pair", half_up(F.col("noreply_me")), half_up(F.col("noreply_other")), unit="%", note="말을 걸었는데 답이 안 온 비율"),
-        card("replyDist", "pair", fast("me"), fast("other"), unit="%", note=text("5분 안에 답한 비율 · 표본 ", (F.col("me_n") + F.col("other_n")).cast("string"))),
-        card("emojiVariety", "pair", whole("variety_me"), whole("variety_other"), unit="%", note="같은 것만 반복하면 낮다"),
-        card("changePoint", "single", value=F.col("change_drop"), unit="%", note=F.coalesce(text(month(F.col("change_month")), "월부터 줄었어요"), F.lit("뚜렷하게 식은 지점은 없어요"))),
-        card("monthly", "single", value=F.col("span"), unit="개월", note=text("가장 뜨거웠던 달은 ", month(F.col("top.month")), "월 (", (-F.col("top.few")).cast("string"), "건)")),
+        card("questionRate", "pair", whole("question_me"), whole("question_other"), unit="%", note=QUESTION_NOTE),
+        card("replyDist", "pair", fast("me"), fast("other"), unit="%", note=text(REPLY_NOTE, F.coalesce("me_n", F.lit(0)) + F.coalesce("other_n", F.lit(0)))),
+        card("initiation", "pair", round_("initiation_me"), round_("initiation_other"), unit="%", note=text(SESSIONS_NOTE[0], F.col("initiation_sessions"), SESSIONS_NOTE[1], F.when(F.col("wake_adjusted"), "").otherwise(NO_WAKE_NOTE))),
+        card("noReply", "pair", round_("noreply_me"), round_("noreply_other"), unit="%", note=SILENT_NOTE),
+        card("monthly", "single", value=F.col("span"), unit="개월", note=text(HOTTEST[0], month(F.col("top.month")), HOTTEST[1], -F.col("top.few"), HOTTEST[2])),
+        card("changePoint", F.when(cooled, "single").otherwise("text"), value=F.col("change_drop"), most=F.when(cooled, 100), unit=F.when(cooled, "%"), note=F.when(cooled, text(month(F.col("change_month")), COOLED)), text=F.when(~cooled, NO_CHANGE)),
+        card("phraseGap", "chips", note=PHRASE_NOTE, unit=None, chips=(F.coalesce("chips_me", nothing), F.coalesce("chips_other", nothing))),
+        card("deletedCount", "single", value=F.col("deleted"), unit="건", note=F.when(F.col("deleted") > 0, DELETED_NOTE).otherwise(NOTHING_DELETED)),
+        card("emojiAffect", "pair", F.col("affect_me"), F.col("affect_other"), note=AFFECT_NOTE),
+        card("emojiVariety", "pair", whole("variety_me"), whole("variety_other"), unit="%", note=VARIETY_NOTE),
     ]
-    listed = all_.select("chat", F.explode(F.array(*cards)).alias("c")).select("chat", "c.*")
-    return listed.join(R.metric_status(rows).where("status = 'OK'").select("chat", "metric"), ["chat", "metric"])
+    if vectors is not None:
+        cards.append(card("syncAsym", "pair", F.col("sync_me"), F.col("sync_other"), note=SYNC_NOTE))
+        cards.append(card("styleSep", "single", value=F.col("style_score"), most=100, note=STYLE_NOTE))
+    listed = shown_values(rows, vectors, counters).select("chat", F.explode(F.array(*cards)).alias("c")).select("chat", "c.*")
+    return listed.join(R.metric_status(rows, vectors).where("status = 'OK'").select("chat", "metric"), ["chat", "metric"])
 
 
 def hottest_month(rows: DataFrame) -> DataFrame:
@@ -71,15 +122,42 @@ def hottest_month(rows: DataFrame) -> DataFrame:
     return M.monthly(rows).groupBy("chat").agg(F.min(F.struct((-F.col("messages")).alias("few"), "month")).alias("top")).select("chat", F.col("top.month").alias("month"), (-F.col("top.few")).alias("messages"))
 
 
-def phrase_chips(messages: DataFrame, most: int = 3) -> DataFrame:
-    """The first phrases of each side, as a reader sees them."""
-    found = P.phrase_gap(messages).where(F.col("place") <= most)
-    return found.groupBy("chat", "side").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", "gram"))), lambda x: x["gram"]), " · ").alias("chips"))
-
-
 register("evidence_badge", over_events(evidence_badge), O.on_events("SELECT chat, '메시지 ' || format('{:,}', count(*)) || '개 중 최근 ' || count(*) FILTER (win) || '개로 산출 · ' || (date_diff('month', min(date)::DATE, max(date)::DATE) + 1) || '개월 · 세션 ' || count(DISTINCT sess) || '개' AS badge FROM e GROUP BY chat"))
 register("hottest_month", over_orders(hottest_month), O.on_orders("SELECT chat, month, messages FROM (SELECT *, row_number() OVER (PARTITION BY chat ORDER BY messages DESC, month) AS k FROM mo) WHERE k = 1"))
-register("metric_cards", over_events(metric_cards))
+
+
+def _card_sql(metric: str, frame: str, kind: str = "'pair'", me: str = "NULL", other: str = "NULL", value: str = "NULL", most: str = "NULL", unit: str = "NULL", note: str = "NULL", text: str = "NULL", chips: tuple[str, str] = ("NULL", "NULL")) -> str:
+    """The card of one metric over the chats whose gate is open."""
+    return f"""SELECT s.chat, s.metric, {kind} AS kind, ({me})::DOUBLE AS me, ({other})::DOUBLE AS other, ({value})::DOUBLE AS value, ({most})::DOUBLE AS max, {unit} AS unit, {note} AS note, {text} AS text,
+  ({chips[0]})::VARCHAR AS chips_me, ({chips[1]})::VARCHAR AS chips_other FROM (SELECT * FROM st WHERE metric = '{metric}' AND status = 'OK') s LEFT JOIN {frame} v ON v.chat = s.chat"""
+
+
+UP, PCT = O.up, lambda c: O.up(f"({c}) * 100")
+CARDS = " UNION ALL ".join([
+    _card_sql("msgCount", "cnt", me="v.me", other="v.other", unit="'건'"),
+    _card_sql("msgLength", "ml", me="v.me", other="v.other", unit="'자'"),
+    _card_sql("questionRate", "qr", me=PCT("v.me"), other=PCT("v.other"), unit="'%'", note=f"'{QUESTION_NOTE}'"),
+    _card_sql("replyDist", "rd", me=f"CASE WHEN me_n > 0 THEN {PCT('me_fast / me_n::DOUBLE')} ELSE 0 END", other=f"CASE WHEN other_n > 0 THEN {PCT('other_fast / other_n::DOUBLE')} ELSE 0 END", unit="'%'", note=f"'{REPLY_NOTE}' || (me_n + other_n)"),
+    _card_sql("initiation", "init", me=UP("v.me"), other=UP("v.other"), unit="'%'", note=f"'{SESSIONS_NOTE[0]}' || sessions || '{SESSIONS_NOTE[1]}' || CASE WHEN wake_adjusted THEN '' ELSE '{NO_WAKE_NOTE}' END"),
+    _card_sql("noReply", "nr", me=UP("v.me_rate"), other=UP("v.other_rate"), unit="'%'", note=f"'{SILENT_NOTE}'"),
+    _card_sql("monthly", "(SELECT *, row_number() OVER (PARTITION BY chat ORDER BY messages DESC, month) AS k FROM mo QUALIFY k = 1)", kind="'single'", value="v.span", unit="'개월'", note=f"'{HOTTEST[0]}' || v.month[6:7]::INT || '{HOTTEST[1]}' || v.messages || '{HOTTEST[2]}'"),
+    _card_sql("changePoint", "cp", kind="CASE WHEN v.month IS NULL THEN 'text' ELSE 'single' END", value="v.drop", most="CASE WHEN v.month IS NOT NULL THEN 100 END", unit="CASE WHEN v.month IS NOT NULL THEN '%' END", note=f"v.month[6:7]::INT || '{COOLED}'", text=f"CASE WHEN v.month IS NULL THEN '{NO_CHANGE}' END"),
+    _card_sql("phraseGap", f"(SELECT chat, string_agg(gram, ' · ' ORDER BY place) FILTER (side = 'me' AND place <= {CHIPS}) AS cm, string_agg(gram, ' · ' ORDER BY place) FILTER (side = 'other' AND place <= {CHIPS}) AS co FROM pg GROUP BY chat)", kind="'chips'", note=f"'{PHRASE_NOTE}'", chips=("coalesce(cm, '')", "coalesce(co, '')")),
+    _card_sql("deletedCount", "(SELECT chat, count(*) FILTER (type = 'deleted') AS n FROM e GROUP BY chat)", kind="'single'", value="v.n", unit="'건'", note=f"CASE WHEN v.n > 0 THEN '{DELETED_NOTE}' ELSE '{NOTHING_DELETED}' END"),
+    _card_sql("emojiAffect", "ea", me="v.me", other="v.other", unit="''", note=f"'{AFFECT_NOTE}'"),
+    _card_sql("emojiVariety", "vy", me=PCT("v.me"), other=PCT("v.other"), unit="'%'", note=f"'{VARIETY_NOTE}'"),
+])
+CARD_PARTS = (O.STATUS, "ml AS (SELECT chat, " + O.up("len_me", 2) + " AS me, " + O.up("len_other", 2) + " AS other FROM cnt)", f"vy AS ({VARIETY})", O.GRAMS.replace("\ntx AS", "\ntx_ AS", 1).replace("FROM tx)", "FROM tx_)"))
+
+
+def listed_cards(rows: DataFrame) -> DataFrame:
+    """The cards with their words in one text."""
+    return metric_cards(rows).withColumns({c: F.array_join(c, " · ") for c in ("chips_me", "chips_other")})
+
+
+register("metric_cards", over_events(listed_cards), O.on_events(f"SELECT * FROM ({CARDS})", *CARD_PARTS))
+register("metric_cards_orders", over_orders(listed_cards), O.on_orders(f"SELECT * FROM ({CARDS})", *CARD_PARTS))
+register("metric_cards_turns", over_pooled(lambda m: listed_cards(S.enriched(m))), O.q(f"SELECT * FROM ({CARDS})", O.POOLED, O.MARKED, O.METRICS, *CARD_PARTS))
 UNITS = ", ".join(f"('{k}', '{v}')" for k, v in D.SAMPLE_UNITS.items())
 register(
     "status_message",
@@ -135,29 +213,3 @@ def csv_table(spark: SparkSession, d: str) -> DataFrame:
 CSV = "cv AS (SELECT user_id // 3 AS chat, event_id, date_trunc('minute', ts) AS t, event_id % 50 = 7 AND (user_id // 3) % 3 < 2 AS bad, event_id % 5 = 0 AS many FROM events)"
 register("csv_stats", lambda spark, d: C.csv_stats(csv_table(spark, d)).select("chat", "messages", "unparsed", "deleted", "multiline", "midnight"), O.q("SELECT chat, count(*) FILTER (NOT bad) AS messages, count(*) FILTER (bad) AS unparsed, 0 AS deleted, count(*) FILTER (many AND NOT bad) AS multiline, count(*) FILTER (hour(t) = 0 AND NOT bad) AS midnight FROM cv GROUP BY chat", CSV))
 register("csv_messages", lambda spark, d: C.csv_messages(csv_table(spark, d)).select("chat", "pos", "name", "ts", "time"), O.q("SELECT chat, row_number() OVER (PARTITION BY chat ORDER BY t, event_id) - 1 AS pos, 'n' || event_id % 2 AS name, epoch_ms(t) AS ts, strftime(t, '%H:%M') AS time FROM cv WHERE NOT bad", CSV))
-
-
-def screen_table(spark: SparkSession, d: str) -> DataFrame:
-    """Events as lines on a screen: a date, each message in two pieces with its time beside it, and the input field below."""
-    m = from_events(spark, d).select("chat", "seq", "who", "time", "date")
-    mine = F.col("who") == "me"
-    y = F.col("seq") * 60.0 + 60
-    page = F.col("chat").alias("page")
-    body = F.concat(F.lit("안녕하세요 반갑습니다"), (F.col("seq") % 10).cast("string"))
-    parts = F.array(*[F.struct(F.lit(i).alias("part"), F.split(body, " ").getItem(i).alias("text"), (F.when(mine, 330.0).otherwise(62.0) + 130 * i).alias("x0"), F.when(mine & F.lit(i == 1), 578.0).otherwise(F.when(mine, 330.0).otherwise(62.0) + 120 + 128 * i).alias("x1")) for i in (0, 1)])
-    pieces = m.select(page, "seq", y.alias("y0"), F.inline(parts)).select("page", (F.col("seq") * 4 + F.col("part")).alias("line"), "text", "x0", "y0", "x1", (F.col("y0") + 32).alias("y1"))
-    at = F.when(mine, 240.0).otherwise(330.0)
-    times = m.select(page, (F.col("seq") * 4 + 2).alias("line"), D.display_time(F.col("time")).alias("text"), at.alias("x0"), (y + 10).alias("y0"), (at + 70).alias("x1"), (y + 28).alias("y1"))
-    ends = m.groupBy("chat").agg(F.max("seq").alias("last"), F.min("date").alias("date"))
-    head = ends.select(page, F.lit(-2).cast("long").alias("line"), D.display_date(F.col("date")).alias("text"), F.lit(200.0).alias("x0"), F.lit(10.0).alias("y0"), F.lit(400.0).alias("x1"), F.lit(40.0).alias("y1"))
-    low = F.col("last") * 60.0 + 200
-    foot = ends.select(page, F.lit(-1).cast("long").alias("line"), F.lit("메시지 입력").alias("text"), F.lit(62.0).alias("x0"), low.alias("y0"), F.lit(200.0).alias("x1"), (low + 32).alias("y1"))
-    lines = pieces.union(times).union(head).union(foot).join(ends.select(page, (F.col("last") * 60.0 + 300).alias("height")), "page")
-    return lines.select("page", "line", "text", "x0", "y0", "x1", "y1", F.lit(0.9).alias("confidence"), F.lit(600.0).alias("width"), "height")
-
-
-register(
-    "screen_messages",
-    lambda spark, d: V.screen_messages(screen_table(spark, d)).select("page", "seq", "who", "date", "time", "text"),
-    O.on_events("SELECT chat AS page, seq, who, min(date) OVER (PARTITION BY chat) AS date, time, '안녕하세요 반갑습니다' || (seq % 10) AS text FROM m"),
-)

@@ -231,7 +231,8 @@ def test_lines_of_a_screen_become_messages(spark):
         ("me", "2024-03-01", "09:07", "네 안녕하세요"),
         ("other", "2024-03-01", "09:08", "ㅇㅇ ㅜㅜ"),
     ]
-    assert screens.without_outliers([10.0, 500.0, 540.0, 585.0, 620.0]) == (500.0, 620.0)
+    stamps = [(1, i, "오전 9:05", 0.0, y - 8, 60.0, y + 8, 0.9, 600.0, 700.0) for i, y in enumerate([620.0, 500.0, 10.0, 585.0, 540.0])]
+    assert sorted(r["at"] for r in screens.times_of(spark.createDataFrame(stamps, screens.LINE_SCHEMA)).collect()) == [500.0, 540.0, 585.0, 620.0]
 
 
 def test_a_report_below_the_floor_holds_one_fact(chat):
