@@ -55,6 +55,11 @@ def whole_row(df: DataFrame) -> Column:
     return F.struct(*[F.col(f"`{c}`") for c in df.columns])
 
 
+def one_row(row: str) -> Column:
+    """An aggregate: one of the rows in the column ``row``, the same one in every run; types without an order, as maps, may be in it."""
+    return F.min_by(row, F.md5(F.to_json(F.struct(row)).cast("binary")))
+
+
 def words_in(text: Column) -> Column:
     """Number of words in ``text``; null counts as empty."""
     return F.regexp_count(F.coalesce(text, F.lit("")), F.lit(WORD)).cast("long")

@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, lean, maybe_broadcast, stored, whole_row
+from .common import bounded_batches, lean, maybe_broadcast, one_row, stored, whole_row
 
 #: Hashes of groups are sent to all executors (24 bytes each) up to this many;
 #: beyond it the texts are joined with them by a shuffle.
@@ -96,7 +96,7 @@ def find_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "max") -> DataFrame:
-    """The rows of ``docs`` that stay, all columns; of rows that repeat an id and a text the least one."""
+    """The rows of ``docs`` that stay, all columns; of rows that repeat an id and a text one of them."""
 
     @F.pandas_udf("string")
     def digest(texts: pd.Series) -> pd.Series:
@@ -107,4 +107,4 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ke
     found = rows.join(copies.where("kept").drop("kept"), F.col("_own").eqNullSafe(F.col("_id")) & (F.col("_digest") == F.col("_sha")), "left_semi")
     if copies.groupBy("_id", "_sha").count().where("count > 1").isEmpty():
         return found.select("_row.*")  # no id is repeated with its text, so every row found stays
-    return found.groupBy("_own", "_digest").agg(F.min("_row").alias("_row")).select("_row.*")
+    return found.groupBy("_own", "_digest").agg(one_row("_row").alias("_row")).select("_row.*")

@@ -46,7 +46,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, lean, maybe_broadcast, stored, whole_row
+from .common import bounded_batches, lean, maybe_broadcast, one_row, stored, whole_row
 from .components import connected_components
 
 SHINGLE = 5
@@ -523,7 +523,7 @@ def similarity_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that stay, all columns: of each component the one with the smallest id.
 
-    Of rows that repeat an id and a set of features the least one stays.
+    Of rows that repeat an id and a set of features one of them stays.
     """
     found = similarity_join(docs, id_col, text_col).where(F.col(id_col).eqNullSafe(F.col("component_id")))
     found = stored(found.select(F.col(id_col).alias("_id"), F.col("text_md5").alias("_md5"), F.col("set").alias("_set")), "join-kept")
@@ -533,4 +533,4 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     if found.groupBy("_id").count().where("count > 1").isEmpty():
         return both.select("_row.*")  # no id is repeated, so every row found stays
     # Texts without features are no copies of each other unless they are equal.
-    return both.groupBy("_own", "_set", F.when(F.col("_set").isNull(), F.col("_key"))).agg(F.min("_row").alias("_row")).select("_row.*")
+    return both.groupBy("_own", "_set", F.when(F.col("_set").isNull(), F.col("_key"))).agg(one_row("_row").alias("_row")).select("_row.*")
