@@ -13,15 +13,15 @@ Defined results: a null or empty text has no features and gets the score of the
 bias alone. An id with several labels counts as toxic if one of them is. Without
 labels of both kinds every score is the share of toxic labels (0 if there are none).
 Every row gives one row. An empty table gives an empty result. Columns other than
-id, text and label are not read.
+id, text and label are not read. Ties between features go to the smaller word.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
-from itertools import islice
 
 import numpy as np
 import pandas as pd
@@ -70,8 +70,6 @@ IDENTITY_TERMS = {
     "es orientation": ("homosexual", "lesbiana", "heterosexual", "bisexual"),
     "es ability": ("ciego", "sordo", "discapacitado", "autista"),
 }
-#: Swaps that a labelled text gives at most.
-SWAPS_PER_TEXT = 50
 
 
 def others_of(term: str) -> list[str]:
@@ -90,24 +88,32 @@ def features_of(text: str | None) -> set[str]:
     return {f for w in set(WORDS.findall((text or "").lower())) for f in features_of_word(w)}
 
 
-def swapped(text: str | None) -> Iterator[str]:
-    """The text with one group term of one sentence swapped for another, at every place of that sentence; SWAPS_PER_TEXT at most."""
+def swap_changes(text: str | None) -> Counter:
+    """What swaps do to a text's features: (features that come, features that go) and how many swaps do just that.
 
-    def all_swaps() -> Iterator[str]:
-        at, low = 0, (text or "").lower()
-        for sentence in SENTENCES.split(low):
-            at = low.index(sentence, at)
-            for term in sorted(OTHERS.keys() & set(WORDS.findall(sentence))):
-                for other in OTHERS[term]:
-                    yield low[:at] + WORDS.sub(lambda m: other if m[0] == term else m[0], sentence) + low[at + len(sentence) :]  # noqa: B023
-            at += len(sentence)
-
-    return islice(all_swaps(), SWAPS_PER_TEXT)
+    A swap puts another term in the place of a group's term throughout one sentence. A feature goes
+    if nothing else in the text gives it, and comes if nothing gave it, so
+    counts of the text's words tell it, however many sentences there are.
+    """
+    sentences = [Counter(WORDS.findall(s)) for s in SENTENCES.split((text or "").lower())]
+    words = Counter()
+    for s in sentences:
+        words.update(s)
+    given = Counter(f for w in words for f in features_of_word(w))
+    out = Counter()
+    for s in sentences:
+        for term in OTHERS.keys() & s.keys():
+            gone = features_of_word(term) if words[term] == s[term] else []
+            for other in OTHERS[term]:
+                came = features_of_word(other) if other not in words else []
+                left = frozenset(f for f in gone if given[f] == 1 and f not in came)
+                out[frozenset(f for f in came if not given[f]), left] += 1
+    return out
 
 
 @dataclass
 class Model:
-    """``swaps``: how many swaps the fit used."""
+    """``swaps``: how many swaps the fit used, equal ones of a text counted each."""
 
     bias: float = -20.0
     weights: dict[str, float] = field(default_factory=dict)
@@ -120,17 +126,19 @@ class Model:
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str) -> DataFrame:
-    """(text, toxic) of at most SAMPLE labelled ids; the ids are few enough to send to all executors."""
+    """(text, toxic) of at most SAMPLE labelled ids; the ids are few enough to send to all executors. Of rows of one id the smallest text."""
     ids = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull() & ~held_out(F.col(id_col))).groupBy(F.col(id_col).alias("_id")).agg(F.max(label_col).alias("toxic"))
     few = ids.orderBy(F.xxhash64("_id"), "_id").limit(SAMPLE)
-    return docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).join(F.broadcast(few), "_id").select("_text", "toxic")
+    found = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).join(F.broadcast(few), "_id")
+    return found.groupBy("_id").agg(F.min("_text").alias("_text"), F.first("toxic").alias("toxic")).select("_text", "toxic")
 
 
-def fit_weights(texts: list[list[int]], toxic: np.ndarray, size: int, swaps: list[list[int]], swap_weight: float = SWAP_WEIGHT) -> tuple[float, np.ndarray]:
+def fit_weights(texts: list[list[int]], toxic: np.ndarray, size: int, swaps: list[list[int]], times: list[int], swap_weight: float = SWAP_WEIGHT) -> tuple[float, np.ndarray]:
     """Bias and weights by accelerated full-batch gradient steps (Adam).
 
-    A swap is the features that it brings (place + 1) and takes away (-place - 1).
+    A swap is the features that it brings (place + 1) and takes away (-place - 1), ``times`` how often it stands.
     """
+    share = np.array(times, float) / max(sum(times), 1)
     swap_of = np.repeat(np.arange(len(swaps)), [len(x) for x in swaps])
     moved = np.fromiter((f for x in swaps for f in x), np.int64)
     swap_at, sign = np.abs(moved) - 1, np.sign(moved).astype(float)
@@ -146,7 +154,7 @@ def fit_weights(texts: list[list[int]], toxic: np.ndarray, size: int, swaps: lis
         grad = np.append(np.bincount(at, left[of], minlength=size) / n + RIDGE * w[:-1], left.mean())
         if len(swaps):
             change = np.bincount(swap_of, sign * w[swap_at], minlength=len(swaps))
-            grad[:-1] += 2 * swap_weight * np.bincount(swap_at, sign * change[swap_of], minlength=size) / len(swaps)
+            grad[:-1] += 2 * swap_weight * np.bincount(swap_at, sign * (share * change)[swap_of], minlength=size)
         mean, square = 0.9 * mean + 0.1 * grad, 0.999 * square + 0.001 * grad**2
         w -= RATE * (mean / (1 - 0.9**step)) / (np.sqrt(square / (1 - 0.999**step)) + 1e-8)
     return float(w[-1]), w[:-1]
@@ -180,17 +188,20 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
             rows = []
             for text, one in zip(b["_text"], b["toxic"] > 0, strict=True):
                 own = {place[f] for f in features_of(text) if f in place}
-                new = [{place[f] for f in features_of(t) if f in place} for t in swapped(text)]
-                rows.append((sorted(own), [[*(x + 1 for x in n - own), *(-x - 1 for x in own - n)] for n in new], int(one)))
-            yield pd.DataFrame(rows, columns=["features", "swaps", "one"])
-
-    texts, toxic, swaps = [], [], []
-    for r in sample.mapInPandas(coded, "features array<int>, swaps array<array<int>>, one int").toLocalIterator():
+                changes = swap_changes(text)
+                coded_ = [sorted([*(place[f] + 1 for f in came if f in place), *(-place[f] - 1 for f in left if f in place)]) for came, left in changes]
+                rows.append((sorted(own), coded_, list(changes.values()), int(one)))
+            yield pd.DataFrame(rows, columns=["features", "swaps", "times", "one"])
+
+    texts, toxic, swaps, times = [], [], [], []
+    # A text gives no more different swaps than the lists have pairs of terms, however long it is.
+    for r in sample.mapInPandas(coded, "features array<int>, swaps array<array<int>>, times array<long>, one int").toLocalIterator():
         texts.append(r["features"])
         toxic.append(r["one"])
         swaps += r["swaps"]
-    bias, weights = fit_weights(texts, np.array(toxic, float), len(place), swaps, swap_weight)
-    return Model(bias, {f: float(weights[i]) for f, i in place.items() if weights[i]}, len(swaps))
+        times += r["times"]
+    bias, weights = fit_weights(texts, np.array(toxic, float), len(place), swaps, times, swap_weight)
+    return Model(bias, {f: float(weights[i]) for f, i in place.items() if weights[i]}, sum(times))
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
