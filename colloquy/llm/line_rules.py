@@ -36,6 +36,8 @@ MAX_DOCS_PERCENT = 1
 MIN_LEFT_PERCENT = 30
 #: Frequent lines (16 bytes and a host each) that are sent to all executors at most.
 LINES_TO_BROADCAST = 200_000
+#: Frequent lines of a host that each line of a text is compared with one by one, at most.
+FEW_LINES = 64
 
 
 def base_measures(text: Column) -> dict[str, Column]:
@@ -80,8 +82,13 @@ def normalised(line: Column) -> Column:
     return F.trim(F.regexp_replace(F.regexp_replace(F.lower(line), "[0-9]", "0"), f"{SPACE}+", " "))
 
 
+def line_name(line: Column) -> Column:
+    """The hash of a line in hexadecimal: texts are compared by hashing, bytes in arrays one by one."""
+    return F.md5(normalised(line).cast("binary"))
+
+
 def line_hash(line: Column) -> Column:
-    return F.unhex(F.md5(normalised(line).cast("binary")))
+    return F.unhex(line_name(line))
 
 
 def text_hash(text: Column) -> Column:
@@ -98,8 +105,8 @@ def base_rules(text: Column) -> dict[str, Column]:
 
 
 def without_lines(text: Column, gone: Column) -> Column:
-    """(n_removed_lines, n_removed_words, clean) of a text without the lines whose hashes are in ``gone``."""
-    marked = F.transform(F.split(text, "\n"), lambda x: F.struct(x.alias("line"), (with_words(x) & F.array_contains(gone, line_hash(x))).alias("gone")))
+    """(n_removed_lines, n_removed_words, clean) of a text without the lines whose names are in ``gone``."""
+    marked = F.transform(F.split(text, "\n"), lambda x: F.struct(x.alias("line"), (with_words(x) & F.array_contains(gone, line_name(x))).alias("gone")))
 
     def cut(lines: Column) -> Column:
         out = F.filter(lines, lambda x: x["gone"])
@@ -126,19 +133,23 @@ def held_lines(rows: DataFrame) -> DataFrame:
 
 
 def with_gone(rows: DataFrame, frequent: DataFrame) -> DataFrame:
-    """``rows`` (_host, _text and more) with _gone: hashes of frequent lines that the text may hold.
+    """``rows`` (_host, _text and more) with _gone: names of frequent lines that the text may hold.
 
-    Few frequent lines are sent to all executors, those of a host together (with a limit in percent a
-    host can't have many). Else each text's hits are found by joins, and joined to it by host and hash.
+    Frequent lines are sent to all executors if they are few, those of a host together; of more than
+    FEW_LINES a text keeps those that it holds, found by hashing, before its lines are
+    compared with them. Else each text's hits are found by joins, and joined to it by host and hash.
     """
-    none = F.array().cast("array<binary>")
+    none = F.array().cast("array<string>")
+    name = F.lower(F.hex("_line"))
     if small_enough(frequent, LINES_TO_BROADCAST):
-        of_host = F.broadcast(frequent.groupBy(F.col("_host").alias("_h")).agg(F.collect_list("_line").alias("_lines")))
-        return rows.join(of_host, F.col("_host").eqNullSafe(F.col("_h")), "left").withColumn("_gone", F.coalesce("_lines", none)).drop("_h", "_lines")
+        of_host = F.broadcast(frequent.groupBy(F.col("_host").alias("_h")).agg(F.collect_list(name).alias("_lines")))
+        held = F.transform(F.filter(F.split("_text", "\n"), with_words), line_name)
+        own = F.when(F.size("_lines") > FEW_LINES, F.array_intersect(held, "_lines")).otherwise(F.col("_lines"))
+        return rows.join(of_host, F.col("_host").eqNullSafe(F.col("_h")), "left").withColumn("_gone", F.coalesce(own, none)).drop("_h", "_lines")
     same = lambda *pairs: reduce(and_, (F.col(a).eqNullSafe(F.col(b)) for a, b in pairs))
     lines = held_lines(rows).select("_host", "_doc", F.explode("_held").alias("_held")).distinct()
     hits = lines.join(frequent.withColumnRenamed("_host", "_h"), same(("_host", "_h"), ("_held", "_line")))
-    hits = stored(hits.groupBy(F.col("_host").alias("_h"), F.col("_doc").alias("_d")).agg(F.collect_set("_line").alias("_lines")), "line-hits")
+    hits = stored(hits.groupBy(F.col("_host").alias("_h"), F.col("_doc").alias("_d")).agg(F.collect_set(name).alias("_lines")), "line-hits")
     return rows.withColumn("_doc", text_hash(F.col("_text"))).join(hits, same(("_host", "_h"), ("_doc", "_d")), "left").withColumn("_gone", F.coalesce("_lines", none)).drop("_doc", "_h", "_d", "_lines")
 
 

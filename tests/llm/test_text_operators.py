@@ -88,6 +88,30 @@ def test_columns_of_any_name_pass_through(spark, rows):
         assert found.count() == len(short)
 
 
+def test_rows_with_a_map_and_repeated_ids(spark, rows):
+    from pyspark.sql import functions as F
+
+    from colloquy.llm import exact_dedup, ngram_join
+
+    few = [r for r in rows if len(r[1] or "") < 3000]
+    df = spark.createDataFrame([(r[0], r[1], i % 3) for i, r in enumerate(few + few[::2])], "doc_id long, text string, k int").withColumn("extra", F.create_map(F.lit("k"), F.col("k"))).cache()
+    assert exact_dedup.keep_one(df).count() == exact_dedup.find_copies(df).where("kept").count()
+    kept = ngram_join.keep_one(df).collect()
+    assert len(kept) == len({(r["doc_id"], r["text"]) for r in kept}) and all(r["extra"] == {"k": r["k"]} for r in kept)
+
+
+def test_many_frequent_lines_of_a_host(spark, monkeypatch):
+    """More frequent lines than are compared one by one: every line but a document's own goes, by either way."""
+    shared = [f"Shared line number {'abcdefghij'[i % 10] * (i // 10 + 1)} of the host." for i in range(120)]
+    docs = [(i, "\n".join([*shared[i % 3 :: 3], *(f"own {'xyz'[i % 3] * (i + 1)} words of document {chr(97 + i % 26)} {j * 'w'}" for j in range(30))]), "h") for i in range(45)]
+    df = spark.createDataFrame(docs, "doc_id long, text string, source string")
+    for most in (200_000, -1):
+        monkeypatch.setattr(line_rules, "LINES_TO_BROADCAST", most)
+        got = line_rules.apply_line_rules(df).select("row.doc_id", "rules.n_removed_lines", "rules.clean_text").collect()
+        assert {r["doc_id"]: r["n_removed_lines"] for r in got} == dict.fromkeys(range(45), 40)
+        assert all(r["clean_text"] == docs[r["doc_id"]][1].split("\n", 40)[40] for r in got)
+
+
 def test_word_bpe_equals_the_library(docs, rows, none):
     t = library("word_bpe_49k.json")
     got = word_bpe.encode_decode(docs, tokenizer_path("word_bpe_49k.json")).collect()
@@ -185,6 +209,26 @@ def test_language_by_compression(spark, none):
     assert language_id.identify(none, {}).count() == 0 and language_id.identify(docs.limit(3), {}).first()["lang_pred"] == "und"
 
 
+def test_swaps_of_a_text_are_all_counted():
+    """Against swapping sentence by sentence; far more than any bound on swaps, and words that share beginnings."""
+    text = "The Muslim and the christian. A muslim sat.\nThe Hindu, the hindu! " + "One woman spoke. " * 300 + "Christians? christianity man."
+    want, low = Counter(), text.lower()
+    for m in toxicity.re.finditer(r"[^.!?\n]+", low):
+        for term in toxicity.OTHERS.keys() & set(toxicity.WORDS.findall(m[0])):
+            for other in toxicity.OTHERS[term]:
+                new = toxicity.features_of(low[: m.start()] + toxicity.WORDS.sub(lambda w: other if w[0] == term else w[0], m[0]) + low[m.end() :])  # noqa: B023
+                want[frozenset(new - toxicity.features_of(low)), frozenset(toxicity.features_of(low) - new)] += 1
+    assert toxicity.swap_changes(text) == want and want.total() > 300
+    assert toxicity.swap_changes(None) == Counter()
+
+
+def test_toxicity_reads_one_row_an_id(spark):
+    docs = spark.createDataFrame([(1, "b"), (1, "a"), (3, None)] * 5, "doc_id long, text string")
+    marks = spark.createDataFrame([(1, 1), (3, 0), (3, 0)], "doc_id long, toxic int")
+    got = toxicity.labelled_sample(docs, marks, "doc_id", "text", "toxic").collect()
+    assert all(r["_text"] in ("a", None) for r in got) and len(got) <= 2
+
+
 def test_toxicity_learns_and_spares_groups(spark, none):
     import random
 
