@@ -62,7 +62,7 @@ def records(s: Stretch) -> Iterator[tuple[str, int, str]]:
     name = os.path.basename(s.path)
     with open(s.path, "rb") as f:
         # A part that isn't the first looks from one pair before its start, so that a record starting there is its own.
-        at = s.start if s.first else s.start - len(END)
+        at = s.start if s.first else max(s.start - len(END), 0)
         f.seek(at)
         held, begun = b"", s.first
         while True:
