@@ -105,18 +105,36 @@ def bubbles(lines: DataFrame) -> DataFrame:
     return made.select("page", place.cast("long").alias("bubble"), "who", "b.text", "b.x0", "b.y0", "b.x1", "b.y1", F.col("b.n").alias("lines"), "b.confidence")
 
 
-def without_duplicates(lines: DataFrame) -> DataFrame:
-    """Lines of overlapping tiles once: of equal texts at the same place the surest stays."""
+#: Heights of a tile of a tall picture and of what it shares with the next.
+TILE, SHARED = 3000, 300
+
+
+def tiles(pages: DataFrame) -> DataFrame:
+    """(page, tile, top, bottom) from (page, height): the stretches in which a tall picture is read; they overlap, and the last ends with the picture."""
+    step = TILE - SHARED
+    last = F.greatest(F.ceil((F.col("height") - TILE) / step), F.lit(0)).cast("int")
+    each = pages.select("page", "height", F.explode(F.sequence(F.lit(0), last)).alias("tile"))
+    return each.select("page", "tile", (F.col("tile") * step).cast("double").alias("top"), F.least(F.col("height").cast("double"), (F.col("tile") * step + TILE).cast("double")).alias("bottom"))
+
 
-    def fold(group: pd.DataFrame) -> pd.DataFrame:
-        kept: list[tuple[float, float, int]] = []
-        for r in group.sort_values(["confidence", "line"], ascending=[False, True]).itertuples():
-            if not any(abs(r.x0 - x) <= SAME_PLACE and abs(r.y0 - y) <= SAME_PLACE for x, y, _ in kept):
-                kept.append((r.x0, r.y0, r.line))
-        return group[group["line"].isin([k for _, _, k in kept])].drop(columns="_text")
+def lines_of_tiles(read: DataFrame, pages: DataFrame) -> DataFrame:
+    """Lines of pages out of lines of their tiles (page, tile, ..., y0, y1 within the tile); what two tiles have read stays once."""
+    placed = read.join(tiles(pages).select("page", "tile", "top"), ["page", "tile"])
+    down = {c: F.col(c) + F.col("top") for c in ("y0", "y1")}
+    return without_duplicates(placed.withColumns(down).drop("tile", "top"))
 
-    keyed = lines.withColumn("_text", trim(F.col("text")))
-    return keyed.groupBy("page", "_text").applyInPandas(fold, lines.schema)
+
+def without_duplicates(lines: DataFrame) -> DataFrame:
+    """Lines of overlapping tiles once: of equal texts at the same place the surest stays, of equally sure ones the first.
+
+    A line that has gone hides no other. Equal texts of a page meet in one array, from the surest down.
+    """
+    near = lambda a, b: (F.abs(a["x0"] - b["x0"]) <= SAME_PLACE) & (F.abs(a["y0"] - b["y0"]) <= SAME_PLACE)
+    place = F.struct((-F.col("confidence")).alias("sure"), "line", "x0", "y0")
+    kind = lines.select(place.alias("p")).schema["p"].dataType.simpleString()
+    kept = F.aggregate(F.array_sort(F.collect_list(place)), F.array().cast(f"array<{kind}>"), lambda done, x: F.when(F.exists(done, lambda k: near(k, x)), done).otherwise(F.concat(done, F.array(x))))
+    found = lines.groupBy("page", trim(F.col("text")).alias("_text")).agg(kept.alias("_kept"))
+    return lines.join(found.select("page", F.explode("_kept").alias("_k")).select("page", F.col("_k.line").alias("line")), ["page", "line"], "left_semi").select(*lines.columns)
 
 
 def message_key(who: Column, text: Column, kind: Column, time: Column) -> Column:

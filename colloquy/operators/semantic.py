@@ -10,12 +10,25 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.numbers import half_up
+from ..functions.text import is_embed_skip
 
 #: Fixed seeds of the shuffled baseline, and the number of shuffles.
 SEEDS = {"me": 0x9E37, "other": 0x85EB}
 SHUFFLES = 20
 
 
+def texts_to_embed(rows: DataFrame) -> DataFrame:
+    """The distinct texts of all messages that say enough to be embedded, each once: what a model is given."""
+    said = (F.col("type") == "text") & F.col("text").isNotNull() & ~is_embed_skip(F.col("text"))
+    return rows.where(said).select("text").distinct()
+
+
+def with_vectors(rows: DataFrame, known: DataFrame) -> DataFrame:
+    """(chat, seq, who, v) of the messages whose text has a vector in ``known`` (text, v), one row a text; texts that say too little have none."""
+    said = rows.where((F.col("type") == "text") & ~is_embed_skip(F.col("text"))).select("chat", "seq", "who", "text")
+    return said.join(known.select("text", "v"), "text").select("chat", "seq", "who", "v")
+
+
 def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
 

@@ -10,11 +10,16 @@ from pyspark.sql import functions as F
 from ..functions.documents import collect_numbers
 from ..operators import metrics as M
 from ..operators import narrative as N
+from ..operators import pages as Pg
 from ..operators import prefixes as P
+from ..operators import scoring as G
+from ..operators import semantic as E
 from ..operators import sequence as S
+from ..sources.adapters import from_events
 from ..storage import shared_folder
 from ..streaming.records import RecordFiles
 from ..streaming.sessions import run_once
+from . import display
 from . import oracle as O
 from . import report as R
 from .queries import ALL, over_events, over_turns, register
@@ -128,3 +133,78 @@ def record_stream(spark: SparkSession, d: str) -> DataFrame:
 
 
 register("record_stream", record_stream, "SELECT event_id, event_type, CASE WHEN event_id % 9 = 0 THEN 3 ELSE 1 END AS rest FROM events")
+
+
+def known_vectors(spark: SparkSession, d: str, texts: DataFrame) -> DataFrame:
+    """(text, v): each distinct text with the vector that its length names in the table of vectors."""
+    v = spark.read.parquet(f"{d}/embeddings.parquet").select(F.col("vec_id").alias("_n"), F.col("embedding").cast("array<double>").alias("v"))
+    return texts.withColumn("_n", F.length("text") % 50).join(v, "_n").select("text", "v")
+
+
+def with_known(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    rows = S.enriched(from_events(spark, d))
+    return rows, E.with_vectors(rows, known_vectors(spark, d, E.texts_to_embed(rows)))
+
+
+SPOKEN = rf"""
+em_ AS (SELECT chat, seq, who, win, text FROM e WHERE type = 'text' AND text IS NOT NULL AND length_grapheme(regexp_replace(text, '[{O.BLANKS}.,!?~]', '', 'g')) > 2),
+ew_ AS (SELECT *, lag(who) OVER (PARTITION BY chat ORDER BY seq) AS w0 FROM em_ WHERE win),
+flv AS (SELECT chat, CASE WHEN chat IN (SELECT chat FROM em_) THEN list_append(fields, 'embedding') ELSE fields END AS fields FROM fl),
+ctv AS (SELECT ct.* EXCLUDE (wp), coalesce(p.n, 0) AS wp FROM ct LEFT JOIN (SELECT chat, count(*) FILTER (w0 <> who) AS n FROM ew_ GROUP BY chat) p USING (chat)),
+st AS ("""
+register("texts_to_embed", lambda spark, d: E.texts_to_embed(from_events(spark, d)), O.on_events("SELECT DISTINCT text FROM em_", O.STATUS.replace("\nst AS (", SPOKEN)))
+register(
+    "metric_status_vectors",
+    lambda spark, d: R.metric_status(*with_known(spark, d)),
+    O.on_events("SELECT chat, metric, status FROM st", O.STATUS.replace("\nst AS (", SPOKEN).replace("FROM fl f JOIN ct c", "FROM flv f JOIN ctv c")),
+)
+register("headline_vectors", lambda spark, d: R.headline(*with_known(spark, d)))
+register("metric_cards_vectors", lambda spark, d: display.metric_cards(*with_known(spark, d)).where("metric IN ('syncAsym', 'styleSep')").select("chat", "metric", "kind", "me", "other", "value", "max", "note"))
+register("tilt_spread", over_events(lambda e: G.spread(R.headline(e), "tilt", "window_filled")), O.on_events("SELECT count(*) AS chats, max(tilt) - min(tilt) AS tilt_spread, max(window_filled) - min(window_filled) AS window_filled_spread FROM hd"))
+
+
+def damaged(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Messages as they were, and as a bad recogniser gives them: some lost, blanks set, sides and times wrong."""
+    m = from_events(spark, d).withColumn("page", F.col("chat"))
+    truth = m.select("page", "seq", "who", F.when(F.col("seq") % 3 > 0, F.col("time")).alias("time"), "type", F.concat("text", F.lit(" "), (F.col("seq") % 9).cast("string")).alias("text"))
+    found = truth.where("seq % 7 <> 0").select(
+        "page", "seq", F.when(F.col("seq") % 11 == 0, "me").otherwise(F.col("who")).alias("who"), F.when(F.col("seq") % 5 > 0, F.col("time")).alias("time"), F.when(F.col("type") == "text", "text").otherwise("nontext").alias("type"), F.concat(F.lit(" "), F.replace("text", F.lit(" "), F.lit("\n "))).alias("text")
+    )
+    return found, truth
+
+
+DAMAGED = """
+tr AS (SELECT chat AS page, seq, who, CASE WHEN seq % 3 > 0 THEN time END AS time, type, replace(text || ' ' || (seq % 9), ' ', '') AS k FROM m),
+fo AS (SELECT page, seq, CASE WHEN seq % 11 = 0 THEN 'me' ELSE who END AS who, CASE WHEN seq % 5 > 0 THEN time END AS time, type, k FROM tr WHERE seq % 7 <> 0),
+f1 AS (SELECT page, k, count(*) AS n, arg_min(who, seq) AS who, arg_min({'t': time}, seq).t AS time FROM fo WHERE type = 'text' GROUP BY ALL),
+tm AS (SELECT t.page, t.who, t.time, f.k IS NOT NULL AS hit, f.who AS fw, f.time AS ft, coalesce(t.nth <= f.n, false) AS paired FROM (SELECT *, row_number() OVER (PARTITION BY page, k ORDER BY seq) AS nth FROM tr WHERE type = 'text') t LEFT JOIN f1 f ON f.page = t.page AND f.k = t.k)"""
+register(
+    "recognition_scores",
+    lambda spark, d: G.scores(*damaged(spark, d)),
+    O.on_events(
+        """SELECT page, texts, text_hits, paired, side_hits, timed, time_hits, pictures, holes FROM (SELECT page, count(*) AS texts, count(*) FILTER (hit) AS text_hits, count(*) FILTER (paired) AS paired, count(*) FILTER (fw = who) AS side_hits, count(time) AS timed, count(*) FILTER (ft = time) AS time_hits FROM tm GROUP BY page)
+  JOIN (SELECT page, count(*) FILTER (type <> 'text') AS pictures FROM tr GROUP BY page) USING (page) JOIN (SELECT page, count(*) FILTER (type <> 'text') AS holes FROM fo GROUP BY page) USING (page)""",
+        DAMAGED,
+    ),
+)
+
+
+def tiled_lines(spark: SparkSession, d: str) -> DataFrame:
+    """Order lines as lines of a tall page a month, read in tiles: what stands where two tiles overlap is read twice, a little apart."""
+    lines = spark.read.parquet(f"{d}/lineitem.parquet")
+    y = (F.col("l_orderkey") * 7 + F.col("l_linenumber")).cast("double") * 20
+    page = (F.col("l_orderkey") % 40).cast("long")
+    at = lines.select(page.alias("page"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("id"), (y % 20_000).alias("y"), F.concat(F.lit("t"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).cast("string")).alias("text")).distinct()
+    pages = at.groupBy("page").agg(F.lit(21_000.0).alias("height"))
+    read = at.join(Pg.tiles(pages), "page").where((F.col("y") >= F.col("top")) & (F.col("y") + 30 <= F.col("bottom")))
+    seen = read.select("page", "tile", (F.col("id") * 16 + F.col("tile")).alias("line"), "text", (F.lit(60.0) + F.col("tile") % 2 * 5).alias("x0"), (F.col("y") - F.col("top") + F.col("tile") % 2 * 9).alias("y0"), F.lit(200.0).alias("x1"), (F.col("y") - F.col("top") + 30).alias("y1"), (F.lit(0.5) + (F.col("tile") % 3) * 0.1).alias("confidence"), F.lit(600.0).alias("width"))
+    return Pg.lines_of_tiles(seen, pages)
+
+
+register(
+    "tile_lines",
+    lambda spark, d: tiled_lines(spark, d).select("page", "line", "text", "y0"),
+    """WITH at_ AS (SELECT DISTINCT l_orderkey % 40 AS page, l_orderkey * 10 + l_linenumber AS id, ((l_orderkey * 7 + l_linenumber) * 20 % 20000)::DOUBLE AS y FROM lineitem),
+rd_ AS (SELECT a.page, a.id, a.y, t.i, a.id * 16 + t.i AS line, 0.5 + (t.i % 3) * 0.1 AS c, row_number() OVER (PARTITION BY a.page, a.id ORDER BY (t.i % 3) DESC, t.i) AS k FROM at_ a JOIN (SELECT unnest(range(0, 8)) AS i) t ON a.y >= t.i * 2700 AND a.y + 30 <= least(21000, t.i * 2700 + 3000))
+SELECT page, line, 't' || id AS text, y + i % 2 * 9 AS y0 FROM rd_ WHERE k = 1""",
+)

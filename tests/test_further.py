@@ -142,3 +142,71 @@ def test_stream_of_records_by_the_runner(spark, tmp_path):
     spark.dataSource.register(records.RecordFiles)
     got = run_once(spark.readStream.format("crlf_records").option("path", f"file://{tmp_path}/in").load(), spark).collect()
     assert sorted((r["offset"], r["record"]) for r in got) == [(0, "1"), (3, "2")]
+
+
+def test_tiles_and_what_they_read_twice(spark):
+    from colloquy.operators import pages
+
+    made = pages.tiles(spark.createDataFrame([(1, 3000), (2, 3001), (3, 5700), (4, 5701), (5, 10)], "page long, height long")).collect()
+    want = {}
+    for page, height in ((1, 3000), (2, 3001), (3, 5700), (4, 5701), (5, 10)):
+        top, cuts = 0, []
+        while True:
+            cuts.append((float(top), float(min(height, top + 3000))))
+            if top + 3000 >= height:
+                break
+            top += 2700
+        want[page] = cuts
+    assert {p: sorted((r["top"], r["bottom"]) for r in made if r["page"] == p) for p in want} == want
+
+
+def test_duplicates_go_from_the_surest_down(spark):
+    """Against a walk over lines by confidence: a line that has gone hides no other."""
+    from colloquy.operators import pages
+
+    r = random.Random(11)
+    rows = [(p, i, r.choice(["a", "a ", "b"]), float(r.randint(0, 60)), float(r.randint(0, 60)), 0.0, 0.0, r.choice([0.5, 0.6, 0.7]), 600.0) for p in range(6) for i in range(40)]
+    df = spark.createDataFrame(rows, "page long, line long, text string, x0 double, y0 double, x1 double, y1 double, confidence double, width double")
+    kept = set()
+    for p in range(6):
+        done = []
+        for x in sorted((x for x in rows if x[0] == p), key=lambda x: (-x[7], x[1])):
+            if not any(k[2].strip() == x[2].strip() and abs(k[3] - x[3]) <= 12 and abs(k[4] - x[4]) <= 12 for k in done):
+                done.append(x)
+        kept |= {(p, x[1]) for x in done}
+    got = pages.without_duplicates(df)
+    assert {(x["page"], x["line"]) for x in got.collect()} == kept and got.columns == df.columns
+
+
+def test_what_a_file_is(spark, tmp_path):
+    from colloquy.sources import chats
+
+    files = {
+        "a.txt": "﻿Date,User,Message\n2024-01-01 10:00,나,안녕\n2024-01-01 10:01,하늘,응\n", "b.csv": "x\n", "c.txt": "하늘 님과 카카오톡 대화\n저장한 날짜 : 2025, 1, 2, 3\n", "d.txt": "a,b,c\n", "e.txt": "a,b\nc\n",
+        "f.txt": '"date" , x\n', "g.txt": "",
+    }
+    for name, body in files.items():
+        (tmp_path / name).write_text(body)
+    got = {r["file"].rsplit("/", 1)[1]: r["kind"] for r in chats.kinds_of_files(spark, str(tmp_path)).collect()}
+    assert got == {"a.txt": "csv", "b.csv": "csv", "c.txt": "text", "d.txt": "csv", "e.txt": "text", "f.txt": "csv"}
+
+
+def test_exports_and_tables_of_one_folder(spark, tmp_path):
+    from colloquy.sources import chats, exports
+
+    (tmp_path / "table.csv").write_text("Date,User,Message\n2024-01-01 10:00,나,안녕\n2024-01-01 10:01,하늘,응\n")
+    rows = spark.createDataFrame([(1, i, "me" if i % 2 else "other", 1_700_000_000_000 + i * 60_000, "2023-11-14", f"22:{13 + i:02d}", "text", f"t{i}", 2, None, None, None, 1.0) for i in range(4)], ROW)
+    (tmp_path / "talk.txt").write_text(exports.rendered(rows, "pc").collect()[0]["content"], newline="")
+    chosen = chats.kinds_of_files(spark, str(tmp_path)).where("kind = 'csv'").select("chat", F.lit("나").alias("name"))
+    got = chats.read_chats(spark, str(tmp_path), chosen).groupBy("chat").agg(F.count("*").alias("n")).collect()
+    assert sorted(r["n"] for r in got) == [2, 4]
+
+
+def test_recognition_scores(spark):
+    from colloquy.operators import scoring
+
+    kind = "page long, seq long, who string, time string, type string, text string"
+    truth = spark.createDataFrame([(1, 0, "me", "10:00", "text", "안 녕"), (1, 1, "me", None, "text", "응"), (1, 2, "other", "10:02", "text", "응"), (1, 3, "me", None, "photo", None), (2, 0, "me", "1:00", "text", "x")], kind)
+    found = spark.createDataFrame([(1, 0, "me", "10:00", "text", "안녕"), (1, 1, "other", "10:02", "text", "응\n"), (1, 2, "me", None, "nontext", None), (1, 3, "me", None, "nontext", None)], kind)
+    got = {r["page"]: tuple(r)[1:] for r in scoring.scores(found, truth).collect()}
+    assert got == {1: (3, 3, 2, 2, 2, 2, 1, 2), 2: (1, 0, 0, 0, 1, 0, 0, 0)}
