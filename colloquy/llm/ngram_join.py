@@ -38,7 +38,7 @@ from __future__ import annotations
 import hashlib
 from bisect import bisect_right
 from collections.abc import Callable, Iterator
-from itertools import chain, combinations
+from itertools import combinations
 
 import numpy as np
 import pandas as pd
@@ -71,7 +71,8 @@ IDS_TO_BROADCAST = 1_000_000
 CHUNK_CHARS = 1_000_000
 #: Features in a block of the sets that are compared with each other.
 BLOCK_FEATURES = 2_000_000
-CACHED_WORDS = 200_000
+#: Bytes of text whose words are hashed at a time, so that the running sums stay in a core's cache.
+PIECE = 1 << 17
 
 U = np.uint64
 FACTORS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], dtype=U)
@@ -84,25 +85,55 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U(31))
 
 
-class WordHashes(dict):
-    """Hashes of words, kept for the words seen first."""
-
-    def __missing__(self, word: bytes) -> int:
-        value = xxhash.xxh3_64_intdigest(word)
-        if len(self) < CACHED_WORDS:
-            self[word] = value
-        return value
+class WordHashes:
+    """Hashes of the words of texts, all words of a piece of text at once.
 
+    A word's hash is the sum of VALUE[byte] * BASE ** place over its bytes, modulo 2 ** 64: a difference of two
+    running sums over the piece, brought back to the word's start by the inverse of BASE.
+    """
 
-def shingle_sets(texts: list[str | None], hashes: dict[bytes, int]) -> tuple[np.ndarray, np.ndarray]:
+    BASE = 0x9E3779B97F4A7C15
+    VALUE = mixed(np.arange(1, 257, dtype=U) * U(0xD1342543DE82EF95))
+    SPACE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
+
+    def __init__(self) -> None:
+        powers = lambda base: np.cumprod(np.concatenate([np.ones(1, U), np.full(PIECE - 1, base, U)]), dtype=U)
+        self.up, self.down = powers(self.BASE), powers(pow(self.BASE, -1, 1 << 64))
+
+    def of(self, data: bytes) -> tuple[np.ndarray, np.ndarray]:
+        """The hash and the first byte of each word of ``data``; ASCII white space parts words."""
+        text = np.frombuffer(data, np.uint8)
+        inside = np.zeros(len(text) + 2, np.int8)
+        inside[1:-1] = ~self.SPACE[text]
+        turns = np.flatnonzero(np.diff(inside))
+        starts, ends = turns[::2], turns[1::2]
+        out = np.empty(len(starts), U)
+        at = 0
+        while at < len(starts):
+            to = int(np.searchsorted(ends, starts[at] + PIECE, "right"))
+            if to == at:  # a word that is longer than a piece
+                out[at] = xxhash.xxh3_64_intdigest(data[starts[at] : ends[at]])
+                at += 1
+                continue
+            low, high = int(starts[at]), int(ends[to - 1])
+            sums = np.zeros(high - low + 1, U)
+            np.cumsum(self.VALUE[text[low:high]] * self.up[: high - low], out=sums[1:])
+            first = starts[at:to] - low
+            out[at:to] = (sums[ends[at:to] - low] - sums[first]) * self.down[first]
+            at = to
+        return out, starts
+
+
+def shingle_sets(texts: list[str | None], hashes: WordHashes) -> tuple[np.ndarray, np.ndarray]:
     """Sorted distinct features of every text, one after the other, and where each text's begin and end.
 
-    bytes.lower() and bytes.split() know ASCII only.
+    bytes.lower() knows ASCII only.
     """
-    words = [(t or "").encode("utf-8", "surrogatepass").lower().split() for t in texts]
-    counts = np.fromiter(map(len, words), np.int64, len(words))
-    ends = np.cumsum(counts)
-    h = np.fromiter(map(hashes.__getitem__, chain.from_iterable(words)), U, int(counts.sum()))
+    data = [(t or "").encode("utf-8", "surrogatepass").lower() for t in texts]
+    h, starts = hashes.of(b" ".join(data))
+    begin = np.cumsum([0, *(len(d) + 1 for d in data)])
+    ends = np.searchsorted(starts, begin[1:])
+    counts = np.diff(ends, prepend=0)
     total = h * FACTORS[0] + U(SHINGLE)
     for j in range(1, SHINGLE):
         total[: max(len(h) - j, 0)] += h[j:] * FACTORS[j]

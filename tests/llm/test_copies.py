@@ -32,6 +32,23 @@ def check_copies(got, rows):
     assert Counter((r["doc_id"], r["keep_id"], r["group_size"], r["kept"], r["text_sha256"]) for r in got) == want
 
 
+def test_hashes_of_words_know_words_wherever_they_stand(monkeypatch):
+    """Equal words have equal hashes, others don't, in any piece, and beside words longer than a piece."""
+    import random
+
+    r = random.Random(3)
+    for piece in (8, 50, 1 << 17):
+        monkeypatch.setattr(ngram_join, "PIECE", piece)
+        words = ["".join(r.choice("abé한\u00a0") for _ in range(r.randint(1, 12))) for _ in range(400)] + ["x" * 60, "x" * 61]
+        text = "".join(r.choice(words) + r.choice([" ", "\t\n", "\x0b \x0c", "\r"]) for _ in range(3000))
+        data = (" " + text).encode()
+        got, starts = ngram_join.WordHashes().of(data)
+        want = re.findall(rb"[^\x20\x09-\x0D]+", data)
+        assert [m.start() for m in re.finditer(rb"[^\x20\x09-\x0D]+", data)] == starts.tolist()
+        assert len(set(zip(want, got.tolist(), strict=True))) == len(set(want)) == len(set(got.tolist()))
+    assert len(ngram_join.WordHashes().of(b"")[0]) == len(ngram_join.WordHashes().of(b" \n")[0]) == 0
+
+
 def test_exact_copies(docs, rows, none):
     check_copies(exact_dedup.find_copies(docs).collect(), rows)
     assert exact_dedup.find_copies(none).count() == 0
