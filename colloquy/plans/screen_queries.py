@@ -17,18 +17,18 @@ from .queries import register
 
 #: What a page is drawn with: heights of a line, of two lines, of a picture and of a divider; gaps; the first place.
 ONE, TWO, PICTURE, DIVIDER, GAP, ROOM, TOP = 32.0, 68.0, 100.0, 30.0, 28.0, 60.0, 100.0
-BODY, MORE, NAME = "안녕하세요 반갑습니다", "두 번째 줄입니다", "지연"
+BODY, MORE, NAME = "안녕하세요 정말로반갑습니다", "두 번째 줄입니다", "지연"
 
 
 def drawn(spark: SparkSession, d: str) -> DataFrame:
     """All events as messages with their place on the page of their chat.
 
-    Photos and stickers are pictures, but for the first and last message; every fifth text has two lines; a second divider
+    Stickers are pictures, but for the first and last message; every fifth text has two lines; a second divider
     stands in the middle, between two texts; names stand over texts that answer a text, if there are two such.
     """
     m = from_events(spark, d).select(F.col("chat").alias("page"), "seq", "who", "time", "date", "type")
     page, order = Window.partitionBy("page"), Window.partitionBy("page").orderBy("seq")
-    m = m.withColumn("last", F.max("seq").over(page)).withColumn("tx", (F.col("type") == "text") | (F.col("seq") == 0) | (F.col("seq") == F.col("last")))
+    m = m.withColumn("last", F.max("seq").over(page)).withColumn("tx", (F.col("type") != "emoticon") | (F.col("seq") == 0) | (F.col("seq") == F.col("last")))
     after_text = F.coalesce(F.lag("tx").over(order), F.lit(False)) & F.col("tx")
     m = m.withColumns({"after": after_text, "answers": after_text & (F.col("who") == "other") & (F.lag("who").over(order) == "me")})
     m = m.withColumn("divider", F.min(F.when(F.col("after") & (F.col("seq") * 2 > F.col("last")), F.col("seq"))).over(page))
@@ -73,7 +73,7 @@ def screen_table(spark: SparkSession, d: str) -> DataFrame:
 
 DRAWN = f"""
 d0 AS (SELECT chat AS page, seq, who, time, date, type, max(seq) OVER (PARTITION BY chat) AS last FROM m),
-d1 AS (SELECT *, type = 'text' OR seq = 0 OR seq = last AS tx FROM d0),
+d1 AS (SELECT *, type <> 'emoticon' OR seq = 0 OR seq = last AS tx FROM d0),
 d2 AS (SELECT *, tx AND coalesce(lag(tx) OVER o, false) AS after FROM d1 WINDOW o AS (PARTITION BY page ORDER BY seq)),
 d3 AS (SELECT *, min(seq) FILTER (after AND seq * 2 > last) OVER (PARTITION BY page) AS divider FROM d2),
 d4 AS (SELECT *, CASE WHEN NOT tx THEN {PICTURE} WHEN seq % 5 = 0 THEN {TWO} ELSE {ONE} END::DOUBLE AS tall, CASE WHEN seq = 0 THEN {TOP} WHEN seq = divider THEN {GAP + ROOM} ELSE {GAP} END::DOUBLE AS gap FROM d3),
@@ -135,8 +135,10 @@ def shuffled_pages(spark: SparkSession, d: str) -> DataFrame:
     """Messages on pages that share 5 with the next, numbered out of order; pages of even chats are longer, so there are few."""
     m = from_events(spark, d).withColumn("key", G.message_key(F.col("who"), F.col("text"), F.col("type"), F.col("time")))
     step = F.when(F.col("chat") % 2 == 0, 40).otherwise(20)
-    own = F.floor(F.col("seq") / step).cast("long")
-    again = F.when((F.col("seq") % step < 5) & (own > 0), F.array(own - 1, own)).otherwise(F.array(own))
+    # A page begins only where five messages are left, so that all neighbours share as many.
+    m = m.withColumn("last", F.max("seq").over(Window.partitionBy("chat")))
+    own = F.least(F.floor(F.col("seq") / step), F.greatest(F.floor((F.col("last") - 4) / step), F.lit(0))).cast("long")
+    again = F.when((F.col("seq") - own * step < 5) & (own > 0), F.array(own - 1, own)).otherwise(F.array(own))
     paged = m.select("chat", F.explode(again).alias("true"), "seq", "key")
     # Five and the next prime above any number of pages of a chat have no factor in common.
     return paged.select("chat", ((F.col("true") * 5 + 3) % 10_007).alias("page"), "true", "seq", "key").withColumn("page", F.when(F.col("chat") % 3 == 0, 10_007 - F.col("page")).otherwise((F.col("true") + 1) * 7919 % 10_007))
@@ -144,7 +146,8 @@ def shuffled_pages(spark: SparkSession, d: str) -> DataFrame:
 
 SHUFFLED = r"""
 ky AS (SELECT chat, seq, CASE WHEN chat % 2 = 0 THEN 40 ELSE 20 END AS step, who || ' ' || coalesce(regexp_replace(trim(text), '\s+', ' ', 'g'), '#' || type) || ' ' || coalesce(time, '') AS key FROM m),
-sp AS (SELECT chat, seq // step AS tru, seq, key FROM ky UNION ALL SELECT chat, seq // step - 1, seq, key FROM ky WHERE seq % step < 5 AND seq >= step),
+kz AS (SELECT *, least(seq // step, greatest(floor((max(seq) OVER (PARTITION BY chat) - 4) / step), 0))::BIGINT AS own FROM ky),
+sp AS (SELECT chat, own AS tru, seq, key FROM kz UNION ALL SELECT chat, own - 1, seq, key FROM kz WHERE seq - own * step < 5 AND own > 0),
 sq AS (SELECT *, CASE WHEN chat % 3 = 0 THEN 10007 - (tru * 5 + 3) % 10007 ELSE (tru + 1) * 7919 % 10007 END AS page FROM sp),
 sk AS (SELECT chat, tru, page, list(key ORDER BY seq) AS ks FROM sq GROUP BY ALL)"""
 register(
