@@ -7,7 +7,8 @@ the text of the row that stays, so a hash collision cannot merge two texts.
 Defined results: a null text counts as empty, and all empty texts are one
 group. Lower-casing touches A-Z only. A null id sorts before every other id. Of
 rows that repeat both id and text one is kept. An empty table gives an empty
-result. Columns other than the id and the text are not read.
+result. Texts of any length are hashed and compared whole.
+Columns other than the id and the text are not read.
 """
 
 from __future__ import annotations

@@ -8,8 +8,8 @@ base rules (too few words, or too many words in repeated 3-word windows).
 
 Defined results: a null text has no lines and no words, and fails the base
 rules. A null host is a host of its own. Rows that repeat host and text get
-equal results. Blank lines are never removed. An empty table gives an empty
-result. Rows come back whole in one column and the results in another, so that columns of
+equal results. Blank lines are never removed. Texts of any length are judged whole; the lines of one
+are an array in its row. An empty table gives an empty result. Rows come back whole in one column and the results in another, so that columns of
 any name pass through.
 """
 

@@ -6,8 +6,8 @@ one more time if a hash of its id falls below the fraction of the rate.
 
 Defined results: a null text has size 0. Sources rank by code point, null last,
 and take the weights in turn. A source without words has target 0 and rate 0.
-Rows that repeat an id draw alike. An empty table gives an empty result. Only
-the id, the text and the source decide; rows come back whole, so that columns of any name pass through.
+Rows that repeat an id draw alike. An empty table gives an empty result. Long
+texts are counted whole. Only the id, the text and the source decide; rows come back whole, so that columns of any name pass through.
 """
 
 from __future__ import annotations

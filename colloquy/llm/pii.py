@@ -11,8 +11,8 @@ Kinds of the base: email, ip, card, phone. Kinds that cues add: url, secret
 mod-97 test). Spans of different kinds may overlap.
 
 Defined results: a null text counts as empty and has no spans. Offsets are code points,
-end exclusive. Every row gives one row. An empty table gives an empty result. Only the id
-and the text are read.
+end exclusive. Every row gives one row. An empty table gives an empty result. Texts of
+any length are searched whole. Only the id and the text are read.
 """
 
 from __future__ import annotations

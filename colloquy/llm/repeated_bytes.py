@@ -1,4 +1,4 @@
-"""Removal of repeated byte strings by distributed prefix doubling.
+"""Removal of repeated byte strings by window minima and hashes of growing length.
 
 Task: every byte that is covered by a string of LENGTH bytes which also starts
 anywhere else, in the same document or another, is removed.

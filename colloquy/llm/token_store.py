@@ -23,7 +23,7 @@ long as it is remembered. A text with a special token is encoded whole.
 
 Defined results: a null text counts as empty and has its end id only. Null ids come
 first; rows that repeat an id follow each other and each has a recipe. An empty table
-gives an empty store. Only the id and the text are read.
+gives an empty store. Texts of any length are encoded whole, in bounded pieces. Only the id and the text are read.
 """
 
 from __future__ import annotations
