@@ -4,6 +4,10 @@ Each stage takes (spark, docs, sf_dir) and returns a DataFrame that is written a
 Parquet and read again as the next one's docs. All but the last keep the columns of
 documents. The last gives doc_id, n_tokens and digests of ids and decoded text,
 one row for each copy that the mix takes.
+
+Defined results: a null text or one of few words fails the base rules, so it goes in the first stage. Of rows that repeat an
+id and a text one stays in the second. A null source is a source of its own. Texts of any length are read whole. An empty
+table gives an empty result, and columns of any name and type pass through to the fourth stage.
 """
 
 from __future__ import annotations
