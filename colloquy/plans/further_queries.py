@@ -52,8 +52,7 @@ register("openings_turns", over_turns(openings), O.on_turns(f"SELECT * FROM ({OP
 def sentence_block(rows: DataFrame, vectors: DataFrame | None = None, crush: bool = False) -> DataFrame:
     """The block of each chat, from its headline, the values of its open gates and its figures."""
     opened = M.initiation(rows).select("chat", F.col("sessions").alias("initiation_sessions"))
-    r = R.reported(rows, vectors).drop("affect_gap", "change_month", "change_drop").join(opened, "chat", "left").join(R.figures(rows), "chat")
-    r = r.withColumn("affect_me", F.when(F.col("affect_gap").isNotNull(), F.col("affect_me")))
+    r = R.reported(rows, vectors).withColumns(R.figure_columns()).join(opened, "chat", "left")
     if vectors is not None:
         style = R.semantic(rows, vectors).select("chat", "style_score")
         open_ = R.metric_status(rows, vectors).where("metric = 'styleSep' AND status = 'OK'").select("chat")

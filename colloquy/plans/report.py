@@ -207,28 +207,30 @@ def odds(rows: DataFrame) -> DataFrame:
     return r.select("chat", F.explode(F.array(card("reciprocity", reciprocity), card("momentum", momentum))).alias("c")).select("chat", "c.*").where(F.col("used") >= LEAST_PARTS)
 
 
-def figures(rows: DataFrame) -> DataFrame:
-    """Numbers that a sentence about the conversation may use."""
-    r = reported(rows)
+def figure_columns() -> dict[str, Column]:
+    """Numbers that a sentence about the conversation may use, out of the columns of ``reported``."""
     share = half_up(F.col("count_me") / F.nullif(F.col("count_me") + F.col("count_other"), F.lit(0)) * 100)
     whole = lambda c: c.cast("long")
-    return r.select(
-        "chat",
-        whole(share).alias("share_me"),
-        whole(100 - share).alias("share_other"),
-        whole(F.abs(half_up(F.col("length_me") - F.col("length_other")))).alias("length_gap"),
-        whole(F.abs(half_up((F.col("question_me") - F.col("question_other")) * 100))).alias("question_gap"),
-        whole(half_up(F.when(F.col("initiation_me").isNotNull(), F.greatest("initiation_me", "initiation_other")))).alias("initiation_top"),
-        F.abs("affect_gap").alias("affect_gap"),
-        whole(half_up(F.when(F.col("noreply_me").isNotNull(), F.greatest("noreply_me", "noreply_other")))).alias("noreply_top"),
-        F.substring("change_month", 6, 2).cast("long").alias("change_month"),
-        F.col("change_drop"),
-    )
+    return {
+        "share_me": whole(share),
+        "share_other": whole(100 - share),
+        "length_gap": whole(F.abs(half_up(F.col("length_me") - F.col("length_other")))),
+        "question_gap": whole(F.abs(half_up((F.col("question_me") - F.col("question_other")) * 100))),
+        "initiation_top": whole(half_up(F.when(F.col("initiation_me").isNotNull(), F.greatest("initiation_me", "initiation_other")))),
+        "affect_gap": F.abs("affect_gap"),
+        "noreply_top": whole(half_up(F.when(F.col("noreply_me").isNotNull(), F.greatest("noreply_me", "noreply_other")))),
+        "change_month": F.substring("change_month", 6, 2).cast("long"),
+        "change_drop": F.col("change_drop"),
+    }
+
+
+def figures(rows: DataFrame) -> DataFrame:
+    return reported(rows).select("chat", *[c.alias(k) for k, c in figure_columns().items()])
 
 
 def strongest_signal(rows: DataFrame) -> DataFrame:
     """Which observation a fallback sentence is made of; flat if none is strong enough."""
-    r = reported(rows).withColumnsRenamed({"affect_gap": "signed_gap"}).drop("change_month", "change_drop").join(figures(rows), "chat")
+    r = reported(rows).withColumns({"signed_gap": F.col("affect_gap"), **figure_columns()})
     signals = [
         ("share", F.abs(F.col("share_me") - 50) / 25, F.col("share_me") >= 50),
         ("length", F.col("length_gap") / 12, F.col("length_me") >= F.col("length_other")),

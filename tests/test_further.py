@@ -210,3 +210,61 @@ def test_recognition_scores(spark):
     found = spark.createDataFrame([(1, 0, "me", "10:00", "text", "안녕"), (1, 1, "other", "10:02", "text", "응\n"), (1, 2, "me", None, "nontext", None), (1, 3, "me", None, "nontext", None)], kind)
     got = {r["page"]: tuple(r)[1:] for r in scoring.scores(found, truth).collect()}
     assert got == {1: (3, 3, 2, 2, 2, 2, 1, 2), 2: (1, 0, 0, 0, 1, 0, 0, 0)}
+
+
+def test_progress_of_stages_and_batches(spark, tmp_path):
+    import time
+
+    from colloquy.plans import progress
+    from colloquy.storage import run_folder
+
+    stages, batches = progress.Stages(), progress.Batches()
+    with run_folder(spark) as folder:
+        rows = stages.done("messages", sequence.enriched(spark.createDataFrame(chat_of(spark, 1, 90), ROW)))
+        gates = stages.done("gates", report.metric_status(rows))
+        stages.done("report", report.report(rows))
+        assert gates.count() == 14
+        local = folder.removeprefix("file:")
+        import os
+
+        assert len(os.listdir(local)) == 3
+    assert not os.path.exists(local)
+    assert [tuple(r) for r in stages.rows(spark).orderBy("place").collect()] == [(0, "messages", 90), (1, "gates", 14), (2, "report", 1)]
+    spark.streams.addListener(batches)
+    try:
+        for part in range(3):
+            spark.range(5 + part).coalesce(1).write.mode("append").parquet(str(tmp_path / f"in/part={part}"))
+        stream = spark.readStream.schema("id long").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in/*"))
+        run_once(stream, spark)
+        for _ in range(50):
+            if sum(x[2] for x in batches.seen) >= 18:
+                break
+            time.sleep(0.2)
+        assert sum(r["rows"] for r in batches.rows(spark).collect()) == 18 and batches.rows(spark).count() == 3
+    finally:
+        spark.streams.removeListener(batches)
+
+
+def test_the_seeded_baseline(spark):
+    """Against shuffles made here from the fixed generator and seeds."""
+    import math
+
+    from colloquy.operators import semantic
+
+    r = random.Random(4)
+    rows = [(7, i, r.choice(["me", "other"]), [r.uniform(-1, 1) for _ in range(5)]) for i in range(60)]
+    got = {x["responder"]: x for x in semantic.sync_seeded(semantic.reply_pairs(spark.createDataFrame(rows, "chat long, seq long, who string, v array<double>"))).collect()}
+    one = lambda v: [x / math.sqrt(sum(y * y for y in v)) for x in v]
+    dot = lambda a, b: sum(x * y for x, y in zip(a, b, strict=True))
+    for who, seed in semantic.SEEDS.items():
+        pairs = [(one(a[3]), one(b[3])) for a, b in zip(rows, rows[1:], strict=False) if a[2] != b[2] == who]
+        draw, means = semantic.mulberry(seed), []
+        for _ in range(semantic.SHUFFLES):
+            order = list(range(len(pairs)))
+            for i in reversed(range(1, len(pairs))):
+                j = math.floor(next(draw) * (i + 1))
+                order[i], order[j] = order[j], order[i]
+            far = [dot(pairs[i][0], pairs[j][1]) for i, j in enumerate(order) if i != j]
+            means.append(sum(far) / len(far))
+        raw = sum(dot(a, b) for a, b in pairs) / len(pairs)
+        assert got[who]["pairs"] == len(pairs) and abs(got[who]["raw"] - raw) < 6e-4 and abs(got[who]["net"] - (raw - sum(means) / len(means))) < 6e-4
