@@ -186,3 +186,33 @@ register(
     lambda spark, d: A.promote(*read_pictures(spark, d)).select("chat", "seq", "type", "emoji_desc", "valence", "intensity", "confidence"),
     O.on_events("SELECT m.chat, m.seq, CASE WHEN m.type = 'text' THEN 'text' ELSE coalesce(o.kind, 'nontext') END AS type, o.said[1:30] AS emoji_desc, o.v AS valence, CASE WHEN o.seq IS NOT NULL THEN 0.5::DOUBLE END AS intensity, CASE WHEN o.seq IS NOT NULL THEN 0.75 ELSE 1.0 END::DOUBLE AS confidence FROM m LEFT JOIN ok_ o ON o.chat = m.chat AND o.seq = m.seq", READ),
 )
+
+register(
+    "screen_trace",
+    lambda spark, d: V.traced(screen_table(spark, d)).groupBy("page", "fate").agg(F.count("*").alias("lines")),
+    O.on_events(
+        f"""SELECT page, fate, count(*) AS lines FROM (
+  SELECT page, unnest(CASE WHEN tx THEN list_concat(['body', 'joined'], CASE WHEN seq % 5 = 0 THEN ['body'] ELSE [] END, CASE WHEN page % 7 <> 3 THEN ['time'] ELSE [] END, CASE WHEN nm AND nn > 1 THEN ['name'] ELSE [] END, CASE WHEN seq = 0 THEN ['date'] ELSE [] END, CASE WHEN seq = last THEN ['control'] ELSE [] END, CASE WHEN seq = divider THEN ['date'] ELSE [] END)
+    ELSE list_concat(['glyph'], CASE WHEN page % 7 <> 3 THEN ['time'] ELSE [] END) END) AS fate
+  FROM (SELECT *, count(*) FILTER (nm) OVER (PARTITION BY page) AS nn FROM (SELECT *, coalesce(after AND who = 'other' AND lag(who) OVER (PARTITION BY page ORDER BY seq) = 'me' AND seq IS DISTINCT FROM divider, false) AS nm FROM d5))) GROUP BY ALL""",
+        DRAWN,
+    ),
+)
+
+
+def page_documents(spark: SparkSession, d: str) -> DataFrame:
+    """Order lines as JSON documents of pages, one an order; a line without a full box and a broken document are among them."""
+    lines = spark.read.parquet(f"{d}/lineitem.parquet").select("l_orderkey", "l_linenumber", F.col("l_quantity").cast("double").alias("q"))
+    box = F.when(F.col("q") % 7 == 0, F.array(F.lit(1.0))).otherwise(F.array(F.lit(1.5), F.col("q"), F.lit(2.0), F.col("q") + 20))
+    text = F.concat(F.lit('line "'), F.col("l_linenumber").cast("string"), F.lit('"'))
+    pages = lines.groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("l_linenumber", "q", text.alias("text"), box.alias("box"), F.lit(0.5).alias("confidence")))).alias("ls"))
+    whole = F.to_json(F.struct(F.lit(600).alias("width"), F.lit(900).alias("height"), F.transform("ls", lambda x: F.struct(x["text"].alias("text"), x["box"].alias("box"), x["confidence"].alias("confidence"))).alias("lines")))
+    return pages.select(F.col("l_orderkey").alias("page"), F.when(F.col("l_orderkey") % 10 == 0, F.substring(whole, 1, 30)).otherwise(whole).alias("document"))
+
+
+register(
+    "document_lines",
+    lambda spark, d: V.lines_of_documents(page_documents(spark, d)),
+    """SELECT page, line, text, 1.5::DOUBLE AS x0, q AS y0, 2.0::DOUBLE AS x1, q + 20 AS y1, 0.5::DOUBLE AS confidence, 600.0::DOUBLE AS width, 900.0::DOUBLE AS height FROM (
+  SELECT l_orderkey AS page, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_quantity) - 1 AS line, 'line "' || l_linenumber || '"' AS text, l_quantity::DOUBLE AS q FROM lineitem) WHERE q % 7 <> 0 AND page % 10 <> 0""",
+)

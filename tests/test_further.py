@@ -268,3 +268,15 @@ def test_the_seeded_baseline(spark):
             means.append(sum(far) / len(far))
         raw = sum(dot(a, b) for a, b in pairs) / len(pairs)
         assert got[who]["pairs"] == len(pairs) and abs(got[who]["raw"] - raw) < 6e-4 and abs(got[who]["net"] - (raw - sum(means) / len(means))) < 6e-4
+
+
+def test_tables_that_are_written_are_read_back(spark, tmp_path):
+    from colloquy.sources.tables import csv_message_rows, written_csv
+
+    texts = ["plain", 'a "quoted", word', "two\nlines", "끝,", None]
+    rows = spark.createDataFrame([(1, i, "me" if i % 2 else "other", 1_700_000_000_000 + i * 60_000, "2023-11-14", f"22:{13 + i:02d}", "text" if t else "photo", t, 2, None, None, None, 1.0) for i, t in enumerate(texts)], ROW)
+    (tmp_path / "a.csv").write_text(written_csv(rows).collect()[0]["content"], newline="")
+    read = csv_rows(spark, str(tmp_path))
+    chosen = read.select("chat", F.lit("나야").alias("name")).distinct()
+    got = csv_message_rows(read, chosen).orderBy("seq").collect()
+    assert [(r["who"], r["time"], r["type"], r["text"]) for r in got] == [(("me" if i % 2 else "other"), f"22:{13 + i:02d}", "text" if t else "photo", t) for i, t in enumerate(texts)]
