@@ -25,21 +25,27 @@ def char_class(ranges: str) -> str:
 
 
 EMOJI, PARTS = char_class(PICTOGRAPHIC), char_class(COMPONENT)
+#: Letters and marks that are no emoji and no part of one; a pattern looks at these few ranges before the many of emoji.
+NEVER = r"\x{20}-\x{22}\x{24}-\x{29}\x{2B}-\x{2F}\x{3A}-\x{A8}\x{AA}-\x{AD}\x{AF}-\x{2FF}\x{4E00}-\x{9FFF}\x{AC00}-\x{D7A3}"
+#: Characters of which each stands for itself beside any other of them.
+PLAIN = r"\x{20}-\x{7E}\x{A0}-\x{AC}\x{AE}-\x{2FF}\x{4E00}-\x{9FFF}\x{AC00}-\x{D7A3}"
 #: White space and the ends that a trim removes.
 BLANK = r"\s\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}"
+BLANKS = " \t\n\x0b\f\r\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000\ufeff"
 
 
 def trim(text: Column) -> Column:
-    return F.regexp_replace(text, rf"^[{BLANK}]+|[{BLANK}]+\z", "")
+    return F.btrim(text, F.lit(BLANKS))
 
 
 def grapheme_count(text: Column) -> Column:
-    """Characters as a reader sees them."""
-    return F.regexp_count(text, F.lit(r"\X")).cast("int")
+    """Characters as a reader sees them. Of a run of plain ones all but its ends are counted by lengths, the rest are matched."""
+    short = F.regexp_replace(text, f"([{PLAIN}])[{PLAIN}]+(?=[{PLAIN}])", "$1")
+    return (F.length(text) - F.length(short) + F.regexp_count(short, F.lit(r"\X"))).cast("int")
 
 
 def has_emoji(text: Column) -> Column:
-    return text.rlike(f"[{EMOJI}]")
+    return text.rlike(f"(?![{NEVER}])[{EMOJI}]")
 
 
 def is_emoji_only(text: Column) -> Column:
@@ -48,7 +54,7 @@ def is_emoji_only(text: Column) -> Column:
 
 def countable_length(text: Column) -> Column:
     """Visible length without emoji and their components (digits are among those)."""
-    return grapheme_count(trim(F.regexp_replace(text, f"[{EMOJI}{PARTS}]", "")))
+    return grapheme_count(trim(F.regexp_replace(text, f"(?![{NEVER}])[{EMOJI}{PARTS}]", "")))
 
 
 def is_embed_skip(text: Column) -> Column:
