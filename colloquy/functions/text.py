@@ -95,4 +95,5 @@ def unknown_numbers(text: Column, allowed: Column) -> Column:
     """Numbers of a text that no form of an allowed number explains; 0 to 3 always may be used."""
     forms = F.flatten(F.transform(allowed, number_forms))
     free = F.array(*[F.lit(str(i)) for i in range(4)])
-    return F.filter(numbers_in(text), lambda n: ~F.array_contains(F.concat(forms, free), n))
+    # Bound by a lambda of its own, the forms are made once a text, not once a number of it.
+    return F.flatten(F.transform(F.array(F.concat(forms, free)), lambda known: F.filter(numbers_in(text), lambda n: ~F.array_contains(known, n))))

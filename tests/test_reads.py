@@ -42,3 +42,10 @@ def test_a_long_text_is_not_held_against_every_emoji(spark):
         return best
 
     assert took(T.countable_length(F.col("t"))) < 0.5 * took(F.length(F.regexp_replace("t", f"[{T.EMOJI}{T.PARTS}]", "")))
+
+
+def test_forms_of_numbers_are_made_once_a_text(spark):
+    named = str(T.unknown_numbers(F.col("t"), F.col("v")))
+    assert "format_string" in named and "format_string" not in named.split("filter(")[1]
+    df = spark.createDataFrame([("7, 7 and 12.5%, -4 or 2", [12.5])], "t string, v array<double>")
+    assert df.select(T.unknown_numbers(F.col("t"), F.col("v"))).first()[0] == ["7", "7", "-4"]
