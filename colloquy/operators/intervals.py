@@ -49,3 +49,11 @@ def upper_median(value: Column) -> Column:
     """An aggregate: the middle of the values that aren't null, the upper one of two; null without values."""
     values = F.collect_list(value)
     return F.get(F.array_sort(values), F.floor(F.size(values) / 2).cast("int"))
+
+
+def with_upper_median(rows: DataFrame, by: list[str], value: Column, name: str) -> DataFrame:
+    """``rows`` with the ``upper_median`` of their group, by windows, so that they are read once and no group is an array."""
+    group = Window.partitionBy(*by)
+    placed = rows.withColumn("_value", value).withColumns({"_place": F.row_number().over(group.orderBy(F.col("_value").asc_nulls_last())) - 1, "_values": F.count("_value").over(group)})
+    middle = F.when(F.col("_place") == F.floor(F.col("_values") / 2), F.col("_value"))
+    return placed.withColumn(name, F.max(middle).over(group)).drop("_value", "_place", "_values")

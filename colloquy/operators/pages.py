@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import trim
 from ..sources.exports import hour24
-from .intervals import upper_median
+from .intervals import with_upper_median
 
 TIME_LABEL = r"\A(?:(오전|오후)\s*)?([01]?\d|2[0-3]):([0-5]\d)\z"
 DATE_LABEL = r"\A(\d{4})년\s*(\d{1,2})월\s*(\d{1,2})일(\s*[월화수목금토일]요일)?\s*[>›»〉]?\z"
@@ -44,19 +44,30 @@ def side(lines: DataFrame) -> DataFrame:
     return lines.withColumn("who", F.when(F.col("width") - F.col("x1") < F.col("x0"), "me").otherwise("other"))
 
 
+def densest(points: DataFrame, by: list[str]) -> DataFrame:
+    """(by, lines, column) out of edges (by, x, tol): of each group the most edges within reach of one, and their upper median; the right one on ties."""
+    group = Window.partitionBy(*by)
+    edges = points.groupBy(*by, "x", "tol").agg(F.count("*").alias("k"))
+    upto_x = F.sum("k").over(group.orderBy("x").rangeBetween(Window.unboundedPreceding, Window.currentRow))
+    edges = edges.withColumn("upto", upto_x).withColumn("below", F.col("upto") - F.sum("k").over(Window.partitionBy(*by, "x")))
+    # A sweep over edges and the ends of their reach counts the edges within reach of each.
+    kinds = F.array(F.struct(F.col("x").alias("at"), F.lit(0).alias("end")), F.struct((F.col("x") + F.col("tol")).alias("at"), F.lit(1).alias("end")))
+    swept = edges.select(*by, "x", "below", "upto", "k", F.inline(kinds))
+    seen = F.sum(F.when(F.col("end") == 0, F.col("k")).otherwise(0)).over(group.orderBy("at", "end").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    counted = swept.withColumn("n", F.when(F.col("end") == 1, seen - F.col("below")))
+    best = counted.withColumn("best", F.max(F.when(F.col("end") == 1, F.struct("n", "x", "below"))).over(group))
+    place = F.col("best.below") + F.floor(F.col("best.n") / 2)
+    middle = F.when((F.col("below") <= place) & (place < F.col("upto")), F.col("x"))
+    return best.groupBy(*by).agg(F.max("best.n").cast("int").alias("lines"), F.max(middle).alias("column"))
+
+
+def reach() -> Column:
+    return F.greatest(F.lit(20.0), 0.05 * F.col("width"))
+
+
 def column_of(lines: DataFrame, edge: str = "x0") -> DataFrame:
     """The densest column of left edges of each page: its upper median; the right one on ties."""
-    tolerance = F.greatest(F.lit(20.0), 0.05 * F.col("width"))
-    by_x = Window.partitionBy("page").orderBy("x")
-    points = lines.select("page", F.col(edge).alias("x"), tolerance.alias("tol"))
-    points = points.withColumns({"below": F.rank().over(by_x) - 1, "place": F.row_number().over(by_x) - 1})
-    # A sweep over edges and the ends of their reach counts the edges within reach of each.
-    ends = points.select("page", (F.col("x") + F.col("tol")).alias("at"), F.lit(1).alias("end"), "x", "below")
-    swept = points.select("page", F.col("x").alias("at"), F.lit(0).alias("end"), "x", "below").union(ends)
-    upto = F.sum(1 - F.col("end")).over(Window.partitionBy("page").orderBy("at", "end").rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    best = swept.withColumn("n", upto - F.col("below")).where("end = 1").groupBy("page").agg(F.max(F.struct("n", "x", "below")).alias("best"))
-    middle = best.select("page", F.col("best.n").cast("int").alias("lines"), (F.col("best.below") + F.floor(F.col("best.n") / 2)).alias("place"))
-    return middle.join(points.select("page", "place", F.col("x").alias("column")), ["page", "place"]).select("page", "lines", "column")
+    return densest(lines.select("page", F.col(edge).alias("x"), reach().alias("tol")), ["page"])
 
 
 def with_dates(lines: DataFrame) -> DataFrame:
@@ -97,12 +108,14 @@ def bubbles(lines: DataFrame) -> DataFrame:
     above = Window.partitionBy("page", "_run").orderBy("y0", "x0", "line").rowsBetween(Window.unboundedPreceding, -1)
     tall = F.col("y1") - F.col("y0")
     far = F.coalesce(F.col("y0") - F.max("y1").over(above) > LINE_GAP * tall, F.lit(True))
-    parts = turned.withColumn("_far", far.cast("int")).withColumn("_part", F.sum("_far").over(order))
+    parts = turned.withColumn("_far", far.cast("int")).withColumns({"_part": F.sum("_far").over(order), "_alone": (F.col("_far") == 1) & (F.coalesce(F.lead("_far").over(order), F.lit(1)) == 1)})
     sorted_ = F.transform(F.array_sort(F.collect_list(F.struct("y0", "x0", "line", box(trim(F.col("text"))).alias("box")))), lambda x: x["box"])
     fits = lambda last, b: (b["y0"] - last["y1"] <= LINE_GAP * (b["y1"] - b["y0"])) & (F.abs(b["x0"] - last["x0"]) <= ALIGN)
-    made = parts.groupBy("page", "_part").agg(F.first("who").alias("who"), sorted_.alias("_lines")).select("page", "_part", "who", F.posexplode(boxes_of(F.col("_lines"), fits, lambda a, b: F.concat(a, F.lit("\n"), b))).alias("_at", "b"))
+    # A stretch of one line needs no fold.
+    alone = parts.where("_alone").select("page", "_part", "who", F.lit(0).alias("_at"), box(trim(F.col("text"))).alias("b"))
+    made = parts.where("NOT _alone").groupBy("page", "_part").agg(F.first("who").alias("who"), sorted_.alias("_lines")).select("page", "_part", "who", F.posexplode(boxes_of(F.col("_lines"), fits, lambda a, b: F.concat(a, F.lit("\n"), b))).alias("_at", "b"))
     place = F.row_number().over(Window.partitionBy("page").orderBy("_part", "_at")) - 1
-    return made.select("page", place.cast("long").alias("bubble"), "who", "b.text", "b.x0", "b.y0", "b.x1", "b.y1", F.col("b.n").alias("lines"), "b.confidence")
+    return made.union(alone).select("page", place.cast("long").alias("bubble"), "who", "b.text", "b.x0", "b.y0", "b.x1", "b.y1", F.col("b.n").alias("lines"), "b.confidence")
 
 
 #: Heights of a tile of a tall picture and of what it shares with the next.
@@ -218,13 +231,12 @@ def prepared(lines: DataFrame) -> DataFrame:
     """
     text, tall = F.col("text"), F.col("y1") - F.col("y0")
     rows = side(lines).withColumns({"_time": time_label(text).isNotNull(), "_label": time_label(text).isNotNull() | date_label(text).isNotNull()})
-    body = rows.where("NOT _label")
-    left = column_of(body.where("who = 'other'"), "x0").select("page", F.col("column").alias("_left"))
-    right = column_of(body.where("who = 'me'"), "x1").select("page", F.col("column").alias("_right"))
-    rows = rows.join(left, "page", "left").join(right, "page", "left")
+    body = rows.where("NOT _label").select("page", "who", F.when(F.col("who") == "other", F.col("x0")).otherwise(F.col("x1")).alias("x"), reach().alias("tol"))
+    at = lambda who: F.max(F.when(F.col("who") == who, F.col("column")))
+    columns = densest(body, ["page", "who"]).groupBy("page").agg(at("other").alias("_left"), at("me").alias("_right"))
+    rows = rows.join(columns, "page", "left")
     rows = rows.withColumn("_in", F.col("_label") | columns_kept(rows))
-    middle = rows.groupBy("page").agg(upper_median(F.when(F.col("_in") & ~F.col("_time"), tall)).alias("_median"))
-    rows = rows.join(middle, "page", "left")
+    rows = with_upper_median(rows, ["page"], F.when(F.col("_in") & ~F.col("_time"), tall), "_median")
     sticker = ~F.col("_time") & (F.col("_median") > 0) & (tall > F.col("_median") * STICKER)
     top = ~F.col("_label") & ((F.col("y0") + F.col("y1")) / 2 <= F.col("height") * TOP_SHARE) & (hangul_share(text) < LEAST_HANGUL)
     reason = F.when(~F.col("_in"), "column").when(sticker, "sticker").when(top, "top").when(is_control(text), "control")

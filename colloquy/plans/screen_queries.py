@@ -11,7 +11,6 @@ from ..operators import pages as G
 from ..operators import promotion as A
 from ..operators import screens as V
 from ..sources.adapters import from_events
-from ..storage import stored
 from . import oracle as O
 from .queries import register
 
@@ -40,35 +39,36 @@ def drawn(spark: SparkSession, d: str) -> DataFrame:
 
 def screen_table(spark: SparkSession, d: str) -> DataFrame:
     """Lines of ``drawn`` pages: texts in two pieces, names, dates, glyphs, the input field; every seventh page has no times."""
-    m = stored(drawn(spark, d), "drawn")  # read once for each kind of line
-    mine = F.col("who") == "me"
+    m = drawn(spark, d)
+    mine, text, picture, timed = F.col("who") == "me", F.col("tx"), ~F.col("tx"), F.col("page") % 7 != 3
 
-    def line(rows: DataFrame, number: Column, text: Column, x0: Column, x1: Column, y0: Column, tall: float) -> DataFrame:
-        return rows.select("page", number.cast("long").alias("line"), text.alias("text"), x0.cast("double").alias("x0"), y0.cast("double").alias("y0"), x1.cast("double").alias("x1"), (y0 + tall).cast("double").alias("y1"))
+    def line(there: Column, number: Column, said: Column, x0: Column, x1: Column, y0: Column, tall: float) -> Column:
+        """A line of a message, null where it isn't there."""
+        y = y0.cast("double")
+        return F.when(there, F.struct(number.cast("long").alias("line"), said.alias("text"), x0.cast("double").alias("x0"), y.alias("y0"), x1.cast("double").alias("x1"), (y + tall).alias("y1")))
 
-    text, picture = m.where("tx"), m.where("NOT tx")
     number = lambda k: F.col("seq") * 8 + k
     body = F.concat(F.lit(BODY), (F.col("seq") % 10).cast("string"))
     left = F.when(mine, 330).otherwise(62)
     at = F.when(mine, 240).otherwise(420)
     clock = D.display_time(F.col("time"))
+    last = F.col("seq") == F.col("last")
     parts = [
         line(text, number(0), F.substring_index(body, " ", 1), left, left + 120, F.col("y"), ONE),
         line(text, number(1), F.substring_index(body, " ", -1), left + 130, F.when(mine, 578).otherwise(310), F.col("y"), ONE),
-        line(text.where("seq % 5 = 0"), number(2), F.lit(MORE), left, F.when(mine, 560).otherwise(290), F.col("y") + TWO - ONE, ONE),
-        line(text.where("page % 7 <> 3"), number(3), clock, at, at + 70, F.col("y") + 10, 18.0),
-        line(picture.where("page % 7 <> 3"), number(3), clock, at, at + 70, F.col("y") + 78, 18.0),
+        line(text & (F.col("seq") % 5 == 0), number(2), F.lit(MORE), left, F.when(mine, 560).otherwise(290), F.col("y") + TWO - ONE, ONE),
+        line(text & timed, number(3), clock, at, at + 70, F.col("y") + 10, 18.0),
+        line(picture & timed, number(3), clock, at, at + 70, F.col("y") + 78, 18.0),
         line(picture, number(4), F.lit("↑"), F.lit(300), F.lit(318), F.col("y") + 20, 20.0),
-        line(m.where("named"), number(5), F.lit(NAME), F.lit(62), F.lit(100), F.col("y") - 24, 16.0),
-        line(m.where("seq = divider"), number(6), D.display_date(F.col("date")), F.lit(200), F.lit(400), F.col("y") - GAP - DIVIDER - 1, DIVIDER),
-        line(m.where("seq = 0"), F.lit(-2), D.display_date(F.col("date")), F.lit(200), F.lit(400), F.lit(10), DIVIDER),
-        line(m.where("seq = last"), F.lit(-1), F.lit("메시지 입력"), F.lit(62), F.lit(200), F.col("bottom") + 200, ONE),
+        line(F.col("named"), number(5), F.lit(NAME), F.lit(62), F.lit(100), F.col("y") - 24, 16.0),
+        line(F.col("seq") == F.col("divider"), number(6), D.display_date(F.col("date")), F.lit(200), F.lit(400), F.col("y") - GAP - DIVIDER - 1, DIVIDER),
+        line(F.col("seq") == 0, F.lit(-2), D.display_date(F.col("date")), F.lit(200), F.lit(400), F.lit(10), DIVIDER),
+        line(last, F.lit(-1), F.lit("메시지 입력"), F.lit(62), F.lit(200), F.col("bottom") + 200, ONE),
     ]
-    lines = parts[0]
-    for p in parts[1:]:
-        lines = lines.union(p)
-    heights = m.where("seq = last").select("page", ((F.col("bottom") + 400) / 0.9).alias("height"))
-    return lines.join(heights, "page").select("page", "line", "text", "x0", "y0", "x1", "y1", F.lit(0.9).alias("confidence"), F.lit(600.0).alias("width"), "height")
+    # Every message gives its lines in one pass; the last one's bottom tells the height of the page.
+    tall = (F.max(F.when(last, F.col("bottom"))).over(Window.partitionBy("page")) + 400) / 0.9
+    lines = m.withColumn("height", tall).select("page", "height", F.inline(F.array_compact(F.array(*parts))))
+    return lines.select("page", "line", "text", "x0", "y0", "x1", "y1", F.lit(0.9).alias("confidence"), F.lit(600.0).alias("width"), "height")
 
 
 DRAWN = f"""

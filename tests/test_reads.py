@@ -49,3 +49,16 @@ def test_forms_of_numbers_are_made_once_a_text(spark):
     assert "format_string" in named and "format_string" not in named.split("filter(")[1]
     df = spark.createDataFrame([("7, 7 and 12.5%, -4 or 2", [12.5])], "t string, v array<double>")
     assert df.select(T.unknown_numbers(F.col("t"), F.col("v"))).first()[0] == ["7", "7", "-4"]
+
+
+def test_lines_are_read_three_times_not_once_for_every_join(spark):
+    lines = stored(spark.createDataFrame([(0, i, f"말 {i}", 62.0, 40.0 * i, 200.0, 40.0 * i + 32, 0.9, 600.0, 900.0) for i in range(9)], LINE), "lines")
+    found = pages.prepared(lines)
+    assert plan(found).count("Relation [") <= 3
+    assert found.where("dropped IS NULL").count() == 9
+
+
+def test_the_densest_column_counts_equal_edges(spark):
+    at = [60.0, 60.0, 60.0, 75.0, 300.0, 301.0, 302.0, 319.0]
+    lines = spark.createDataFrame([(0, i, "말", x, 40.0 * i, x + 90, 40.0 * i + 32, 0.9, 400.0, 900.0) for i, x in enumerate(at)], LINE)
+    assert tuple(pages.column_of(lines).first()) == (0, 4, 302.0)  # as many in both: the right one, its upper median
