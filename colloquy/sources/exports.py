@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.display import WEEKDAYS
 from ..functions.text import countable_length, trim
+from ..storage import stored
 
 #: Fixed patterns of the layouts. Java's $ would allow a last line break, so \z ends them.
 TITLE = r"\A(.+?) 님과 카카오톡 대화\z"
@@ -57,10 +58,15 @@ def body_type(body: Column) -> Column:
     return out
 
 
-def classified(exports: DataFrame) -> DataFrame:
-    """Records with what each is: message, day, skip, title, deleted, system or rest."""
-    rows = records(exports)
-    rows = rows.join(layout_of(rows), "chat")
+def laid_out(exports: DataFrame) -> DataFrame:
+    """``records`` with the layout of their export; stored, since an export is told by its records before they are read."""
+    rows = stored(records(exports), "export-records")
+    return rows.join(layout_of(rows), "chat")
+
+
+def classified(exports: DataFrame, rows: DataFrame | None = None) -> DataFrame:
+    """Records with what each is: message, day, skip, title, deleted, system or rest. ``rows`` are the ``laid_out`` exports."""
+    rows = rows or laid_out(exports)
     rec, layout = F.col("rec"), F.col("layout")
     order = Window.partitionBy("chat").orderBy("pos")
     is_message = F.when(layout == "pc", rec.rlike(PC_MESSAGE)).when(layout == "ios", rec.rlike(IOS_MESSAGE)).otherwise(rec.rlike(ANDROID_MESSAGE))
@@ -86,9 +92,9 @@ def classified(exports: DataFrame) -> DataFrame:
     return rows.withColumn("kind", kind).drop("_message", "_titled")
 
 
-def raw_messages(exports: DataFrame) -> DataFrame:
+def raw_messages(exports: DataFrame, rows: DataFrame | None = None) -> DataFrame:
     """(chat, pos, name, ts, date, time, type, text), and continuation records joined to their message."""
-    rows = classified(exports)
+    rows = classified(exports, rows)
     rec, layout = F.col("rec"), F.col("layout")
     part = lambda pc, other: F.when(layout == "pc", F.regexp_extract(rec, PC_MESSAGE, pc)).when(layout == "ios", F.regexp_extract(rec, IOS_MESSAGE, other)).otherwise(F.regexp_extract(rec, ANDROID_MESSAGE, other))
     when = lambda name, i: F.when(layout == "pc", F.col(f"day.{name}")).otherwise(part(1, i).try_cast("int"))
@@ -127,7 +133,8 @@ def raw_messages(exports: DataFrame) -> DataFrame:
 
 def parse_stats(exports: DataFrame) -> DataFrame:
     """What became of the records of each export."""
-    kinds = classified(exports)
+    rows = laid_out(exports)
+    kinds = classified(exports, rows)
     order = Window.partitionBy("chat").orderBy("pos")
     headless = kinds.withColumn("_head", F.max((F.col("kind") == "message").cast("int")).over(order)).groupBy("chat").agg(
         F.count_if(F.col("kind") == "deleted").alias("deleted"),
@@ -136,7 +143,7 @@ def parse_stats(exports: DataFrame) -> DataFrame:
         F.max(F.when(F.col("kind") == "title", F.coalesce(F.nullif(F.regexp_extract("rec", TITLE, 1), F.lit("")), trim(F.regexp_extract("rec", IOS_SAVED, 1))))).alias("title"),
         F.first("layout").alias("layout"),
     )
-    messages = raw_messages(exports).groupBy("chat").agg(
+    messages = raw_messages(exports, rows).groupBy("chat").agg(
         F.count("*").alias("messages"), F.count_if(F.col("text").contains("\n")).alias("multiline"), F.count_if(F.col("time").startswith("00")).alias("midnight"), F.sum("unparsed").alias("_more")
     )
     return headless.join(messages, "chat", "left").select(
@@ -182,10 +189,9 @@ def resolved_sides(found: DataFrame, titles: DataFrame, chosen: DataFrame | None
     return sides.select("chat", "name", F.when(F.coalesce("same_as", "name") == F.col("mine"), "me").otherwise("other").alias("who"))
 
 
-def titles_of(exports: DataFrame) -> DataFrame:
+def titles_of(exports: DataFrame, rows: DataFrame | None = None) -> DataFrame:
     """(chat, title): the first title line of each export; null if there is none."""
-    rows = records(exports)
-    rows = rows.join(layout_of(rows), "chat")
+    rows = rows or laid_out(exports)
     is_title = (F.col("rec").rlike(TITLE) | ((F.col("layout") == "ios") & F.col("rec").rlike(IOS_SAVED))) & ~F.col("rec").rlike(DAY_DIVIDER)
     title = F.coalesce(F.nullif(F.regexp_extract("rec", TITLE, 1), F.lit("")), trim(F.regexp_extract("rec", IOS_SAVED, 1)))
     return rows.groupBy("chat").agg(F.min_by(title, F.when(is_title, F.col("pos"))).alias("title"))
@@ -193,12 +199,13 @@ def titles_of(exports: DataFrame) -> DataFrame:
 
 def messages_of(exports: DataFrame, chosen: DataFrame | None = None) -> DataFrame:
     """Message rows of all exports whose sides can be told, by their titles or by ``chosen`` (chat, name)."""
-    return message_rows(raw_messages(exports), titles_of(exports), chosen)
+    rows = laid_out(exports)
+    return message_rows(stored(raw_messages(exports, rows), "export-messages"), titles_of(exports, rows), chosen)
 
 
 def message_rows(raw: DataFrame, titles: DataFrame, chosen: DataFrame | None = None) -> DataFrame:
     """Rows of the message schema out of (chat, pos, name, ts, date, time, type, text); names don't go any further."""
-    sides = resolved_sides(speakers(raw), titles, chosen)
+    sides = resolved_sides(stored(speakers(raw), "export-speakers"), titles, chosen)
     order = Window.partitionBy("chat").orderBy("pos")
     return raw.join(sides, ["chat", "name"]).select(
         "chat",

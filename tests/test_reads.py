@@ -62,3 +62,9 @@ def test_the_densest_column_counts_equal_edges(spark):
     at = [60.0, 60.0, 60.0, 75.0, 300.0, 301.0, 302.0, 319.0]
     lines = spark.createDataFrame([(0, i, "말", x, 40.0 * i, x + 90, 40.0 * i + 32, 0.9, 400.0, 900.0) for i, x in enumerate(at)], LINE)
     assert tuple(pages.column_of(lines).first()) == (0, 4, 302.0)  # as many in both: the right one, its upper median
+
+
+def test_exports_are_read_once(spark):
+    found = exports.messages_of(exports.rendered(from_events(spark, SMALL), "ios"))
+    assert "Generate" not in plan(found) and "events.parquet" not in plan(found)
+    assert found.count() == from_events(spark, SMALL).count()
