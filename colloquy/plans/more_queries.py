@@ -12,6 +12,7 @@ from ..operators import semantic as V
 from ..sources import exports as X
 from ..sources import tables as C
 from ..sources.adapters import from_events
+from ..storage import stored
 from ..streaming import sessions as L
 from . import oracle as O
 from .queries import register
@@ -31,7 +32,7 @@ for layout in LAYOUTS:
 
 
 def detect(spark: SparkSession, d: str) -> DataFrame:
-    events = from_events(spark, d)
+    events = stored(from_events(spark, d).select("chat", "seq", "who", "date", "time", "type", "text"), "detect-events")  # read once for each layout
     found = None
     for layout in LAYOUTS:
         one = X.layout_of(X.records(X.rendered(events, layout))).withColumn("written", F.lit(layout))

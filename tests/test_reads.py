@@ -68,3 +68,9 @@ def test_exports_are_read_once(spark):
     found = exports.messages_of(exports.rendered(from_events(spark, SMALL), "ios"))
     assert "Generate" not in plan(found) and "events.parquet" not in plan(found)
     assert found.count() == from_events(spark, SMALL).count()
+
+
+def test_events_are_numbered_once_for_all_layouts(spark):
+    found = more_queries.detect(spark, SMALL)
+    assert "get_json_object" not in plan(found) and "row_number" not in plan(found)
+    assert found.where("layout <> written").isEmpty()
