@@ -16,7 +16,7 @@ from ..sources import tables as C
 from ..sources.adapters import from_events
 from . import oracle as O
 from . import report as R
-from .queries import VARIETY, over_events, over_orders, over_pooled, register
+from .queries import VARIETY, over_events, over_orders, over_pooled, over_stored, register
 
 
 def evidence_badge(rows: DataFrame) -> DataFrame:
@@ -155,7 +155,7 @@ def listed_cards(rows: DataFrame) -> DataFrame:
     return metric_cards(rows).withColumns({c: F.array_join(c, " · ") for c in ("chips_me", "chips_other")})
 
 
-register("metric_cards", over_events(listed_cards), O.on_events(f"SELECT * FROM ({CARDS})", *CARD_PARTS))
+register("metric_cards", over_stored(listed_cards), O.on_events(f"SELECT * FROM ({CARDS})", *CARD_PARTS))
 register("metric_cards_orders", over_orders(listed_cards), O.on_orders(f"SELECT * FROM ({CARDS})", *CARD_PARTS))
 register("metric_cards_turns", over_pooled(lambda m: listed_cards(S.enriched(m))), O.q(f"SELECT * FROM ({CARDS})", O.POOLED, O.MARKED, O.METRICS, *CARD_PARTS))
 UNITS = ", ".join(f"('{k}', '{v}')" for k, v in D.SAMPLE_UNITS.items())

@@ -16,13 +16,13 @@ from ..operators import scoring as G
 from ..operators import semantic as E
 from ..operators import sequence as S
 from ..sources.adapters import from_events
-from ..storage import shared_folder
+from ..storage import shared_folder, stored
 from ..streaming.records import RecordFiles
 from ..streaming.sessions import run_once
 from . import display
 from . import oracle as O
 from . import report as R
-from .queries import ALL, over_events, over_turns, register
+from .queries import ALL, over_events, over_stored, over_turns, register
 
 
 def openings(rows: DataFrame) -> DataFrame:
@@ -76,7 +76,7 @@ BLOCK = f"""SELECT chat, concat_ws(chr(10), CASE WHEN coarse THEN '기울기 방
   {", ".join(_filled(*line) for line in N.VALUE_LINES[:-1])}, CASE WHEN {_DERIVED} <> '' THEN chr(10) || '{N.DERIVED_HEAD}' || chr(10) || {_DERIVED} END) AS block
 FROM (SELECT r.* EXCLUDE (affect_gap, change_month, change_drop), fg.* EXCLUDE (chat), init.sessions AS initiation_sessions, CASE WHEN fg.affect_gap IS NOT NULL THEN ea.me END AS affect_me
   FROM r JOIN fg USING (chat) LEFT JOIN init USING (chat) LEFT JOIN ea USING (chat))"""
-register("sentence_block", over_events(sentence_block), O.on_events(BLOCK, *ALL))
+register("sentence_block", over_stored(sentence_block), O.on_events(BLOCK, *ALL))
 register("sentence_block_turns", over_turns(sentence_block), O.on_turns(BLOCK, *ALL))
 
 
@@ -141,7 +141,7 @@ def known_vectors(spark: SparkSession, d: str, texts: DataFrame) -> DataFrame:
 
 
 def with_known(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    rows = S.enriched(from_events(spark, d))
+    rows = stored(S.enriched(from_events(spark, d)), "messages")
     return rows, E.with_vectors(rows, known_vectors(spark, d, E.texts_to_embed(rows)))
 
 

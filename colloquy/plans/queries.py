@@ -12,6 +12,7 @@ from ..operators import metrics as M
 from ..operators import phrases as P
 from ..operators import sequence as S
 from ..sources.adapters import from_conversations, from_events, from_orders
+from ..storage import stored
 from . import oracle as O
 from . import report as R
 
@@ -22,6 +23,11 @@ def over_events(f: Callable[[DataFrame], DataFrame]) -> Query:
     return lambda spark, d: f(S.enriched(from_events(spark, d)))
 
 
+def over_stored(f: Callable[[DataFrame], DataFrame]) -> Query:
+    """As over_events, for what reads the messages many times: they are numbered and sorted once, and each reader takes its columns."""
+    return lambda spark, d: f(stored(S.enriched(from_events(spark, d)), "messages"))
+
+
 def over_turns(f: Callable[[DataFrame], DataFrame]) -> Query:
     return lambda spark, d: f(S.enriched(from_conversations(spark, d)))
 
@@ -73,23 +79,23 @@ REGISTERED: dict[str, tuple[Query, str | None]] = {
     "info_units": (over_events(M.info_units), O.on_events("SELECT chat, info_units, window_filled FROM iu")),
     "fields": (over_events(lambda e: R.available_fields(e).select("chat", F.array_join("fields", ",").alias("fields"))), O.on_events("SELECT chat, array_to_string(fields, ',') AS fields FROM fl", O.STATUS)),
     "fields_turns": (over_turns(lambda e: R.available_fields(e).select("chat", F.array_join("fields", ",").alias("fields"))), O.on_turns("SELECT chat, array_to_string(fields, ',') AS fields FROM fl", O.STATUS)),
-    "metric_status": (over_events(R.metric_status), O.on_events("SELECT chat, metric, status FROM st", O.STATUS)),
+    "metric_status": (over_stored(R.metric_status), O.on_events("SELECT chat, metric, status FROM st", O.STATUS)),
     "metric_status_turns": (over_turns(R.metric_status), O.on_turns("SELECT chat, metric, status FROM st", O.STATUS)),
     "headline": (over_events(R.headline), O.on_events(f"SELECT {HEADLINE} FROM hd")),
     "headline_turns": (over_turns(R.headline), O.on_turns(f"SELECT {HEADLINE} FROM hd")),
     "band_histogram": (over_events(R.band_histogram), O.on_events("SELECT band, count(*) AS chats, min(tilt) AS low, max(tilt) AS high FROM hd GROUP BY band")),
     "crush_signal": (over_events(R.crush_signal), O.on_events(f"SELECT chat, floor(50 - tilt / 2.0::DOUBLE + 0.5)::BIGINT AS score, {LEANS}, coarse FROM hd")),
-    "odds": (over_events(R.odds), O.on_events(f"SELECT * FROM ({O.ODDS})", *ALL)),
+    "odds": (over_stored(R.odds), O.on_events(f"SELECT * FROM ({O.ODDS})", *ALL)),
     "odds_orders": (over_orders(R.odds), O.on_orders(f"SELECT * FROM ({O.ODDS})", *ALL)),
-    "figures": (over_events(R.figures), O.on_events("SELECT * FROM fg", *ALL)),
+    "figures": (over_stored(R.figures), O.on_events("SELECT * FROM fg", *ALL)),
     "figures_orders": (over_orders(R.figures), O.on_orders("SELECT * FROM fg", *ALL)),
-    "strongest_signal": (over_events(R.strongest_signal), O.on_events("SELECT chat, CASE WHEN s >= 0.18 THEN key ELSE 'flat' END AS signal, CASE WHEN s >= 0.18 THEN mine END AS mine, variant FROM sg1 WHERE k = 1", *ALL, O.SIGNAL)),
+    "strongest_signal": (over_stored(R.strongest_signal), O.on_events("SELECT chat, CASE WHEN s >= 0.18 THEN key ELSE 'flat' END AS signal, CASE WHEN s >= 0.18 THEN mine END AS mine, variant FROM sg1 WHERE k = 1", *ALL, O.SIGNAL)),
     "single_fact": (over_events(R.single_fact), O.on_events(FACT)),
     "single_fact_turns": (over_turns(R.single_fact), O.on_turns(FACT)),
     "ngram_counts": (over_pooled(lambda m: P.ngram_counts(P.ngrams(m)).select("chat", "gram", "fa", "fb")), O.q("SELECT chat, gram, fa, fb FROM gc", O.POOLED, O.GRAMS)),
     "subset_drop": (over_pooled(lambda m: P.drop_subsets(P.candidates(P.ngram_counts(P.ngrams(m)))).select("chat", "gram", "fa", "fb")), O.q("SELECT chat, gram, fa, fb FROM kp", O.POOLED, O.GRAMS)),
     "phrase_gap": (over_pooled(P.phrase_gap), O.q("SELECT chat, side, place, gram, z, me, other FROM pg WHERE place <= 8", O.POOLED, O.GRAMS)),
-    "report": (over_events(R.report), None),
+    "report": (over_stored(R.report), None),
 }
 
 

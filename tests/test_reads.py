@@ -74,3 +74,8 @@ def test_events_are_numbered_once_for_all_layouts(spark):
     found = more_queries.detect(spark, SMALL)
     assert "get_json_object" not in plan(found) and "row_number" not in plan(found)
     assert found.where("layout <> written").isEmpty()
+
+
+def test_a_report_sorts_messages_once(spark):
+    found = queries.REGISTERED["report"][0](spark, SMALL)
+    assert "get_json_object" not in plan(found) and "events.parquet" not in plan(found)
