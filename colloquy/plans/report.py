@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.numbers import clamp01, half_up
@@ -90,7 +90,10 @@ def sample_counts(rows: DataFrame, vectors: DataFrame | None = None) -> DataFram
     out = out.withColumns({"replies": F.coalesce("replies", F.lit(0)), "window_pairs": F.greatest(F.col("window_bursts") - 1, F.lit(0))})
     if vectors is None:
         return out
-    pairs = semantic(rows, vectors).select("chat", "pairs")
+    # The gate needs their number alone; texts without a vector are left out, as in ``semantic``.
+    own = vectors.select("chat", "seq", "who").join(rows.where("in_window").select("chat", "seq"), ["chat", "seq"])
+    before = F.lag("who").over(Window.partitionBy("chat").orderBy("seq"))
+    pairs = own.withColumn("_who0", before).groupBy("chat").agg(F.count_if(F.col("_who0") != F.col("who")).alias("pairs"))
     return out.join(pairs, "chat", "left").withColumn("window_pairs", F.coalesce("pairs", F.lit(0))).drop("pairs")
 
 

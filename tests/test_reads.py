@@ -79,3 +79,11 @@ def test_events_are_numbered_once_for_all_layouts(spark):
 def test_a_report_sorts_messages_once(spark):
     found = queries.REGISTERED["report"][0](spark, SMALL)
     assert "get_json_object" not in plan(found) and "events.parquet" not in plan(found)
+
+
+def test_gates_count_pairs_without_the_seeded_baseline(spark):
+    rows = S.enriched(spark.createDataFrame([(1, i, "me" if i % 3 else "other", None, None, None, "text", f"말이 {i}", 2, None, None, None, 1.0) for i in range(40)], "chat long, seq long, who string, ts long, date string, time string, type string, text string, char_count int, emoji_desc string, valence double, intensity double, confidence double"))
+    vectors = rows.where("seq % 5 > 0").select("chat", "seq", "who", F.array(F.lit(1.0), F.col("seq").cast("double")).alias("v"))
+    counts = report.sample_counts(rows, vectors)
+    assert "InPandas" not in plan(counts)
+    assert counts.first()["window_pairs"] == report.semantic(rows, vectors).first()["pairs"]
